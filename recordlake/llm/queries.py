@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, substring, warc
+from . import huffman, mixing, neardup, rules, substring, warc
 from .shared import Scratch, documents
 
 
@@ -16,6 +16,26 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    stats = Scratch(spark).table(rules.with_statistics(docs).drop("text"), "statistics")
+    learned = rules.learn(rules.labelled_statistics(stats, documents(spark, sf_dir, "labels")))
+    columns = [*rules.BASE, "base_failed", "kept", "rejected_by", *rules.MORE]
+    return rules.judge(stats, learned).select("doc_id", *columns)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Scratch(spark).path("ids")
+    huffman.encode_corpus(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path, end=2)
+    return huffman.read_files(spark, path)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix_sources(documents(spark, sf_dir))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
@@ -30,6 +50,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_neardup": op2_neardup,
+    "op3_quality": op3_quality,
+    "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
