@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, mixing, neardup, rules, substring, warc
+from . import huffman, iblt, mixing, neardup, rules, substring, warc
 from .shared import Scratch, documents
 
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(stats, learned).select("doc_id", *columns)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_versions(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_neardup": op2_neardup,
     "op3_quality": op3_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
