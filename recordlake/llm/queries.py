@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, iblt, mixing, neardup, rules, substring, warc
+from . import huffman, iblt, langid, mixing, neardup, pieces, rules, substring, toxicity, warc
 from .shared import Scratch, documents
 
 
@@ -28,10 +28,27 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(stats, learned).select("doc_id", *columns)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.severities(docs, toxicity.fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_versions(documents(spark, sf_dir))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    r = pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return r.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "decoded_sha256", "round_trip", "ids")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +73,10 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_neardup": op2_neardup,
     "op3_quality": op3_quality,
+    "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op7_pieces": op7_pieces,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,

@@ -1,5 +1,57 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline.
+
+Each takes (spark, docs, sf_dir) and returns the rows it keeps, with the columns
+of `docs` (the last one returns token ids instead).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing, neardup, pieces, rules, substring
+from .shared import Scratch, documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base rule or a learned rule rejects."""
+    numbers = rules.with_statistics(docs.select("doc_id", "text")).drop("text")
+    numbers = Scratch(spark).table(numbers, "statistics")
+    learned = rules.learn(rules.labelled_statistics(numbers, documents(spark, sf_dir, "labels")))
+    return rules.judge(rules.with_statistics(docs), learned).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each near-duplicate group (and every document without words)."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 35 words or more that occur elsewhere; other text stays as it is."""
+    out = substring.remove_repeats(docs, cut="bytes").select(*docs.columns)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents as the mix takes them (0, 1 or 2 times)."""
+    picks = mixing.mix_sources(docs).select(F.col("doc_id").alias("pick_id"), F.col("source").alias("pick_source"), "copies").distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("pick_id")) & F.col("source").eqNullSafe(F.col("pick_source"))
+    taken = docs.join(picks.where("copies > 0"), on)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the check that they decode to its text."""
+    import public_tokenizers
+
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "lang", "source", "n_chars"])
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
