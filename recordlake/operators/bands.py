@@ -74,20 +74,20 @@ def pack_parts(df: DataFrame, group: str, order: str, size: str, most_rows: int,
     """
 
     def pack(pdf):
-        pdf = pdf.sort_values("o", kind="stable")
+        pdf = pdf.sort_values("_o", kind="stable")
         part, rows, total, out = 0, 0, 0, []
-        for s in pdf["s"]:
+        for s in pdf["_s"]:
             if rows and (rows >= most_rows or total + s > most_bytes):
                 part, rows, total = part + 1, 0, 0
             rows, total = rows + 1, total + s
             out.append(part)
         pdf["part"] = out
-        return pdf[["g", "o", "part"]]
+        return pdf[["_g", "_o", "part"]]
 
-    keys = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    keys = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(size).cast("long").alias("_s"))
     types = dict(keys.dtypes)
-    packed = keys.groupBy("g").applyInPandas(pack, f"g {types['g']}, o {types['o']}, part long")
-    return df.join(packed, (df[group] == packed["g"]) & (df[order] == packed["o"])).drop("g", "o")
+    packed = keys.groupBy("_g").applyInPandas(pack, f"_g {types['_g']}, _o {types['_o']}, part long")
+    return df.join(packed, (df[group] == packed["_g"]) & (df[order] == packed["_o"])).drop("_g", "_o")
 
 
 def display_is_consistent(display: Column, norm: Column, approved: Column) -> Column:

@@ -56,7 +56,7 @@ def _listed(window: str) -> list[tuple[int, str]]:
             piece = window[begin:end]
             cut = stop.search(piece.upper())
             label = squish(piece[: cut.start()] if cut else piece.split("\n\n")[0])
-            if not _plausible(label.rstrip(" ;,.")):
+            if not _plausible(split_citation(re.sub(r"(?i)[\s;,]+and$", "", label))[0]):
                 break
             rows.append((k + 1, label))
             if cut:

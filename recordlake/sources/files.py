@@ -12,7 +12,7 @@ from .checks import differences, duplicates
 
 def json_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All *.json below `path` but *.error.json; a file that does not parse is skipped. Adds file."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     raw = raw.withColumn("file", F.input_file_name()).where(~F.col("file").endswith(".error.json"))
     good = raw.where(F.try_parse_json("value").isNotNull())
     return good.select(F.from_json("value", schema).alias("r"), "file").where("r is not null").select("r.*", "file")
@@ -28,7 +28,7 @@ def ndjson(spark: SparkSession, path: str, schema: str, mentions: str | None = N
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, through Spark's readers."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def manifest(spark: SparkSession, path: str, base: str, schema: str, strict: bool = True) -> DataFrame:
