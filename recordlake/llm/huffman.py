@@ -31,7 +31,8 @@ from .textkit import Batch
 
 MAGIC, BLOCK, LIMIT = b"HUFB0001", 256, 18
 FILE_TOKENS = 4 << 20
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 21
+_ENCODERS: dict = {}  # of this worker process, by tokenizer file
 
 
 class WordEncoder:
@@ -50,11 +51,18 @@ class WordEncoder:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, hashes, spans, data):
-        texts = [bytes(data[a:z]).decode() for a, z in spans]
-        ids = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], np.uint32)])
+        raw, sizes, pool = data.tobytes(), [], [self.pool]
+        for lo in range(0, len(spans), 2048):  # words side by side; the tokens' places tell them apart
+            texts = [raw[a:z].decode() for a, z in spans[lo : lo + 2048]]
+            e = self.tok.encode(" ".join(texts), add_special_tokens=False)
+            begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+            place = np.array([o[0] for o in e.offsets], np.int64)
+            word = np.searchsorted(begin, place, side="right") - 1
+            sizes.append(np.bincount(word, minlength=len(texts)))
+            pool.append(np.array(e.ids, np.uint32))
+        size = np.concatenate(sizes)
+        start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.pool = np.concatenate(pool)
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known)
         self.known = known[order]
@@ -85,11 +93,18 @@ class WordEncoder:
         return out, at[t.word_bounds + extra]
 
 
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this process; its words outlive a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def token_table(docs: DataFrame, tokenizer: str, end: int | None = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) with ids as little-endian uint32 bytes."""
 
     def run(batches):
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in slices(batches, 1):
             ids, at = enc.encode(Batch(b.column(1)), end)
             raw = ids.astype("<u4").tobytes()
@@ -164,21 +179,24 @@ class Code:
 
     def encode(self, ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray, int]:
         """(bits, bit offset of every block, number of bits)."""
-        k = np.searchsorted(self.symbols, ids)
-        size, code = self.lengths[k], self.codes[k].astype(np.uint64)
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        begin = end - size
-        words = np.zeros(total // 64 + 2, np.uint64)
-        slot, room = begin >> 6, 64 - (begin & 63)
-        over = np.maximum(0, size - room)
-        head = np.where(over > 0, code >> over.astype(np.uint64), code << np.maximum(0, room - size).astype(np.uint64))
-        if len(slot):
+        words, offsets, total = np.zeros(2, np.uint64), [], 0
+        for lo in range(0, len(ids), 1 << 18):
+            k = np.searchsorted(self.symbols, ids[lo : lo + (1 << 18)])
+            size, code = self.lengths[k], self.codes[k].astype(np.uint64)
+            end = total + np.cumsum(size)
+            begin = end - size
+            total = int(end[-1])
+            words = np.concatenate([words, np.zeros(max(0, total // 64 + 2 - len(words)), np.uint64)])
+            slot, room = begin >> 6, 64 - (begin & 63)
+            over = np.maximum(0, size - room)
+            head = np.where(over > 0, code >> over.astype(np.uint64), code << np.maximum(0, room - size).astype(np.uint64))
             starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            words[slot[starts]] = np.add.reduceat(head, starts)
+            words[slot[starts]] += np.add.reduceat(head, starts)
             o = np.flatnonzero(over)
             words[slot[o] + 1] += code[o] << (64 - over[o]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: (total + 7) // 8], begin[::block].astype(np.uint64), total
+            offsets.append(begin[::block])  # 1 << 18 is a multiple of block
+        at = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
+        return words.astype(">u8").tobytes()[: (total + 7) // 8], at.astype(np.uint64), total
 
     def decode(self, bits: bytes, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         """All blocks in step: one table look-up a round gives the next id of each."""
