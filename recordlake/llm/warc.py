@@ -1,7 +1,6 @@
 """WARC archives with revisit resolution.
 
-Only headers (key, payload digest, length) are shuffled by digest; the payload
-moves once, to its archive.  Archives are written by Spark's text writer with
+Only headers (key, payload digest, length) are shuffled by digest.  Archives are written by Spark's text writer with
 ``CRLF CRLF`` as the record separator, which is exactly the record terminator
 of the format: one row is one record and the writer's commit protocol makes the
 files safe under lost executors.
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Scratch, session
+
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_key long, target_uri string, record_type string, payload_digest string, payload_bytes long, refers_to long"
@@ -94,20 +95,22 @@ def write_archives(
     url: str = "url",
     payload: str = "html",
     min_bytes: int = 1000,
-    archive_bytes: int = 32 << 20,
+    archive_bytes: int = 64 << 20,
     date: str = "1970-01-01T00:00:00Z",
 ) -> None:
     """Writes every row of `pages` as a record of gzip-compressed archives under `path`.
 
-    Archives hold about `archive_bytes` of payload each (one aggregate over the
-    table gives their number), whatever the number of rows or executors.
+    An archive holds as many records as four times the mean payload fits into
+    `archive_bytes`.  The payload is not shuffled unless the revisits are too many
+    to broadcast (their table is written first, so the planner knows its size).
     """
     records = headers(pages, key, url, payload)
-    total = pages.agg(F.sum(F.octet_length(payload)).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // archive_bytes))
+    sized = pages.agg(F.sum(F.octet_length(payload)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    rows = max(1, archive_bytes * max(1, sized["n"]) // max(1, 4 * (sized["b"] or 0)))
     revisits = resolve_revisits(records.select("rk", "record_key", "digest", "length"), min_bytes)
-    joined = records.repartition(n, "rk").join(revisits, "rk", "left").withColumn("warc_date", F.lit(date))
-    joined.select(_record_text().alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
+    revisits = Scratch(session(pages)).table(revisits, "revisits")  # its size is known to the planner below
+    joined = records.join(revisits, "rk", "left").withColumn("warc_date", F.lit(date))
+    joined.select(_record_text().alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n")
