@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_bands, q_records, q_text  # noqa: F401
+from . import q_bands, q_facts, q_records, q_text  # noqa: F401
 from .bindings import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
