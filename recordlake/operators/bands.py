@@ -46,7 +46,7 @@ def bands(counts: DataFrame, count: str, include_zero: bool = False) -> DataFram
     by = counts.withColumn("band", band_of(F.col(count), include_zero)).groupBy("band").agg(F.count(F.lit(1)).alias("entity_count"), F.sum(count).alias("case_count"))
     t = band_table(counts.sparkSession, include_zero)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return F.broadcast(t).join(by, "band", "left").select("band_order", "band", zero("entity_count"), zero("case_count"))
+    return t.join(F.broadcast(by), "band", "left").select("band_order", "band", zero("entity_count"), zero("case_count"))
 
 
 def quantiles(counts: DataFrame, count: str) -> DataFrame:
@@ -94,3 +94,24 @@ def display_is_consistent(display: Column, norm: Column, approved: Column) -> Co
     d, n = text.name_key(display), text.name_key(norm)
     same = (d == "") | (n == "") | (d == n)
     return F.coalesce(approved, F.lit(False)) | same | ((F.length(d) >= 12) & n.contains(d)) | ((F.length(n) >= 12) & d.contains(n))
+
+
+def bands_with_unknown(counts: DataFrame, count: str) -> DataFrame:
+    """Bands from most to least, then 0, then the entities without a captured count."""
+    known = bands(counts.where(F.col(count).isNotNull()), count, True)
+    missing = counts.where(F.col(count).isNull()).agg(F.count(F.lit(1)).alias("entity_count"))
+    last = missing.select(F.lit(len(THRESHOLDS) + 1).alias("band_order"), F.lit("not captured").alias("band"), "entity_count", F.lit(0).cast("long").alias("case_count"))
+    return known.union(last)
+
+
+def merge_histograms(histograms: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Histograms of repeated ids added up; missing counts add nothing and stay missing if all are."""
+    return histograms.groupBy(*keys).agg(F.sum(count).alias(count))
+
+
+def rank_in_window(histogram: DataFrame, entity: str, year: str, first: int, last: int) -> DataFrame:
+    """Entities ranked by their matters of the years in range."""
+    by = histogram.where(F.col(year).between(first, last)).groupBy(entity).agg(F.sum("n").alias("matters"))
+    from .rankings import ordinals
+
+    return ordinals(by, [F.col("matters").desc(), F.col(entity)], "rank")

@@ -224,3 +224,53 @@ def count_mismatches(entities: DataFrame, key: str, count: str, categories: Data
     """Entities whose category counts do not add up to a positive count."""
     total = categories.groupBy(key).agg(F.sum("n").alias("t"))
     return entities.join(total, key, "left").where((F.col(count) <= 0) | ~F.col(count).eqNullSafe(F.col("t"))).select(key, count, F.coalesce("t", F.lit(0)).alias("t"))
+
+
+def disposition_label(kind: Column, domain: Column, components: Column, overrides: dict[str, str] | None = None) -> Column:
+    """Words for an outcome: dismissed, a reviewed label of its kind, the kind or the domain in words."""
+    k, d = state_name(kind), state_name(domain)
+    words = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.replace(c.substr(F.lit(2), F.length(c)), F.lit("_"), F.lit(" ")))
+    out = F.when(F.coalesce(F.array_contains(components, "dismissed"), F.lit(False)) | (k == "dismissal"), "Dismissed")
+    for name, label in (overrides or {}).items():
+        out = out.when(k == name, label)
+    return out.when(k != "", words(k)).when(d != "", F.concat(words(d), F.lit(" disposition"))).otherwise("Disposition recorded")
+
+
+def review_reasons(*lists: Column) -> Column:
+    """Distinct reasons of all lists, sorted."""
+    every = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda r: F.trim(r) != "")))
+
+
+def roster_rule(source: Column) -> Column:
+    """solid from the roster, tentative from the docket, invalid from elsewhere."""
+    return F.when(source == "judicial_council", "solid").when(source == "docket", "tentative").otherwise("invalid")
+
+
+def visible_entities(kind: Column, matters: Column) -> Column:
+    """Judges always; others with matters."""
+    return (kind == "judge") | (F.coalesce(matters, F.lit(0)) > 0)
+
+
+def representation(mode: str, represented: Column, alone: Column) -> Column:
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return {"both": n(represented) + n(alone), "represented": n(represented), "pro_per": n(alone)}[mode] > 0
+
+
+def is_fictitious(name: Column) -> Column:
+    """'Does 1 through N' and the like."""
+    return F.coalesce(name.rlike(r"(?i)^\s*(?:does?|roes?)\s+\d+\s*(?:-|to|through|thru)\s*\d+"), F.lit(False))
+
+
+def choose_pleading(candidates: DataFrame, key: str, texts: DataFrame) -> DataFrame:
+    """(key, doc_id, sha256, source, causes): the candidate with most parsed causes, earlier rank first.
+
+    candidates: key, doc_id, sha256, rank; texts: sha256, text.
+    """
+    from .captions import parse_causes
+
+    j = candidates.join(texts, "sha256", "left").withColumn("causes", parse_causes(F.col("text")))
+    n = F.size(F.coalesce("causes", F.array().cast(j.schema["causes"].dataType)))
+    best = j.groupBy(key).agg(F.min_by(F.struct("doc_id", "sha256", F.col("text").isNotNull().alias("has_text"), "causes"), F.struct(-n, F.col("rank"), F.col("doc_id"))).alias("b"))
+    source = F.when(F.size("b.causes") > 0, "pleading").when(F.col("b.has_text"), "no_causes_found").otherwise("text_unavailable")
+    return best.select(key, "b.doc_id", "b.sha256", source.alias("source"), "b.causes")

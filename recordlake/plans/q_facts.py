@@ -152,3 +152,69 @@ def discovery_text(spark, d):
 def keyed_facet(spark, d):
     key = F.concat(F.lit("bar:"), (F.col("s_suppkey") % 40).cast("string"))
     return facets.facet(table(spark, d, "supplier"), "s_name", "s_suppkey", key=key)
+
+
+@query("lookup_build", """WITH h AS (SELECT c_custkey, c_name, CAST(list_reduce([CAST(ord(c) AS HUGEINT) for c in string_split('people:' || c_name, '')], lambda a, b: (xor(a, b) * 16777619) % 4294967296, CAST(2166136261 AS HUGEINT)) AS BIGINT) % 64 AS b FROM customer),
+ p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY c_custkey) - 1 AS record_index FROM h), r AS (SELECT lower(c_name) AS route, b, record_index, c_custkey FROM p UNION ALL SELECT 'k' || (c_custkey % 700), b, record_index, c_custkey FROM p),
+ f AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY route) - 1 AS duplicates FROM r) SELECT route, lower(lpad(to_hex(b), 2, '0')) AS record_bucket, record_index, duplicates FROM f WHERE k = 1""")
+def lookup_build(spark, d):
+    from ..operators import routes
+
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.concat(F.lit("K"), (F.col("c_custkey") % 700).cast("string")).alias("other"))
+    places = routes.record_places(c, "people", "c_name", "c_custkey", 64)
+    return routes.routes(places, "people", ["c_name", "other"], "c_custkey").select("route", "record_bucket", "record_index", "duplicates")
+
+
+@query("entity_bands_not_captured", "SELECT band, count(*) AS entity_count FROM (SELECT CASE WHEN n IS NULL THEN 'not captured' WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n < 5 THEN '2-4' WHEN n < 10 THEN '5-9' WHEN n < 25 THEN '10-24' ELSE '25-49' END AS band FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size % 50 END AS n FROM part)) GROUP BY band")
+def entity_bands_not_captured(spark, d):
+    from ..operators import bands
+
+    p = table(spark, d, "part").select(F.when(F.col("p_partkey") % 7 > 0, F.col("p_size") % 50).cast("long").alias("n"))
+    return bands.bands_with_unknown(p, "n").where("entity_count > 0").select("band", "entity_count")
+
+
+@query("year_window_rank", "WITH m AS (SELECT o_custkey, count(*) AS matters FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1) SELECT o_custkey, matters, row_number() OVER (ORDER BY matters DESC, o_custkey) AS rank FROM m")
+def year_window_rank(spark, d):
+    from ..operators import bands
+
+    h = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return bands.rank_in_window(h, "o_custkey", "y", 1996, 1998)
+
+
+@query("histogram_merge", "SELECT user_id % 20 AS id, CAST(date_part('day', ts) AS BIGINT) AS day, CAST(sum(CASE WHEN event_type = 'view' THEN NULL ELSE 1 END) AS BIGINT) AS n FROM events GROUP BY ALL")
+def histogram_merge(spark, d):
+    from ..operators import bands
+
+    e = table(spark, d, "events").groupBy("user_id", "event_type", F.dayofmonth("ts").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("c"))
+    e = e.select((F.col("user_id") % 20).alias("id"), "day", F.when(F.col("event_type") != "view", F.col("c")).alias("n"))
+    return bands.merge_histograms(e, ["id", "day"])
+
+
+@query("disposition_labels", "SELECT CASE o_orderkey % 5 WHEN 0 THEN 'Dismissed' WHEN 1 THEN 'Default judgment' WHEN 2 THEN 'Reviewed' WHEN 3 THEN 'Name change disposition' ELSE 'Disposition recorded' END AS label, count(*) AS n FROM orders GROUP BY 1")
+def disposition_labels(spark, d):
+    k = F.col("o_orderkey") % 5
+    kind = F.when(k == 1, "Default Judgment").when(k == 2, "possession").otherwise("")
+    x = casefacts.disposition_label(kind, F.when(k == 3, "name-change"), F.when(k == 0, F.array(F.lit("dismissed"))), {"possession": "Reviewed"})
+    return table(spark, d, "orders").groupBy(x.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("representation_filter", "SELECT c_mktsegment AS segment, count(*) FILTER (WHERE c_custkey % 4 > 0) AS visible, count(*) FILTER (WHERE c_custkey % 3 > 0) AS represented, count(*) FILTER (WHERE c_custkey % 5 = 0) AS fictitious FROM customer GROUP BY 1")
+def representation_filter(spark, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "DOES 1 through 20").otherwise(F.col("c_name"))
+    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count_if(casefacts.visible_entities(F.lit("firm"), k % 4)).alias("visible"), F.count_if(casefacts.representation("represented", k % 3, F.lit(1))).alias("represented"), F.count_if(casefacts.is_fictitious(name)).alias("fictitious")
+    )
+
+
+@query("review_reasons", "SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand WHEN p_brand < p_type THEN p_brand || '|' || p_type ELSE p_type || '|' || p_brand END AS reasons FROM part")
+def review_reasons(spark, d):
+    r = casefacts.review_reasons(F.array("p_brand", F.lit(" ")), F.array("p_type", "p_brand"), F.lit(None).cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(r, "|").alias("reasons"))
+
+
+@query("pleading_causes")
+def pleading_causes(spark, d):
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 200).alias("k"), "doc_id", F.sha2("text", 256).alias("sha256"), F.floor(F.col("doc_id") / 200).alias("rank"))
+    texts = table(spark, d, "documents").where("doc_id % 3 > 0").select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("COMPLAINT FOR\n1. FRAUD\n2. NEGLIGENCE\nJURY TRIAL\n"), "text").alias("text")).dropDuplicates(["sha256"])
+    return casefacts.choose_pleading(docs, "k", texts).select("k", "doc_id", "source", F.size("causes").alias("n"))
