@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -33,19 +33,34 @@ def tier(filed: Column, start: Column, end: Column, local: Column) -> Column:
 def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataFrame) -> DataFrame:
     """The best schedule row (code, title, effective_from, effective_to, priority, source) of each fact.
 
-    One equi-join on the code and one aggregation per fact: the tier and the
-    tie-breaks are an ordered struct, so nothing is sorted.
+    The tie-breaks do not depend on the fact, so schedule rows are ranked once
+    inside their code, latest first and earliest first.  A fact then needs the
+    least (tier, rank), one long, which aggregates by hash; the winner's columns
+    are joined back.
     """
     s = schedule.where((F.trim("title") != "") & ~F.lower(F.trim("title")).isin("a", "an", "and", "for", "nor", "of", "or", "the", "to", "with"))
     start, end = F.coalesce("effective_from", F.lit("")), F.coalesce("effective_to", F.lit(""))
     upper = F.upper("title")
     general = F.when(~upper.contains(":") & ~upper.contains(" - "), 2).otherwise(0) + F.when(~upper.rlike(r"\b(?:FIRST|SECOND|THIRD|1ST|2ND|3RD)\s+DEGREE\b"), 1).otherwise(0)
     number = F.when(start.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.replace(start, F.lit("-"), F.lit("")).cast("int")).otherwise(0)
-    joined = facts.join(s, facts[key] == s["code"]).withColumn("tier", tier(F.coalesce(F.col(filed), F.lit("")), start, end, F.col("priority") == 3))
-    order = F.struct(F.col("tier"), -F.col("priority"), -general, F.when(F.col("tier").isin(4, 5), number).otherwise(-number), F.length("title"), F.col("source"))
-    best = joined.groupBy(fact_id).agg(F.min_by(F.struct("title", "effective_from", "source", "tier"), order).alias("b"))
-    status = F.element_at(F.array(*map(F.lit, (*STATUSES, UNDATED))), F.col("b.tier") + 1)
-    return best.select(fact_id, "b.title", "b.effective_from", "b.source", status.alias("status"))
+    s = s.withColumn("_general", general).withColumn("_number", number)
+
+    def rank(by_date: Column) -> Column:
+        order = [F.col("priority").desc(), F.col("_general").desc(), by_date, F.length("title"), F.col("source")]
+        return F.row_number().over(Window.partitionBy("code").orderBy(*order)).cast("long")
+
+    ranked = s.withColumn("_late", rank(F.col("_number").desc())).withColumn("_early", rank(F.col("_number").asc()))
+    f = facts.select(fact_id, F.col(key).alias("code"), F.coalesce(F.col(filed), F.lit("")).alias("_filed"))
+    joined = f.join(ranked.select("code", start.alias("_start"), end.alias("_end"), (F.col("priority") == 3).alias("_local"), "_late", "_early"), "code")
+    t = tier(F.col("_filed"), F.col("_start"), F.col("_end"), F.col("_local"))
+    score = F.shiftleft(t.cast("long"), 40) + F.when(t.isin(4, 5), F.col("_early")).otherwise(F.col("_late"))
+    best = joined.groupBy(fact_id, "code").agg(F.min(score).alias("_score"))
+    best = best.withColumn("_tier", F.shiftright("_score", 40).cast("int")).withColumn("_rank", F.col("_score").bitwiseAND(F.lit((1 << 40) - 1)))
+    best = best.withColumn("_from_early", F.col("_tier").isin(4, 5))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("_late").alias("r")), F.struct(F.lit(True).alias("e"), F.col("_early").alias("r")))).alias("x")
+    winners = ranked.select("code", "title", "effective_from", "source", both).select("code", "title", "effective_from", "source", F.col("x.e").alias("_from_early"), F.col("x.r").alias("_rank"))
+    status = F.element_at(F.array(*map(F.lit, (*STATUSES, UNDATED))), F.col("_tier") + 1)
+    return best.join(winners, ["code", "_from_early", "_rank"]).select(fact_id, "title", "effective_from", "source", status.alias("status"))
 
 
 def with_fallback_key(facts: DataFrame, fact_id: str, exact: str, base: str, filed: str, schedule: DataFrame) -> DataFrame:
