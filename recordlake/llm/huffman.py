@@ -100,28 +100,36 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def id_type(tokenizer: str, end: int | None) -> str:
+    from tokenizers import Tokenizer
+
+    most = max([*Tokenizer.from_file(tokenizer).get_vocab().values(), end or 0])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def token_table(docs: DataFrame, tokenizer: str, end: int | None = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) with ids as little-endian uint32 bytes."""
+    """(doc_id, n_tokens, ids) with ids as little-endian bytes, two an id if the vocabulary allows."""
+    dtype = id_type(tokenizer, end)
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in slices(batches, 1):
             ids, at = enc.encode(Batch(b.column(1)), end)
-            raw = ids.astype("<u4").tobytes()
-            blobs = [raw[4 * a : 4 * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+            raw, k = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+            blobs = [raw[k * a : k * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, dtype: str) -> dict[int, int]:
     """Occurrences of every id over the corpus; at most one entry per id of the vocabulary."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for blob in b.column(0):
-                c = np.bincount(np.frombuffer(blob.as_buffer(), "<u4").astype(np.int64))
+                c = np.bincount(np.frombuffer(blob.as_buffer(), dtype).astype(np.int64))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c
@@ -251,26 +259,26 @@ def parse_file(data: bytes) -> tuple[dict, list[int | None], np.ndarray, np.ndar
     return head, docs, np.frombuffer(raw[4], "<u4").astype(np.int64), ids
 
 
-def write_files(tokens: DataFrame, path: str) -> Code:
-    """Writes (doc_id, n_tokens, ids), a table, in ascending doc_id order; returns the code."""
-    counts = id_counts(tokens)
+def write_files(tokens: DataFrame, path: str, dtype: str) -> Code:
+    """Writes (doc_id, n_tokens, ids of `dtype`), a table, in ascending doc_id order; returns the code."""
+    counts = id_counts(tokens, dtype)
     symbols = np.array(sorted(counts), np.int64)
     code = Code(symbols, code_lengths(np.array([counts[s] for s in symbols.tolist()], np.int64))) if len(symbols) else Code([0], [1])
     n = max(1, -(-sum(counts.values()) // FILE_TOKENS))
-    pair = (code.symbols, code.lengths)
+    pair, width = (code.symbols, code.lengths), np.dtype(dtype).itemsize
 
     def run(batches):
         own, part, seq = Code(*pair), TaskContext.get().partitionId(), 0
         docs, blobs, size = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(blobs), "<u4")
-            counts = np.array([len(x) // 4 for x in blobs], np.int64)
+            ids = np.frombuffer(b"".join(blobs), dtype)
+            counts = np.array([len(x) // width for x in blobs], np.int64)
             return pa.RecordBatch.from_arrays([pa.array([make_file(own, docs, counts, ids, part, seq)], pa.binary())], names=["file"])
 
         for b in batches:
             for d, blob in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                if docs and size + len(blob) > 8 * FILE_TOKENS:
+                if docs and size + len(blob) > 2 * width * FILE_TOKENS:
                     yield flush()
                     docs, blobs, size, seq = [], [], 0, seq + 1
                 docs.append(d)
@@ -322,4 +330,4 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
 def encode_corpus(docs: DataFrame, tokenizer: str, path: str, end: int | None = 2, id_col: str = "doc_id", text: str = "text") -> Code:
     tokens = Scratch(session(docs)).table(token_table(docs, tokenizer, end, id_col, text), "tokens")
-    return write_files(tokens, path)
+    return write_files(tokens, path, id_type(tokenizer, end))

@@ -124,7 +124,7 @@ def test_files_of_many_parts(spark, monkeypatch):
     tokens = Scratch(spark).table(huffman.token_table(frame(spark, rows), TOKENIZER), "tokens")
     monkeypatch.setattr(huffman, "FILE_TOKENS", 400)
     path = Scratch(spark).path("ids")
-    huffman.write_files(tokens, path)
+    huffman.write_files(tokens, path, huffman.id_type(TOKENIZER, 2))
     got = huffman.read_files(spark, path).orderBy("start").collect()
     assert len(got) == len(rows) and [r["doc_id"] for r in got] == sorted(r[0] for r in rows)
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
