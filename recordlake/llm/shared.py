@@ -80,7 +80,7 @@ def null_safe(left: DataFrame, right: DataFrame, names: list[str]):
     return cond
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text of each holds about `limit` bytes (or one row)."""
     for b in batches:
         n = b.num_rows
