@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with a shared-prefix search.
 
 A text is cut into marked words (a run of word marks and what follows, or one
-control character): no piece of such a model has a mark behind another
-character, so words are independent.  The distinct words of a task are sorted,
+control character that no piece of the model holds beside another character; a
+carriage return may be held so): no piece of such a model has a mark behind
+another character, so words are independent.  The distinct words of a task are sorted,
 which lays out their trie, and traversed depth-first: the forward state of a
 prefix (its best last piece, where that begins and the path's score) is
 computed once and reused by every word that shares it.
@@ -143,6 +144,8 @@ class PieceEncoder:
         lengths = np.array([len(t) for t in model.texts], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(lengths)])
         self.text_pool = np.frombuffer(b"".join(model.texts), np.uint8)
+        joined = {c for p in model.pieces if len(p) > 1 for c in p}
+        self.cuts = np.array([b < 32 and chr(b) not in joined for b in range(256)])  # bytes that are words of their own
 
     def reset(self):
         self.known = np.zeros(0, np.uint64)
@@ -160,7 +163,7 @@ class PieceEncoder:
         row_at = t.offsets + np.concatenate([[0], np.cumsum(full)])
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(t.n + 1, np.int64)
-        space, control = data == 32, data < 32
+        space, control = data == 32, self.cuts[data]
         begins = control.copy()
         begins[1:] |= control[:-1] | (space[1:] & ~space[:-1])
         begins[row_at[:-1][full]] = True

@@ -33,6 +33,20 @@ def test_pieces_equal_the_library():
         assert [x.decode() for x in enc.decode(ids, at)] == [sp.decode(x) for x in got]
 
 
+def test_carriage_returns_equal_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(7)
+    parts = ["\r", "\r\n", "\r\r", "\n", "\t", "\x0b", "\x00", " ", "  ", ";", ".", ")", "'", '"', "}", "*/", "end", "é", "日", "▁"]
+    t = ["a;\r\nb", "end. \r\nnext", "\r", "\r\n" * 40, "\r" * 500, "if (x) {\r\n    y();\r\n}\r\n"]
+    t += ["".join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(500)]
+    rows = [(i, x, None, None, len(x)) for i, x in enumerate(t)]
+    got = {x["doc_id"]: x for x in pieces.encode_decode(frame(spark, rows), MODEL).collect()}
+    for i, x in enumerate(t):
+        want = sp.encode(x)
+        assert np.frombuffer(got[i]["ids"], "<i4").tolist() == want and got[i]["n_tokens"] == len(want)
+        assert got[i]["round_trip"] == ("▁" not in x)
+
+
 def test_unigram_search_finds_the_best_path():
     r = random.Random(2)
     vocab = {"".join(r.choice("ab") for _ in range(r.randint(1, 4))) for _ in range(14)} | {"a", "b"}
