@@ -94,19 +94,19 @@ CHOSEN = """j AS (SELECT *, CASE WHEN filed = '' THEN 6 WHEN effective_from <= f
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, priority DESC, gen DESC, CASE WHEN tier IN (4, 5) THEN dt ELSE -dt END, length(title), source) AS k FROM j)"""
 
 
-def _schedule(spark, d):
+def _schedule(spark, d, parts="p_partkey < 700"):
     k = F.col("p_partkey")
     y = (1994 + k % 8).cast("string")
-    return table(spark, d, "part").where("p_partkey < 700").select(
+    return table(spark, d, "part").where(parts).select(
         F.col("p_brand").alias("code"), F.concat("p_name", F.when(k % 3 == 0, ": SECOND DEGREE").otherwise("")).alias("title"), F.concat(y, F.lit("-01-01")).alias("effective_from"),
         F.when(k % 2 == 0, F.concat(y, F.lit("-12-31"))).alias("effective_to"), F.when(k % 5 == 0, 3).when(k % 5 == 1, 2).otherwise(1).alias("priority"),
         F.concat(F.lit("src"), F.lpad(k.cast("string"), 9, "0")).alias("source"),
     )
 
 
-def _facts(spark, d):
+def _facts(spark, d, orders="o_orderkey % 3 = 0"):
     k = F.col("o_orderkey")
-    return cases(spark, d).where(k % 3 == 0).select(k.alias("id"), F.concat(F.lit("Brand#"), (k % 30).cast("string")).alias("fact_code"), F.when(k % 11 == 0, "").otherwise(F.col("filed")).alias("filed"))
+    return cases(spark, d).where(orders).select(k.alias("id"), F.concat(F.lit("Brand#"), (k % 30).cast("string")).alias("fact_code"), F.when(k % 11 == 0, "").otherwise(F.col("filed")).alias("filed"))
 
 
 @query("schedule_asof", f"WITH {SCHEDULE}, {FACTS}, {CHOSEN} SELECT id, title, effective_from, source, list_extract(['effective_at_filing', 'effective_at_filing_supplemental_source', 'latest_available_before_filing', 'latest_available_before_filing_supplemental_source', 'earliest_available_after_filing', 'earliest_available_after_filing_supplemental_source', 'latest_available_no_filing_date'], tier + 1) AS status FROM r WHERE k = 1")
@@ -114,12 +114,28 @@ def schedule_asof(spark, d):
     return asof.choose(_facts(spark, d), "id", "fact_code", "filed", _schedule(spark, d))
 
 
+@query("schedule_asof_whole")
+def schedule_asof_whole(spark, d):
+    """schedule_asof over every part and order."""
+    return asof.choose(_facts(spark, d, "true"), "id", "fact_code", "filed", _schedule(spark, d, "true"))
+
+
 @query("schedule_fallback_key", f"WITH {SCHEDULE}, {CASES}, facts AS (SELECT id, CASE WHEN id % 2 = 0 AND c IN (SELECT code FROM sched) THEN c ELSE 'Brand#' || (id % 7 + 1) END AS code, filed FROM (SELECT o_orderkey AS id, 'Brand#' || (o_orderkey % 30) AS c, filed FROM cases WHERE o_orderkey % 3 = 0)), {CHOSEN} SELECT id, title, source FROM r WHERE k = 1")
 def schedule_fallback_key(spark, d):
-    f = cases(spark, d).where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), "filed")
+    return _fallback(spark, d, "o_orderkey % 3 = 0", "p_partkey < 700")
+
+
+@query("schedule_fallback_key_whole")
+def schedule_fallback_key_whole(spark, d):
+    """schedule_fallback_key over every part and order."""
+    return _fallback(spark, d, "true", "true")
+
+
+def _fallback(spark, d, orders, parts):
+    f = cases(spark, d).where(orders).select(F.col("o_orderkey").alias("id"), "filed")
     f = f.withColumn("exact", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Brand#"), (F.col("id") % 30).cast("string"))).otherwise("none(a)"))
     f = f.withColumn("base", F.concat(F.lit("Brand#"), (F.col("id") % 7 + 1).cast("string")))
-    return asof.with_fallback_key(f, "id", "exact", "base", "filed", _schedule(spark, d)).select("id", "title", "source")
+    return asof.with_fallback_key(f, "id", "exact", "base", "filed", _schedule(spark, d, parts)).select("id", "title", "source")
 
 
 VERSIONS = """ver AS (SELECT p_brand AS code, p_partkey AS pos, (1993 + p_partkey % 7) || '-06-01' AS effective_from, CASE WHEN p_partkey % 3 > 0 THEN (1994 + p_partkey % 7) || '-05-31' END AS effective_to, 'u' || p_partkey AS url FROM part WHERE p_partkey < 60),
