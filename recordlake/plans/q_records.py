@@ -147,10 +147,20 @@ VERSIONS = """ver AS (SELECT p_brand AS code, p_partkey AS pos, (1993 + p_partke
  CASE WHEN historical IS NOT NULL THEN 'historical_version_at_filing' WHEN cur.url IS NULL THEN 'no_version' WHEN filed <> '' AND filed < current_start THEN 'current_version_postdates_filing' WHEN filed = '' THEN 'current_version_filing_date_unknown' WHEN current_start IS NULL THEN 'current_version_unverified' ELSE 'current_version_at_or_before_filing' END AS status
  FROM facts LEFT JOIN h USING (id) LEFT JOIN cur USING (code)""")
 def version_asof(spark, d):
+    return _versions(spark, d, "o_orderkey % 3 = 0", "p_partkey < 60", "p_partkey < 200")
+
+
+@query("version_asof_whole")
+def version_asof_whole(spark, d):
+    """version_asof over every part and order."""
+    return _versions(spark, d, "true", "true", "true")
+
+
+def _versions(spark, d, orders, old, now):
     p, k = table(spark, d, "part"), F.col("p_partkey")
-    ver = p.where("p_partkey < 60").select(F.col("p_brand").alias("code"), k.alias("pos"), F.concat((1993 + k % 7).cast("string"), F.lit("-06-01")).alias("effective_from"), F.when(k % 3 > 0, F.concat((1994 + k % 7).cast("string"), F.lit("-05-31"))).alias("effective_to"), F.concat(F.lit("u"), k.cast("string")).alias("url"))
-    cur = p.where("p_partkey < 200").groupBy(F.col("p_brand").alias("code")).agg(F.min("p_partkey").alias("m")).select("code", F.concat(F.lit("c"), "code").alias("url"), F.when(F.col("m") % 4 > 0, "1999-01-01").alias("current_start"))
-    return asof.version_at(_facts(spark, d), "id", "fact_code", "filed", ver, cur)
+    ver = p.where(old).select(F.col("p_brand").alias("code"), k.alias("pos"), F.concat((1993 + k % 7).cast("string"), F.lit("-06-01")).alias("effective_from"), F.when(k % 3 > 0, F.concat((1994 + k % 7).cast("string"), F.lit("-05-31"))).alias("effective_to"), F.concat(F.lit("u"), k.cast("string")).alias("url"))
+    cur = p.where(now).groupBy(F.col("p_brand").alias("code")).agg(F.min("p_partkey").alias("m")).select("code", F.concat(F.lit("c"), "code").alias("url"), F.when(F.col("m") % 4 > 0, "1999-01-01").alias("current_start"))
+    return asof.version_at(_facts(spark, d, orders), "id", "fact_code", "filed", ver, cur)
 
 
 @query("docket_document_outer", "WITH d AS (SELECT doc_id % 50 AS c, doc_id AS doc FROM documents WHERE doc_id % 3 > 0), e AS (SELECT DISTINCT user_id % 50 AS c, event_id % 1200 AS doc FROM events WHERE event_id % 2 = 0) SELECT c, doc, 'document' AS origin FROM d UNION ALL SELECT c, doc, 'docket' FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.c = e.c AND d.doc = e.doc)")

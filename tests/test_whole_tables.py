@@ -58,3 +58,24 @@ def test_schedule_fallback_key_whole(spark, tables):
             want[k] = (x[0], x[2])
     rows = catalog.QUERIES["schedule_fallback_key_whole"](spark, at).collect()
     assert len(rows) == len(want) and {r["id"]: (r["title"], r["source"]) for r in rows} == want
+
+
+def test_version_asof_whole(spark, tables):
+    at, parts, orders = tables
+    want = {}
+    for k, filed in orders:
+        code, filed = f"Brand#{k % 30}", "" if k % 11 == 0 else filed
+        own = sorted(p for p, _, b in parts if b == code)
+        hit = [p for p in own if filed and f"{1993 + p % 7}-06-01" <= filed and (p % 3 == 0 or filed <= f"{1994 + p % 7}-05-31")]
+        start = "1999-01-01" if own and own[0] % 4 > 0 else None
+        if hit:
+            want[k] = (f"u{hit[0]}", "historical_version_at_filing")
+        elif not own:
+            want[k] = (None, "no_version")
+        elif filed and start and filed < start:
+            want[k] = (None, "current_version_postdates_filing")
+        else:
+            want[k] = (f"c{code}", "current_version_filing_date_unknown" if not filed else "current_version_at_or_before_filing" if start else "current_version_unverified")
+    rows = catalog.QUERIES["version_asof_whole"](spark, at).collect()
+    assert len(rows) == len(want) and {r["id"]: (r["url"], r["status"]) for r in rows} == want
+    assert any(k % 3 and u and u.startswith("u") and int(u[1:]) >= 60 for k, (u, _) in want.items())
