@@ -131,6 +131,16 @@ def alias_unique_join(spark, d):
     return facets.unique_aliases(p.where("p_partkey < 400"), "p_brand", "p_name", routes, "route")
 
 
+@query("alias_unique_join_whole", """WITH n AS (SELECT p_brand AS owner, lower(p_name || ' ' || p_type || ' ' || p_size) AS s FROM part), one AS (SELECT s AS spelling, min(owner) AS owner FROM n GROUP BY s HAVING count(DISTINCT owner) = 1)
+ SELECT * FROM one WHERE spelling NOT IN (SELECT lower(p_name || ' ' || p_type || ' ' || CAST(p_size * 2 AS VARCHAR)) FROM part)""")
+def alias_unique_join_whole(spark, d):
+    """alias_unique_join over the owners and routes of every part; routes are spelled with twice the size."""
+    p = table(spark, d, "part")
+    names = p.select("p_brand", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("alias"))
+    routes = p.select(F.lower(F.concat_ws(" ", "p_name", "p_type", (F.col("p_size") * 2).cast("string"))).alias("route"))
+    return facets.unique_aliases(names, "p_brand", "alias", routes, "route")
+
+
 @query("identity_merge_keys", """WITH n AS (SELECT DISTINCT string_split(lower(p_name), ' ') AS w FROM part), names AS (SELECT w[1] || ' ' || w[2] AS norm, w[1] AS first, w[2] AS last, CAST(NULL AS VARCHAR) AS mid FROM n UNION SELECT w[1] || ' ' || w[1][1] || ' ' || w[2], w[1], w[2], w[1][1] FROM n
  UNION SELECT w[1] || ' zed ' || w[2], w[1], w[2], 'zed' FROM n WHERE w[2] = 'bolt' UNION SELECT w[2], '', w[2], NULL FROM n),
  f AS (SELECT first, last, count(DISTINCT mid) = 1 AS unite, min(norm) AS root FROM names WHERE first <> '' GROUP BY ALL), r AS (SELECT norm, last, CASE WHEN unite THEN root ELSE norm END AS root FROM names JOIN f USING (first, last)),

@@ -65,6 +65,15 @@ def tentative_counts(spark, d):
     return casefacts.counts_by_alias(p.select(F.col("p_brand").alias("brand")).distinct(), "brand", spell, counts)
 
 
+@query("tentative_counts_whole", """WITH p AS (SELECT *, p_name || ' ' || p_type || ' ' || p_size AS spelling FROM part), s AS (SELECT spelling, count(DISTINCT p_brand) AS k, min(p_brand) AS owner FROM p GROUP BY spelling), c AS (SELECT spelling, CAST(sum(p_size) AS BIGINT) AS n FROM p GROUP BY spelling)
+ SELECT b.p_brand AS brand, CAST(coalesce(t.total, 0) AS BIGINT) AS total FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN (SELECT owner, sum(n) AS total FROM s JOIN c USING (spelling) WHERE k = 1 GROUP BY owner) t ON owner = b.p_brand""")
+def tentative_counts_whole(spark, d):
+    """tentative_counts with the spellings of every part."""
+    p = table(spark, d, "part").withColumn("spelling", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")))
+    counts = p.groupBy("spelling").agg(F.sum("p_size").alias("n"))
+    return casefacts.counts_by_alias(p.select(F.col("p_brand").alias("brand")).distinct(), "brand", p.select(F.col("p_brand").alias("owner"), "spelling"), counts)
+
+
 @query("closure_validation", "SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) AND o_orderkey % 7 > 0) AS valid FROM orders GROUP BY 1")
 def closure_validation(spark, d):
     k = F.col("o_orderkey")

@@ -79,3 +79,12 @@ def test_version_asof_whole(spark, tables):
     rows = catalog.QUERIES["version_asof_whole"](spark, at).collect()
     assert len(rows) == len(want) and {r["id"]: (r["url"], r["status"]) for r in rows} == want
     assert any(k % 3 and u and u.startswith("u") and int(u[1:]) >= 60 for k, (u, _) in want.items())
+
+
+def test_spellings_of_all_parts(spark, tmp_path):
+    at = str(tmp_path)
+    parts = [(1, "red bolt", "A", "TIN", 3), (9000, "red bolt", "B", "TIN", 3), (9001, "blue nut", "B", "TIN", 5), (2, "tin cog", "A", "ZINC", 8), (9002, "tin cog", "A", "ZINC", 4), (9003, "tin cog", "A", "ZINC", 4)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{at}/part.parquet")
+    got = {(r["spelling"], r["owner"]) for r in catalog.QUERIES["alias_unique_join_whole"](spark, at).collect()}
+    assert got == {("blue nut tin 5", "B"), ("tin cog zinc 4", "A")}  # red bolt has two owners; tin cog zinc 8 is the route of size 4
+    assert {(r["brand"], r["total"]) for r in catalog.QUERIES["tentative_counts_whole"](spark, at).collect()} == {("A", 16), ("B", 5)}
