@@ -111,8 +111,8 @@ def _features(batches):
         sig = iter(signatures(v, at))
         sigs = [None if k is None else next(sig).tobytes() for k in keys]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "sig"],
+            [b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), *b.columns[2:]],
+            names=["doc_id", "n_shingles", "set_key", "sig", *b.schema.names[2:]],
         )
 
 
@@ -206,10 +206,30 @@ def _confirm(percent: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of `docs`."""
+    out = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), percent)
+    return out.withColumnRenamed("doc_id", id_col)
+
+
+def kept_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, text_key, n): the id and text hash that each component keeps, and how many rows have both.
+
+    Of several texts of the least id in one component, the one of least hash
+    is kept.  Texts without words are all kept.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    per = _judged(rows, percent, ["text_key"], ["label"]).where("kept").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("label").isNull(), F.struct("doc_id", "text_key"))
+    return per.groupBy("label", own.alias("own")).agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x")).select("x.*")
+
+
+def _judged(docs: DataFrame, percent: int, extra: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row, with its long columns `extra`, and with
+    the component's own name where `labels` asks for it (one id may be the least of two components)."""
+    extra, labels = extra or [], labels or []
     spark = session(docs)
     scratch, p = Scratch(spark), partitions(session(docs))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    feats = scratch.table(docs.mapInArrow(_features, "doc_id long, n_shingles long, set_key binary, sig binary"), "features")
+    more = "".join(f", {k} long" for k in extra)
+    feats = scratch.table(docs.mapInArrow(_features, f"doc_id long, n_shingles long, set_key binary, sig binary{more}"), "features")
     classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = scratch.table(classes, "classes")
 
@@ -240,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = classes.select("set_key", "doc_id").join(label, F.col("set_key") == F.col("node"), "left")
     named = named.select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = scratch.table(named.join(least, "label").select(F.col("set_key").alias("k"), "component_id"), "of")
-    out = feats.select("doc_id", "n_shingles", "set_key").join(of, F.col("set_key") == F.col("k"), "left")
+    of = scratch.table(named.join(least, "label").select(F.col("set_key").alias("k"), "component_id", *labels), "of")
+    out = feats.select("doc_id", "n_shingles", "set_key", *extra).join(of, F.col("set_key") == F.col("k"), "left")
     alone = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"))
+    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), *extra, *labels)

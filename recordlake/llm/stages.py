@@ -22,9 +22,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate group (and every document without words)."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Keeps the document of least id of each near-duplicate group (and every document without words).
+
+    Rows are told apart by id and text: of several texts of that id in a group
+    one is kept (the least hash), and of rows with equal id and text one (the
+    least other columns), also where the text has no words.
+    """
+    kept = Scratch(spark).table(neardup.kept_rows(docs).toDF("kept_id", "kept_key", "n"), "kept")
+    on = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
+    once, more = kept.where("n = 1"), kept.where("n > 1")
+    out = docs.join(once, on, "left_semi")
+    if more.isEmpty():
+        return out
+    again = docs.join(more, on).groupBy("kept_id", "kept_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.union(again.select("row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordlake.llm import stages
@@ -45,6 +47,23 @@ def test_stages_take_effect(spark, folder):
     assert ids.count() == mixed.count() and all(r["round_trip"] for r in ids.collect())
 
 
+def test_near_dedup_decides_by_row(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(900)}" for _ in range(100)]
+    near = lambda k: " ".join(base[:k] + ["other"] + base[k + 1 :])
+    rows = [
+        (1, near(0), "en", "a", 0), (1, near(0), "en", "a", 0), (1, near(0), "de", "a", 0),  # equal id and text
+        (1, near(9), "en", "a", 0),  # another text of the id in the same group
+        (2, near(3), "en", "a", 0), (2, "a text of its own", "en", "b", 0),  # one near copy of id 1, one not
+        (1, "alone with a repeated id", "en", "a", 0),  # the least id of a second group
+        (3, "", None, None, 0), (3, "", None, None, 0), (4, "", None, None, 0), (None, None, None, "s", 0), (None, None, None, "s", 0),
+    ]
+    got = Counter(tuple(x) for x in stages.near_dedup(spark, frame(spark, rows), "").collect())
+    first = min((near(0), near(9)), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    want = [(1, first, "de" if first == near(0) else "en", "a", 0), rows[5], rows[6], rows[7], rows[9], rows[10]]
+    assert got == Counter(want)
+
+
 def test_run_chains_the_stages(spark, folder):
     at, _ = folder
     assert [n for n, _ in corpus_pipeline.STAGES] == [n for n, _ in stages.STAGES]
