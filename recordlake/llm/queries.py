@@ -81,4 +81,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": r"""WITH p AS (SELECT page_id, trim(regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g')) AS target_uri, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+ m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d), r AS (SELECT p.*, CASE WHEN n >= 1000 AND (page_id IS NULL OR page_id < top) THEN top END AS refers_to FROM p LEFT JOIN m USING (d))
+ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, target_uri FROM r""",
+}

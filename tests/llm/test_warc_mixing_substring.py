@@ -1,4 +1,5 @@
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -134,3 +135,24 @@ def test_substring_cut_bytes_keeps_untouched_texts(spark):
 
 def test_substring_empty_table(spark):
     assert substring.remove_repeats(frame(spark, corpus(1, 5)).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "repeats"])
+def test_op1_warc_equals_its_sql(spark, sf, tmp_path):
+    from recordlake.llm import queries
+
+    at = str(tmp_path) if sf == "repeats" else f"/root/testdata/{sf}"
+    if sf == "repeats":  # the tables have no revisit
+        big = "é" * 500
+        pages = [(1, "u1", big), (2, "u2", big), (5, "u5", big), (None, "un", big), (5, "u5", big), (3, "u3", "small"), (4, None, "small"), (6, "u6", None), (7, "u7", "é" * 499), (8, "u8", "é" * 499)]
+        spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{at}/pages.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    got = queries.QUERIES["op1_warc"](spark, at)
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{at}/pages.parquet{"/*.parquet" if sf == "repeats" else ""}'")
+    cur = c.execute(queries.SQL["op1_warc"])
+    assert [x[0] for x in cur.description] == got.columns
+    rows = Counter(tuple(r) for r in got.collect())
+    assert rows == Counter(cur.fetchall()) and any(r[3] == "revisit" for r in rows) == (sf == "repeats")
