@@ -1,4 +1,8 @@
-"""Connected components and block pairs on DataFrames; nothing is collected."""
+"""Connected components, block pairs and joins with hot keys on DataFrames; nothing is collected.
+
+Nodes and keys are not null; an edge from a node to itself, and edges that
+repeat, change nothing; no edges give no components.
+"""
 
 from __future__ import annotations
 
@@ -12,32 +16,56 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+#: A key with more than one row in SHARES (and more than FEW rows) is hot; there are less than SHARES of them.
+SHARES, FEW = 1 << 16, 4096
+
+
+def join_by_share(rows: DataFrame, table: DataFrame, key: str, count: str = "n", how: str = "inner") -> DataFrame:
+    """Join (inner or left) of `rows` with a stored `table` of one row per key that says how many rows have it.
+
+    Hot keys are joined by a broadcast of less than SHARES rows, whatever the
+    data; of the others none has more than its share, so no task gets a long key.
+    """
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    if (most or 0) <= FEW:
+        return rows.join(table.drop(count), key, how)
+    limit = max(FEW, total // SHARES)
+    hot = F.broadcast(table.where(F.col(count) > limit).drop(count))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= limit).drop(count), key, how)
+    return cold.unionByName(rows.join(hot, key))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label) of every node in `edges` (a, b); label is the smallest node reachable.
+    """(node, label) of every node in `edges` (a, b), longs without nulls; label is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): minima are
     pre-aggregated, every step keeps at most as many edges as it got, and the
     number of rounds grows with the logarithm of the components' size.
     """
+    def least(e: DataFrame, to: str) -> DataFrame:
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        return low if few else scratch.table(low, to)
+
+    def neighbours(e: DataFrame, low: DataFrame) -> DataFrame:
+        return e.join(low.drop("n"), "u") if few else join_by_share(e, low, "u")
+
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.table(e, f"{name}_0")
+    few = 2 * e.count() <= FEW  # no key can be hot, so nothing need be counted first
     seen, k = None, 0
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _min_neighbour(both)
         # large star: larger neighbours move to the least of the neighbourhood
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        low = least(both, f"{name}_large_{k}")
+        big = neighbours(both, low).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         big = big.where("u <> v").distinct()
+        big = big if few else scratch.table(big, f"{name}_big_{k}")
         # small star: smaller neighbours and the node itself move to the least
-        low = _min_neighbour(big)
-        small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e2 = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}_{k + 1}")
-        state = tuple(e2.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        scratch.drop(f"{name}_{k}")
+        low2 = least(big, f"{name}_small_{k}")
+        small = neighbours(big, low2).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e2 = scratch.table(small.union(low2.select("u", F.col("m").alias("v"))).distinct(), f"{name}_{k + 1}")
+        state = tuple(e2.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        scratch.drop(f"{name}_{k}", f"{name}_large_{k}", f"{name}_big_{k}", f"{name}_small_{k}")
         e, k = e2, k + 1
         if state == seen:
             break

@@ -12,11 +12,13 @@ binaryFile; no task opens a path itself.
 
 Defined results: a null text is an empty one (its end id remains); null ids
 come first; rows that repeat an id follow each other in order of their ids;
-other columns are ignored; an empty table gives no files.
+a text of any length is one document of one file; other columns are ignored; an
+empty table gives no files.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 
@@ -26,63 +28,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, session, slices
-from .textkit import Batch
+from .shared import Scratch, quoted, session, shipped, slices
+from .textkit import Batch, WordPool
 
 MAGIC, BLOCK, LIMIT = b"HUFB0001", 256, 18
 FILE_TOKENS = 4 << 20
 CACHE_WORDS = 1 << 21
-_ENCODERS: dict = {}  # of this worker process, by tokenizer file
+_ENCODERS: dict = {}  # of this worker process, by the tokenizer's digest
 
 
 class WordEncoder:
     """Ids of whole texts from the ids of their distinct words (kept between batches)."""
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: bytes):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self):
-        self.known = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes, spans, data):
-        raw, sizes, pool = data.tobytes(), [], [self.pool]
-        for lo in range(0, len(spans), 2048):  # words side by side; the tokens' places tell them apart
-            texts = [raw[a:z].decode() for a, z in spans[lo : lo + 2048]]
-            e = self.tok.encode(" ".join(texts), add_special_tokens=False)
-            begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+        self.tok = Tokenizer.from_buffer(tokenizer)
+        self.words = WordPool(CACHE_WORDS)
+
+    def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, ids = [], []
+        for lo in range(0, len(texts), 2048):  # words side by side; the tokens' places tell them apart
+            part = texts[lo : lo + 2048]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
             place = np.array([o[0] for o in e.offsets], np.int64)
             word = np.searchsorted(begin, place, side="right") - 1
-            sizes.append(np.bincount(word, minlength=len(texts)))
-            pool.append(np.array(e.ids, np.uint32))
-        size = np.concatenate(sizes)
-        start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.pool = np.concatenate(pool)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known = known[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size])[order]
+            sizes.append(np.bincount(word, minlength=len(part)))
+            ids.append(np.array(e.ids, np.uint32))
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def encode(self, t: Batch, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row bounds); `end` is appended to each row."""
         s, e, _ = t.words
-        u, first, inv = np.unique(t.word_hash(), return_index=True, return_inverse=True)
-        if len(self.known) + len(u) > CACHE_WORDS:
-            self.reset()
-        k = np.searchsorted(self.known, u)
-        new = np.ones(len(u), bool)
-        inside = k < len(self.known)
-        new[inside] = self.known[k[inside]] != u[inside]
-        if new.any():
-            self._learn(u[new], np.stack([s[first[new]], e[first[new]]], 1).tolist(), t.data)
-            k = np.searchsorted(self.known, u)
-        start, size, pool = self.start[k][inv], self.size[k][inv], self.pool
+        spell = lambda at: self._learn([t.data[s[i] : e[i]].tobytes().decode() for i in at.tolist()])
+        start, size = self.words.places(t.data, s, e, spell)
+        pool = self.words.pool
         if end is not None:
             pool = np.append(pool, np.uint32(end))
             start = np.insert(start, t.word_bounds[1:], len(pool) - 1)
@@ -93,11 +74,12 @@ class WordEncoder:
         return out, at[t.word_bounds + extra]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(tokenizer: bytes) -> WordEncoder:
     """The encoder of this process; its words outlive a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    name = hashlib.sha256(tokenizer).digest()
+    if name not in _ENCODERS:
+        _ENCODERS[name] = WordEncoder(tokenizer)
+    return _ENCODERS[name]
 
 
 def id_type(tokenizer: str, end: int | None) -> str:
@@ -109,17 +91,17 @@ def id_type(tokenizer: str, end: int | None) -> str:
 
 def token_table(docs: DataFrame, tokenizer: str, end: int | None = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) with ids as little-endian bytes, two an id if the vocabulary allows."""
-    dtype = id_type(tokenizer, end)
+    dtype, model = id_type(tokenizer, end), shipped(session(docs), tokenizer)
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(model.value)
         for b in slices(batches, 1):
             ids, at = enc.encode(Batch(b.column(1)), end)
             raw, k = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
             blobs = [raw[k * a : k * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, dtype: str) -> dict[int, int]:

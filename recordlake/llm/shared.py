@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,17 +21,35 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def make_importable(spark: SparkSession) -> None:
-    """Lets Python workers find this package where it is not installed."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    """Ships this package to the Python workers, once a context: Spark serves a zip from the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_recordlake_shipped", False):
+        return
+    package = os.path.join(ROOT, "recordlake")
+    at = os.path.join(tempfile.mkdtemp(prefix="recordlake-"), "recordlake.zip")  # read by the driver only
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, ROOT))
+    sc.addPyFile(at)
+    sc._recordlake_shipped = True
+
+
+def shipped(spark: SparkSession, path: str):
+    """A broadcast of a model file of the driver (a few MB, whatever the data)."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="recordlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -40,13 +59,21 @@ class Scratch:
     """Tables under one new folder of the shared directory.
 
     A table is written by Spark's committer and read back with its own schema,
-    so that its lineage starts at files every executor can read.
+    so that its lineage starts at files every executor can read.  The folder goes
+    when the driver's JVM ends, or by close() once no DataFrame reads it.
     """
 
     def __init__(self, spark: SparkSession):
         make_importable(spark)
         self.spark = spark
         self.at = f"{shared_dir(spark)}/recordlake-{uuid.uuid4().hex}"
+        fs, path = self._file_system(self.at)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _file_system(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -56,14 +83,67 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads."""
+        for name in names:
+            fs, path = self._file_system(self.path(name))
+            fs.delete(path, True)
+
+    def close(self) -> None:
+        fs, path = self._file_system(self.at)
         fs.delete(path, True)
 
 
+#: A membership filter: BUCKETS bitmaps of BITMAP_BITS bits (the size Spark's function makes), 8 MB in all.
+BUCKETS, BITMAP_BITS = 2048, 1 << 15
+
+
+class Filter:
+    """A Bloom filter (one hash) of a column's values, of fixed size, built and read by Spark's bitmap functions.
+
+    It keeps rows without a partner out of a shuffle; what it lets through is
+    still joined, so a filter that fills up costs time, not results.
+    """
+
+    def __init__(self, scratch: Scratch, values: DataFrame, column: str, name: str):
+        at = values.select(self._place(F.col(column)).alias("at"))
+        bits = at.groupBy(self._bucket(F.col("at")).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP_BITS))).alias("bits"))
+        self.bits = scratch.table(bits, name)
+
+    @staticmethod
+    def _place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("member"), value), F.lit(BUCKETS * BITMAP_BITS))
+
+    @staticmethod
+    def _bucket(at: Column) -> Column:
+        return F.shiftright(at, 15).cast("int")
+
+    def mark(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """`rows` with a boolean column: false means that `value` is surely not a member."""
+        at = self._place(value)
+        bit = F.pmod(at, F.lit(BITMAP_BITS)).cast("int")
+        mine = self.bits.select(F.col("bucket").alias(f"{name}_bucket"), F.col("bits").alias(f"{name}_bits"))
+        joined = rows.join(F.broadcast(mine), self._bucket(at) == F.col(f"{name}_bucket"), "left")  # at most BUCKETS rows
+        byte = F.conv(F.hex(F.substring(F.col(f"{name}_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))) == 1, F.lit(False))
+        return joined.select(*rows.columns, hit.alias(name))
+
+
+def carried(names: list[str]) -> Column:
+    """A struct of the columns `names`, so that no name of theirs meets one of an operator's."""
+    fields = [F.col(quoted(c)) for c in names] or [F.lit(0).alias("none")]
+    return F.struct(*fields).alias("carried")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns `names` of the struct."""
+    return [F.col("carried").getField(c).alias(c) for c in names]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

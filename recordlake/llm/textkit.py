@@ -4,9 +4,10 @@ Every function works on whole texts and on all rows of a batch at once: a word
 is a maximal run of bytes outside ``0x20`` and ``0x09-0x0D``.  UTF-8
 continuation bytes are all above ``0x7F``, so byte positions are safe cut points.
 
-Hashes are polynomial (Rabin-Karp) prefix sums modulo 2**64 with odd bases, so
-the hash of any span is one subtraction and one multiplication by a power of
-the base's inverse; a bijective mix removes the low-bit weakness of that ring.
+Byte spans are hashed by eight-byte words: each word is mixed with a key of its
+place in the span and the results are added, so no algebraic pattern of the text
+(repeats, Thue-Morse words) carries over to the sum.  Windows of tokens have
+Rabin-Karp hashes in the field modulo the prime 2**61 - 1.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD6E8FEB86659FD93
-WORD_BASE_2 = 0xA0761D6478BD642F
+PRIME = (1 << 61) - 1
+WORD_BASE = 0x16E8FEB86659FD93  # below PRIME
+WORD_BASE_2 = 0x0761D6478BD642F5
+PLACE = 0x9E3779B97F4A7C15
+SECOND = 0xA0761D6478BD642F
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -33,23 +36,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=16)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    size = 1 << max(10, (n - 1).bit_length() if n > 1 else 1)
-    return _powers(base, size)[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 class Batch:
     """Bytes and row offsets of an Arrow string column; null rows are empty."""
 
@@ -108,48 +94,141 @@ class Batch:
         return self.span_hash(s, e, lower)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = len(data)
-    out = np.empty(len(start), np.uint64)
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span; another `salt` gives an independent hash."""
+    out = np.zeros(len(start), np.uint64)
     if not len(start):
         return out
-    # Blocks of whole spans keep the power table and the temporaries small.
-    at, block = 0, 1 << 20
-    inv = inverse(BYTE_BASE)
-    while at < len(start):
-        lo = int(start[at])
-        upto = max(at + 1, int(np.searchsorted(start, lo + block)))
-        hi = int(end[at:upto].max())
-        seg = data[lo:hi].astype(np.uint64)
-        seg += U64(1)
-        seg *= powers(BYTE_BASE, hi - lo)
-        acc = np.empty(hi - lo + 1, np.uint64)
-        acc[0] = 0
-        np.cumsum(seg, out=acc[1:])
-        s, e = start[at:upto] - lo, end[at:upto] - lo
-        out[at:upto] = (acc[e] - acc[s]) * powers(inv, hi - lo + 1)[s]
-        at = upto
-    return mix(out)
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at8 = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    for lo in range(0, len(start), 1 << 17):
+        hi = min(len(start), lo + (1 << 17))
+        out[lo:hi] = _first_words(at8, start[lo:hi], size[lo:hi], salt)
+    more = np.flatnonzero(size > 8)
+    chunks = (size[more] - 1) // 8  # eight-byte words after the first
+    upto = np.cumsum(chunks)
+    at = 0
+    while at < len(more):  # about 2**17 words at a time; a longer span goes in pieces
+        done = int(upto[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, done + (1 << 17), side="right")))
+        n = chunks[at:stop]
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        for piece in range(0, int(n.sum()), 1 << 17):
+            k = np.arange(piece, min(int(n.sum()), piece + (1 << 17)))
+            own = np.searchsorted(begin, k, side="right") - 1
+            place = k - begin[own] + 1
+            span = more[at:stop][own]
+            v = at8[start[span] + 8 * place] & _low_bytes(size[span] - 8 * place)
+            v = mix(v ^ mix(place.astype(np.uint64) * U64(PLACE), salt))
+            np.add.at(out, span, v)
+        at = stop
+    return mix(out + size.astype(np.uint64) * U64(PLACE))
+
+
+def _low_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks of the low min(n, 8) bytes."""
+    keep = np.clip(n, 0, 8).astype(np.uint64)
+    return np.where(keep == 0, U64(0), U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (U64(8) - np.maximum(keep, U64(1)))))
+
+
+def _first_words(at8: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    v = at8[start] & _low_bytes(size)
+    return mix(v ^ mix(np.zeros(1, np.uint64), salt))
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, check, first span, number) of the distinct byte spans; number maps each span to its key.
+
+    Spans are told apart by two independent 64-bit hashes; where only the first
+    agrees, both make the keys.
+    """
+    h, g = span_hash(data, start, end), span_hash(data, start, end, SECOND)
+    u, first, number = np.unique(h, return_index=True, return_inverse=True)
+    if (g[first][number] != g).any():
+        u, first, number = np.unique(mix(h, SECOND) ^ g, return_index=True, return_inverse=True)
+    return u, g[first], first, number
+
+
+class WordPool:
+    """Numbers of distinct words, kept between batches; forgets all beyond `most` words."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.reset()
+
+    def reset(self):
+        self.known = np.zeros(0, np.uint64)
+        self.check = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in the pool, size) of each word; learn(first spans) gives (sizes, numbers) of new ones."""
+        u, check, first, number = distinct_spans(data, start, end)
+        if len(self.known) + len(u) > self.most:
+            self.reset()
+        k = np.minimum(np.searchsorted(self.known, u), max(0, len(self.known) - 1))
+        old = self.known[k] == u if len(self.known) else np.zeros(len(u), bool)
+        if (self.check[k[old]] != check[old]).any():  # another word has the key
+            self.reset()
+            old[:] = False
+        if not old.all():
+            sizes, numbers = learn(first[~old])
+            begin = len(self.pool) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            self.pool = np.concatenate([self.pool, numbers.astype(np.uint32)])
+            known = np.concatenate([self.known, u[~old]])
+            order = np.argsort(known)
+            self.known = known[order]
+            self.check = np.concatenate([self.check, check[~old]])[order]
+            self.start = np.concatenate([self.start, begin])[order]
+            self.size = np.concatenate([self.size, sizes])[order]
+            k = np.searchsorted(self.known, u)
+        return self.start[k][number], self.size[k][number]
+
+
+def times(a: np.ndarray, c: int) -> np.ndarray:
+    """a * c modulo PRIME, for values below PRIME."""
+    low, high = U64(c & 0x7FFFFFFF), U64(c >> 31)
+    al, ah = a & U64(0x7FFFFFFF), a >> U64(31)
+    middle = ah * low + al * high
+    out = ((ah * high) << U64(1)) + (middle >> U64(30)) + ((middle & U64(0x3FFFFFFF)) << U64(31)) + al * low
+    return reduced((out & U64(PRIME)) + (out >> U64(61)))
+
+
+def reduced(a: np.ndarray) -> np.ndarray:
+    """Values below 2 * PRIME, modulo PRIME."""
+    return np.where(a >= U64(PRIME), a - U64(PRIME), a)
 
 
 def window_hash(tokens: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
-    """Rabin-Karp hash of every run of `width` consecutive tokens.
+    """Rabin-Karp hash modulo PRIME, mixed, of every run of `width` consecutive tokens.
 
-    The rolling sums wrap modulo 2**64; the array has max(0, n - width + 1)
-    entries and ignores row boundaries (see window_starts).
+    The hash of a run is built from those of its halves (width 35 is 32 + 2 + 1),
+    so no prefix sum is needed.  There are max(0, n - width + 1) entries; row
+    boundaries are ignored (see window_starts).
     """
     n = len(tokens)
     if n < width:
         return np.zeros(0, np.uint64)
     out = np.empty(n - width + 1, np.uint64)
-    block, inv = 1 << 20, inverse(base)
-    for lo in range(0, len(out), block):
-        hi = min(len(out), lo + block)
-        seg = tokens[lo : hi + width - 1] * powers(base, hi - lo + width - 1)
-        acc = np.empty(len(seg) + 1, np.uint64)
-        acc[0] = 0
-        np.cumsum(seg, out=acc[1:])
-        out[lo:hi] = (acc[width:] - acc[:-width]) * powers(inv, hi - lo + 1)[: hi - lo]
+    for lo in range(0, len(out), 1 << 16):
+        hi = min(len(out), lo + (1 << 16))
+        run = tokens[lo : hi + width - 1]
+        run = reduced((run & U64(PRIME)) + (run >> U64(61)))
+        size, total, done = 1, None, 0
+        while True:
+            if width & size:  # the next `size` tokens, after the `done` ones
+                k = hi - lo
+                part = run[done : done + k]
+                total = part if total is None else reduced(times(total, pow(base, size, PRIME)) + part)
+                done += size
+            if 2 * size > width:
+                break
+            run = reduced(times(run[:-size], pow(base, size, PRIME)) + run[size:])
+            size *= 2
+        out[lo:hi] = total
     return mix(out)
 
 
