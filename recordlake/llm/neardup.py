@@ -17,7 +17,8 @@ A link at exactly the threshold escapes the 32 bands of 4 with probability
 Defined results: null and empty texts, and texts without words, have no
 shingles and stay alone; a null id is an id like others; rows with one id and
 different texts are classes of their own and may have different components;
-other columns are ignored.
+rows that repeat id and text are judged alike; texts of any length are taken
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import block_pairs, boundaries, components, forest, groups
-from .shared import Scratch, partitions, session, slices
-from .textkit import U64, WORD_BASE, Batch, mix, powers, window_hash, window_starts
+from .components import block_pairs, boundaries, components, forest, groups, join_by_share
+from .shared import Filter, Scratch, partitions, quoted, session, slices
+from .textkit import U64, Batch, mix, window_hash, window_starts
 
 BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
@@ -53,9 +54,10 @@ def shingles(t: Batch, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, width):
         rows = np.flatnonzero(n == k)
         if len(rows):
-            p = powers(WORD_BASE, k)
-            s = sum(h[b[rows] + j] * p[j] for j in range(k))
-            v[at[rows]] = mix(s, k)
+            s = mix(h[b[rows]], k)
+            for j in range(1, k):
+                s = mix(s ^ h[b[rows] + j], k)
+            v[at[rows]] = s
     keep = np.ones(len(v), bool)
     for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
         if z - a > 1:
@@ -120,36 +122,36 @@ def _similar(batches):
     """Block pairs of buckets to a forest of pairs with similar signatures."""
     for t in groups(batches, ["key", "bi", "bj"]):
         starts = np.append(boundaries(t, ["key", "bi", "bj"]), t.num_rows)
-        keys = t.column("set_key").to_pylist()
+        ids = t.column("cid").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, COORDS)
         left, right = [], []
         n = np.diff(starts)
         two = starts[:-1][n == 2]
         if len(two):
-            for i in two[(sig[two] == sig[two + 1]).sum(1) >= FLOOR].tolist():
-                left.append(keys[i])
-                right.append(keys[i + 1])
+            two = two[(sig[two] == sig[two + 1]).sum(1) >= FLOOR]
+            left.extend(ids[two].tolist())
+            right.extend(ids[two + 1].tolist())
         for a, z in zip(starts[:-1][n > 2].tolist(), starts[1:][n > 2].tolist()):
             s = sig[a:z]
             near = np.stack([(s == s[i]).sum(1) >= FLOOR for i in range(z - a)])
             for i, j in forest(near):
-                left.append(keys[a + i])
-                right.append(keys[a + j])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                left.append(int(ids[a + i]))
+                right.append(int(ids[a + j]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _sets(batches):
     """Class members' texts to their shingle sets."""
-    for b in slices(batches, 1):
-        v, at = shingles(Batch(b.column(1)))
+    for b in slices(batches, 0):
+        v, at = shingles(Batch(b.column(0)))
         keys = set_keys(v, at)
-        want = b.column(2).to_pylist()
+        want = b.column(1).to_pylist()
         ok = [i for i in range(b.num_rows) if keys[i] == want[i]]
         blobs = [v[at[i] : at[i + 1]].tobytes() for i in ok]
         take = pa.array(ok, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), pa.array(blobs, pa.binary())],
-            names=["set_key", "grp", "n", "shingle_set"],
+            names=["cid", "grp", "n", "shingle_set"],
         )
 
 
@@ -186,12 +188,12 @@ def _confirm(percent: int):
     def run(batches):
         for t in groups(batches, ["grp", "bi", "bj"]):
             starts = np.append(boundaries(t, ["grp", "bi", "bj"]), t.num_rows)
-            names, blobs = t.column("set_key").to_pylist(), t.column("shingle_set")
+            ids, blobs = t.column("cid").to_pylist(), t.column("shingle_set")
             left, right = [], []
             for a, z in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 own = {}
                 for i in range(a, z):
-                    own.setdefault(names[i], i)  # repeated rows carry the same set
+                    own.setdefault(ids[i], i)  # repeated rows carry the same set
                 if len(own) < 2:
                     continue
                 keys = list(own)
@@ -199,27 +201,33 @@ def _confirm(percent: int):
                 for i, j in forest(linked(sets, percent)):
                     left.append(keys[i])
                     right.append(keys[j])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of `docs`."""
-    out = _judged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), percent)
+    out = _judged(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text")), percent)
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def kept_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, text_key, n): the id and text hash that each component keeps, and how many rows have both.
+def kept_rows(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, text_key, n) of what each component keeps, and (row_key) of all rows that are not simply kept.
 
-    Of several texts of the least id in one component, the one of least hash
-    is kept.  Texts without words are all kept.
+    text_key is the text's hash and n how many rows have both; of several texts
+    of the least id in one component, the one of least hash is kept.  Texts
+    without words are all kept.  row_key is xxhash64 of the two.
     """
+    scratch = Scratch(session(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    per = _judged(rows, percent, ["text_key"], ["label"]).where("kept").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    judged = scratch.table(_judged(rows, percent, ["text_key"], ["label"]).select("doc_id", "text_key", "label", "kept"), "judged")
+    per = judged.where("kept").groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.col("label").isNull(), F.struct("doc_id", "text_key"))
-    return per.groupBy("label", own.alias("own")).agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x")).select("x.*")
+    kept = scratch.table(per.groupBy("label", own.alias("own")).agg(F.min(F.struct("doc_id", "text_key", "n")).alias("x")).select("x.*"), "kept")
+    key = F.xxhash64("doc_id", "text_key").alias("row_key")
+    others = judged.select(key).join(kept.where("n = 1").select(key), "row_key", "left_anti")
+    return kept, scratch.table(others.union(kept.where("n > 1").select(key)).distinct(), "others")
 
 
 def _judged(docs: DataFrame, percent: int, extra: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
@@ -230,37 +238,45 @@ def _judged(docs: DataFrame, percent: int, extra: list[str] | None = None, label
     scratch, p = Scratch(spark), partitions(session(docs))
     more = "".join(f", {k} long" for k in extra)
     feats = scratch.table(docs.mapInArrow(_features, f"doc_id long, n_shingles long, set_key binary, sig binary{more}"), "features")
-    classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    classes = scratch.table(classes, "classes")
+    # a class has one shingle set; longs name the classes from here on
+    classes = feats.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sig").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    keys = classes.select(F.explode(band).alias("key"), "set_key")
-    h = F.xxhash64("set_key")
-    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.sum(h.cast("decimal(20,0)")).alias("total"))
+    keys = classes.select(F.explode(band).alias("key"), "cid")
+    h = F.xxhash64("cid")
+    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("mixed"))
     # bands that bring the same classes together are one bucket
-    buckets = count.where("n > 1").groupBy("n", "lo", "hi", "total").agg(F.min("key").alias("key")).select("key", "n")
+    buckets = count.where("n > 1").groupBy("n", "lo", "hi", "mixed").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("rows"))
     buckets = scratch.table(buckets, "buckets")
-    members = scratch.table(keys.join(buckets, "key"), "members")
-    signed = members.join(classes.select("set_key", "sig"), "set_key")
-    dealt = block_pairs(signed, "key", "set_key", BLOCK)
+    members = scratch.table(join_by_share(keys, buckets, "key", "rows"), "members")
+    signed = members.join(classes.select("cid", "sig"), "cid")
+    dealt = block_pairs(signed, "key", "cid", BLOCK)
     dealt = dealt.repartition(p, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    near = dealt.select("key", "bi", "bj", "set_key", "sig").mapInArrow(_similar, "a binary, b binary")
+    near = dealt.select("key", "bi", "bj", "cid", "sig").mapInArrow(_similar, "a long, b long")
     group = components(scratch.table(near, "near"), scratch, "groups")
     group = scratch.table(group, "group")
-    sized = group.join(group.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
-    want = classes.select("set_key", F.col("doc_id").alias("rep")).join(sized, F.col("set_key") == F.col("node"))
-    want = scratch.table(want.select("set_key", "rep", F.col("label").alias("grp"), "n"), "wanted")
-    # only the texts of classes in a group are read again for their full sets
-    texts = docs.join(want.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "set_key", "grp", "n")
-    sets = scratch.table(texts.mapInArrow(_sets, "set_key binary, grp binary, n long, shingle_set binary"), "sets")
-    pairs = block_pairs(sets, "grp", "set_key", BLOCK).repartition(p, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
-    links = scratch.table(pairs.select("grp", "bi", "bj", "set_key", "shingle_set").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
-    label = components(links, scratch, "linked")
-
-    named = classes.select("set_key", "doc_id").join(label, F.col("set_key") == F.col("node"), "left")
-    named = named.select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = scratch.table(named.join(least, "label").select(F.col("set_key").alias("k"), "component_id", *labels), "of")
-    out = feats.select("doc_id", "n_shingles", "set_key", *extra).join(of, F.col("set_key") == F.col("k"), "left")
-    alone = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), *extra, *labels)
+    sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"))
+    sized = join_by_share(group, scratch.table(sizes, "sizes"), "label", "rows")
+    want = classes.select("set_key", "cid", F.col("doc_id").alias("rep")).join(sized, F.col("cid") == F.col("node"))
+    want = scratch.table(want.select("set_key", "cid", "rep", F.col("label").alias("grp"), "n"), "wanted")
+    # only the texts of classes in a group are read again for their full sets; few others pass the filter
+    few = Filter(scratch, want, "rep", "filter").mark(docs.select("doc_id", "text"), F.col("doc_id"), "maybe").where("maybe")
+    texts = few.join(want.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_key", "cid", "grp", "n")
+    sets = scratch.table(texts.mapInArrow(_sets, "cid long, grp long, n long, shingle_set binary"), "sets")
+    pairs = block_pairs(sets, "grp", "cid", BLOCK).repartition(p, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
+    links = scratch.table(pairs.select("grp", "bi", "bj", "cid", "shingle_set").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    label = scratch.table(components(links, scratch, "linked"), "label")
+
+    named = classes.select("cid", "doc_id").join(label, F.col("cid") == F.col("node")).select("cid", "doc_id", "label")
+    least = scratch.table(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    linked_to = join_by_share(named, least, "label").select(F.col("cid").alias("c"), "component_id", "label")
+    of = classes.join(linked_to, F.col("cid") == F.col("c"), "left")
+    of = of.select("set_key", "n", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("label", "cid").alias("label"))
+    of = scratch.table(of, "of")
+    scratch.drop("members", "buckets", "near", "group", "sizes", "wanted", "filter", "sets", "links", "label", "least", "classes")
+    rows = feats.select("doc_id", "n_shingles", "set_key", *extra)
+    none = F.lit(None).cast("long")
+    alone = rows.where("set_key is null").withColumns({"component_id": F.col("doc_id"), "label": none})
+    out = join_by_share(rows.where("set_key is not null"), of, "set_key").unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra, *labels)
