@@ -1,7 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line (split at \\n); the k-th copy of a paragraph in a text is
-a key of its own, so a text is a set of 64-bit keys.  A sketch has three equal
+A paragraph ends at a line end (\\n) or behind a word whose hash says so, about
+one in CUT_WORDS, so a long line is many paragraphs and an edit moves few of
+them; the k-th copy of a paragraph in a text is a key of its own, so a text is a
+set of 64-bit keys.  A sketch has three equal
 parts; a key goes to one cell of each, and a cell holds a count, the sum of its
 keys and the sum of their check values.  Sketches of two versions subtract;
 cells with one key left are peeled until nothing remains, which recovers the
@@ -14,7 +16,8 @@ the first and last row of each partition meet in a second small step.
 Defined results: a null text is an empty one, which has one empty paragraph; a
 null id comes last in descending order; rows of one id follow each other by
 their texts' hash; a single row is its own next document; an empty table gives
-no rows; other columns are ignored.
+no rows; rows that repeat id and text are documents of their own; texts of any
+length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,26 +31,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, partitions, session
+from .shared import Scratch, partitions, quoted, session
 from .textkit import U64, Batch, mix, span_hash
 
 CELLS, PARTS = 24, 3
 SALTS = (0x11, 0x2222, 0x333333)
 CHECK = 0x5EED5EED
+CUT, CUT_WORDS = 0xC07, 32  # a word in 32 ends a paragraph
 
 
 def paragraph_keys(t: Batch) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row bounds): one key per line of each text."""
-    breaks = np.flatnonzero(t.data == 10)
-    row = np.searchsorted(t.offsets, breaks, side="right") - 1
-    ends = np.concatenate([breaks, t.offsets[1:]])
-    rows = np.concatenate([row, np.arange(t.n)])
+    """(keys, row bounds): one key per paragraph of each text."""
+    lines = np.flatnonzero(t.data == 10)
+    s, e, owner = t.words
+    cut = (span_hash(t.data, s, e, CUT) >> U64(32)) % U64(CUT_WORDS) == 0
+    cut[cut] = e[cut] < t.offsets[owner[cut] + 1]  # the text goes on
+    cut[cut] = t.data[e[cut]] != 10  # and the line does
+    ends = np.concatenate([lines, e[cut], t.offsets[1:]])
+    rows = np.concatenate([np.searchsorted(t.offsets, lines, side="right") - 1, owner[cut], np.arange(t.n)])
+    skip = np.concatenate([np.ones(len(lines), np.int64), np.zeros(int(cut.sum()) + t.n, np.int64)])  # the line end itself
     order = np.lexsort((ends, rows))
-    ends, rows = ends[order], rows[order]
+    ends, rows, skip = ends[order], rows[order], skip[order]
     first = np.ones(len(rows), bool)
     first[1:] = rows[1:] != rows[:-1]
     starts = np.empty_like(ends)
-    starts[1:] = ends[:-1] + 1
+    starts[1:] = ends[:-1] + skip[:-1]
     starts[first] = t.offsets[:-1]
     h = span_hash(t.data, starts, ends)
     order = np.lexsort((h, rows))
@@ -235,8 +243,8 @@ def _last(batches):
 def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness."""
     spark = session(docs)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("tie"))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("tie"))
     rows = rows.mapInArrow(_squeeze, "doc_id long, z binary, tie long")
     down = F.col("doc_id").desc_nulls_last()
     dealt = rows.repartitionByRange(partitions(spark), down).sortWithinPartitions(down, "tie")
