@@ -4,14 +4,17 @@ follow-the-regularised-leader and elastic-net penalties, then calibrated by one
 temperature.
 
 Document frequencies come from all training documents.  The regression is
-fitted on at most SAMPLE documents of each language, chosen by hash; a fifth of
-them only sets the temperature.  Texts are lower-cased, runs of other
+fitted on at most SAMPLE documents of each language, chosen by hash, and on as
+many of them as hold ENTRIES n-gram counts together; a fifth of them only sets
+the temperature.  The driver holds this sample and the weights, so its memory
+grows with the number of languages, not with the data.  Texts are lower-cased, runs of other
 characters than letters become one separator.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as
 is every text when there is nothing to learn from; documents without a language
 do not teach; a null id counts as an empty text in the split and so teaches;
-other columns are ignored.
+rows that repeat teach as often as they stand; a text of any length is taken
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import join_by_share
 from .linear import Sparse, softmax, temperature, train_multinomial
-from .shared import slices
+from .shared import Scratch, quoted, session, slices
 from .textkit import U64
 
 DIMS = 1 << 14
 SAMPLE = 500  # documents of each language that the fit sees at most
+ENTRIES = 1 << 20  # n-gram counts of each language that the fit sees at most (8 MB)
 UNKNOWN = "und"
 _LETTERS: list = []
 
@@ -129,36 +134,40 @@ class LanguageModel:
 
 
 def sample(train: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """At most `most` rows of each label: those of least hash (a threshold first, then an exact cut)."""
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """At most `most` rows of each label, with their `rank`: those of least hash (a threshold first, then an exact cut)."""
+    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * most + 50) / F.col("n"))
+    counts = Scratch(session(train)).table(counts.withColumn("sample_cut", (share * (1 << 30)).cast("long")), "counts")
     h = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1 << 30))
-    cut = F.lit(-1)
-    for value, n in counts.items():
-        share = min(1.0, (2 * most + 50) / n)
-        cut = F.when(F.col(label) == F.lit(value), F.lit(int(share * (1 << 30)))).otherwise(cut)
-    few = train.withColumn("__h", h).where(F.col("__h") <= cut)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("__h", key))
-    return few.withColumn("__r", rank).where(F.col("__r") <= most).drop("__h", "__r")
+    few = join_by_share(train.withColumn("sample_hash", h), counts, label).where("sample_hash <= sample_cut")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("sample_hash", key))
+    return few.withColumn("rank", rank).where(F.col("rank") <= most).drop("sample_hash", "sample_cut")
+
+
+def within(rows: DataFrame, label: str, size: str, budget: int) -> DataFrame:
+    """The rows of each label, by rank, whose sizes sum up to at most `budget`, and the first in any case."""
+    upto = F.sum(size).over(Window.partitionBy(label).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("upto", upto).where((F.col("upto") <= budget) | (F.col("rank") == 1)).drop("upto", "rank", size)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE) -> LanguageModel:
     """Learns from rows with a text and a language that are not held out."""
-    train = docs.where(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
+    rows = docs.select(F.col(quoted(id_col)).alias("k"), F.col(quoted(lang)).alias("y"), F.col(quoted(text)).alias("t"))
+    train = rows.where(~held_out("k") & F.col("y").isNotNull() & F.col("t").isNotNull())
     n, df = document_frequencies(train.select("t"))
     idf = np.log((1 + n) / (1 + df)) + 1
 
     def features(batches):
-        for b in slices(batches, 1, 2 << 20):
-            x, _ = ngram_counts(b.column(1).to_pylist())
+        for b in slices(batches, 2, 2 << 20):
+            x, _ = ngram_counts(b.column(2).to_pylist())
             cut = x.indptr
             index, value = x.index.astype(np.int32), x.value.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([index[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([value[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())],
-                names=["y", "index", "value"],
-            )
+            packed = [pa.array([v[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()) for v in (index, value)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(cut)), *packed], names=["y", "rank", "size", "index", "value"])
 
     chosen = sample(train, "k", "y", most)
-    rows = chosen.select("y", "t").mapInArrow(features, "y string, index binary, value binary").collect()
+    rows = chosen.select("y", "rank", "t").mapInArrow(features, "y string, rank int, size long, index binary, value binary")
+    rows = within(Scratch(session(docs)).table(rows, "features"), "y", "size", ENTRIES).collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["index"]), bytes(r["value"])))
     langs = sorted({r["y"] for r in rows})
     if not langs:
@@ -187,5 +196,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             langs, score = model.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(score)], names=[id_col, "held_out", "lang_pred", "score"])
 
-    schema = docs.select(id_col).schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text).mapInArrow(run, schema)
+    rows = docs.select(F.col(quoted(id_col)).alias(id_col), held_out(quoted(id_col)).alias("held_out"), F.col(quoted(text)).alias("t"))
+    schema = rows.drop("t").schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)

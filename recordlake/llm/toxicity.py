@@ -9,11 +9,13 @@ Labels are binary, so severity is graded from the labelled rows themselves:
 clean rows are 0, toxic rows are 1 to 3 by how often they use terms that occur
 in toxic rows at least TERM_RATIO times as often as in clean ones, cut at the
 thirds of that count.  The fit uses at most SAMPLE rows of each label, chosen by
-hash; prediction covers every text.
+hash, and as many of them as hold ENTRIES distinct words together; prediction
+covers every text.
 
 Defined results: a null text has no words; repeated label rows count as often
-as they stand; without rows of both labels every severity is 0; other columns
-are ignored.
+as they stand; without rows of both labels every severity is 0; repeated
+documents are judged alike; a text of any length is taken whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import sample
+from .langid import sample, within
 from .linear import Sparse, expected_grade, train_ordinal
-from .shared import slices
+from .shared import Scratch, quoted, session, slices
 from .textkit import Batch, span_hash
 
 SAMPLE = 4000  # labelled rows of each label that the fit sees at most
+ENTRIES = 1 << 21  # distinct words, summed over those rows, that it sees of each label at most (24 MB)
 TERM_RATIO, TERM_ROWS = 10.0, 5
 GRADES = 4
 
@@ -83,13 +86,13 @@ def grades(x: Sparse, toxic: np.ndarray, features: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> SeverityModel:
-    lab = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("k"), F.col(label).cast("int").alias("y"))
+    lab = labels.select(F.col(quoted(id_col)).alias("k"), F.col(quoted(label)).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     chosen = sample(lab, "k", "y", most)  # at most 2 * `most` rows
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("k"))
+    rows = docs.select(F.col(quoted(id_col)).alias("d"), F.col(quoted(text)).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("k"))
 
     def features(batches):
-        for b in slices(batches, 1):
-            t = Batch(b.column(1))
+        for b in slices(batches, 2):
+            t = Batch(b.column(2))
             h, row = tokens(t)
             hs, ns = [], []
             cut = np.searchsorted(row, np.arange(t.n + 1))
@@ -97,9 +100,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 u, n = np.unique(h[a:z], return_counts=True)
                 hs.append(u.tobytes())
                 ns.append(n.astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["y", "h", "n"])
+            sizes = pa.array([len(x) // 8 for x in hs], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["y", "rank", "size", "h", "n"])
 
-    got = rows.select("y", "t").mapInArrow(features, "y int, h binary, n binary").collect()
+    found = rows.select("y", "rank", "t").mapInArrow(features, "y int, rank int, size long, h binary, n binary")
+    got = within(Scratch(session(docs)).table(found, "features"), "y", "size", ENTRIES).collect()
     got.sort(key=lambda r: (r["y"], bytes(r["h"]), bytes(r["n"])))
     toxic = np.array([r["y"] for r in got], np.int64)
     if len(set(toxic.tolist())) < 2:
@@ -128,5 +133,6 @@ def severities(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", te
             s = model.severity(Batch(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(np.floor(s + 0.5).astype(np.int32)), pa.array(s >= 0.5)], names=[id_col, "severity", "grade", "toxic"])
 
-    schema = docs.select(id_col).schema.add("severity", "double").add("grade", "integer").add("toxic", "boolean")
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    rows = docs.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text)).alias("t"))
+    schema = rows.select(F.col(quoted(id_col))).schema.add("severity", "double").add("grade", "integer").add("toxic", "boolean")
+    return rows.mapInArrow(run, schema)
