@@ -8,9 +8,11 @@ aggregation over binned statistics (features x bins rows reach the driver).
 The list becomes one ordered conditional expression.
 
 Defined results: a null text has no words and fails the base rule; rows without
-a label do not teach; repeated label rows count as often as they stand; without
-usable labels the list is empty and only the base rule decides; other columns
-are kept by `with_statistics`.
+a label do not teach; repeated label rows count as often as they stand, repeated
+documents are judged alike; without usable labels the list is empty and only the
+base rule decides; a text of any length is taken whole (its words and windows
+are arrays in one row); an empty table gives no rows; other columns are kept by
+`with_statistics`, but for those with the name of a statistic.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, session
+from .shared import Filter, Scratch, carried, quoted, session, unpacked
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WHITE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -69,24 +71,29 @@ def _repeats(words: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` and the statistics BASE and MORE (long) of the whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """`docs` and the statistics BASE and MORE (long) of the whole text; a column of that name gives way."""
+    names = [c for c in docs.columns if c not in (*BASE, *MORE)]
+    return statistics(docs, text).select(*unpacked(names), *BASE, *MORE)
+
+
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`carried`, a struct of all columns of `docs`, and the statistics BASE and MORE."""
+    t = F.col("body")
     words = F.array_remove(F.split(t, SEPARATORS), "")
     by_word = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeats(w).alias("r")))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     extra = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    marked = docs.withColumn("__s", by_word)
-    long = lambda c: c.cast("long")
-    return (
-        marked.withColumn("n_words", long(F.col("__s.n")))
-        .withColumn("word_chars", long(F.length(_without(t, WHITE))))
-        .withColumn("n_symbols", long(F.length(t) - F.length(_without(t, SYMBOLS))))
-        .withColumn("n_dup_lines", long(extra))
-        .withColumn("n_repeat_words", long(F.col("__s.r")))
-        .withColumn("n_upper", long(F.length(t) - F.length(F.regexp_replace(t, "[A-Z]+", ""))))
-        .withColumn("n_marks", long(F.length(t) - F.length(_without(t, ["!", "?"]))))
-        .drop("__s")
-    )
+    rows = docs.select(carried(docs.columns), F.coalesce(F.col(quoted(text)), F.lit("")).alias("body"))
+    values = {
+        "n_words": F.col("by_word.n"),
+        "word_chars": F.length(_without(t, WHITE)),
+        "n_symbols": F.length(t) - F.length(_without(t, SYMBOLS)),
+        "n_dup_lines": extra,
+        "n_repeat_words": F.col("by_word.r"),
+        "n_upper": F.length(t) - F.length(F.regexp_replace(t, "[A-Z]+", "")),
+        "n_marks": F.length(t) - F.length(_without(t, ["!", "?"])),
+    }
+    return rows.withColumn("by_word", by_word).select("carried", *[v.cast("long").alias(n) for n, v in values.items()])
 
 
 def base_failed() -> Column:
@@ -245,5 +252,20 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
     """Statistics of the labelled documents: `stats` without its text, joined with `labels`."""
-    names = [id_col, *BASE, *MORE]
-    return stats.select(*names).join(labels.select(F.col(id_col).alias("__id"), label), F.col(id_col) == F.col("__id")).drop("__id")
+    own = labels.select(F.col(quoted(id_col)).alias("labelled_id"), F.col(quoted(label)).alias("quality"))
+    on = F.col("doc_id") == F.col("labelled_id")
+    return stats.select(F.col(quoted(id_col)).alias("doc_id"), *BASE, *MORE).join(own, on).drop("labelled_id")
+
+
+def labelled_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) of the documents that have a label; a fixed-size filter keeps the other texts out of the join."""
+    scratch = Scratch(session(docs))
+    ids = scratch.table(labels.select(F.col(quoted(id_col)).alias("labelled_id")).distinct(), "labelled_ids")
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text)).alias("text"))
+    few = Filter(scratch, ids, "labelled_id", "filter").mark(rows, F.col("doc_id"), "maybe").where("maybe").drop("maybe")
+    return few.join(ids, F.col("doc_id") == F.col("labelled_id"), "left_semi")
+
+
+def select_kept(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept, all their columns as they were."""
+    return judge(statistics(docs, text), rules).where("kept").select(*unpacked(docs.columns))

@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline.
 
 Each takes (spark, docs, sf_dir) and returns the rows it keeps, with the columns
-of `docs` (the last one returns token ids instead).
+of `docs`, whatever their names (the last one returns token ids instead).
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, neardup, pieces, rules, substring
-from .shared import Scratch, documents
+from .shared import Filter, Scratch, carried, documents, unpacked
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rule or a learned rule rejects."""
-    numbers = rules.with_statistics(docs.select("doc_id", "text")).drop("text")
-    numbers = Scratch(spark).table(numbers, "statistics")
-    learned = rules.learn(rules.labelled_statistics(numbers, documents(spark, sf_dir, "labels")))
-    return rules.judge(rules.with_statistics(docs), learned).where("kept").select(*docs.columns)
+    labels = documents(spark, sf_dir, "labels")
+    known = Scratch(spark).table(rules.statistics(rules.labelled_documents(docs, labels)).select(F.col("carried.doc_id").alias("doc_id"), *rules.BASE, *rules.MORE), "labelled")
+    learned = rules.learn(rules.labelled_statistics(known, labels))
+    return rules.select_kept(docs, learned)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,28 +28,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one is kept (the least hash), and of rows with equal id and text one (the
     least other columns), also where the text has no words.
     """
-    kept = Scratch(spark).table(neardup.kept_rows(docs).toDF("kept_id", "kept_key", "n"), "kept")
-    on = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
+    kept, others = neardup.kept_rows(docs.select("doc_id", "text"))
+    kept = kept.toDF("kept_id", "kept_key", "n")
+    names = docs.columns
+    rows = docs.select(carried(names), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    # rows of their own pass; the others meet the table of what is kept
+    marked = Filter(Scratch(spark), others, "row_key", "filter").mark(rows, F.xxhash64("own_id", "own_key"), "maybe")
+    own, rows = marked.where("not maybe"), marked.where("maybe")
+    on = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
     once, more = kept.where("n = 1"), kept.where("n > 1")
-    out = docs.join(once, on, "left_semi")
-    if more.isEmpty():
-        return out
-    again = docs.join(more, on).groupBy("kept_id", "kept_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return out.union(again.select("row.*"))
+    out = own.select("carried").union(rows.join(once, on, "left_semi").select("carried"))
+    if not more.isEmpty():
+        again = rows.join(more, on).groupBy("kept_id", "kept_key").agg(F.min("carried").alias("carried"))
+        out = out.union(again.select("carried"))
+    return out.select(*unpacked(names))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 35 words or more that occur elsewhere; other text stays as it is."""
-    out = substring.remove_repeats(docs, cut="bytes").select(*docs.columns)
+    out = substring.cut_repeats(docs)
+    if "n_chars" not in out.columns:
+        return out
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as the mix takes them (0, 1 or 2 times)."""
-    picks = mixing.mix_sources(docs).select(F.col("doc_id").alias("pick_id"), F.col("source").alias("pick_source"), "copies").distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("pick_id")) & F.col("source").eqNullSafe(F.col("pick_source"))
-    taken = docs.join(picks.where("copies > 0"), on)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
