@@ -28,6 +28,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(stats, learned).select("doc_id", *columns)
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that no model decides."""
+    stats = rules.with_statistics(documents(spark, sf_dir).select("doc_id", "text"))
+    return stats.select("doc_id", *rules.BASE, rules.base_failed().alias("base_failed"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
@@ -42,11 +48,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_versions(documents(spark, sf_dir))
 
 
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that no sketch decides."""
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     r = pieces.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
-    return r.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "decoded_sha256", "round_trip", "ids")
+    return r.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "decoded_sha256", "round_trip", "viterbi_score", "viterbi_pieces", "ids")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     r = substring.remove_repeats(docs)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return r.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"), "removed_spans")
+    return r.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
 QUERIES = {
@@ -80,9 +91,57 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "quality_base": quality_base,
+    "fingerprint_texts": fingerprint_texts,
 }
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 SQL: dict[str, str] = {
     "op1_warc": r"""WITH p AS (SELECT page_id, trim(regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g')) AS target_uri, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
  m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d), r AS (SELECT p.*, CASE WHEN n >= 1000 AND (page_id IS NULL OR page_id < top) THEN top END AS refers_to FROM p LEFT JOIN m USING (d))
  SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, target_uri FROM r""",
+    # all pairs of documents that share a shingle, counted; components by the closure of the links
+    "op2_neardup": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {LOWER_WORDS} AS w FROM documents),
+ s AS (SELECT DISTINCT r, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS x
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+ n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+ p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+ l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+ c AS (SELECT reach.a AS r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(least, doc_id) AS kept
+ FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)""",
+    "op9_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'none')), 1, 15) AS BIGINT) AS h FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM d GROUP BY source),
+ c AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS k FROM s),
+ f AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - (sum(cap) OVER (ORDER BY k) - cap)) / (sum(weight) OVER () - (sum(weight) OVER (ORDER BY k) - weight)) AS unit FROM c),
+ u AS (SELECT coalesce(arg_min(unit, k), 0) AS level FROM f WHERE cap > unit * weight),
+ g AS (SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN CAST(floor(least(cap, level * weight) / source_size) AS BIGINT) ELSE 0 END AS passes FROM f, u),
+ b AS (SELECT *, target - passes * source_size AS budget FROM g),
+ t AS (SELECT source, h, sum(size) AS t FROM d GROUP BY source, h),
+ o AS (SELECT *, sum(t) OVER (PARTITION BY source ORDER BY h) AS upto FROM t),
+ e AS (SELECT o.source, min(h) AS edge, arg_min(upto, h) AS upto, arg_min(t, h) AS t, any_value(budget) AS budget FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source WHERE upto > budget GROUP BY o.source),
+ w AS (SELECT source, edge + CASE WHEN upto - budget <= budget - (upto - t) THEN 1 ELSE 0 END AS threshold FROM e),
+ m AS (SELECT d.*, source_size, target, CAST(passes + CASE WHEN budget > 0 AND (threshold IS NULL OR h < threshold) THEN 1 ELSE 0 END AS INTEGER) AS copies
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+ SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM m""",
+    "op10_substring_dedup": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+ x AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35),
+ y AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM x SEMI JOIN y USING (h)),
+ n AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+ v AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+ k AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM v ANTI JOIN gone USING (r, p) GROUP BY r)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)""",
+    "quality_base": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+ x AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS h FROM d, unnest(range(1, len(w) - 6)) AS t(i) WHERE len(w) >= 8),
+ y AS (SELECT r, h FROM x GROUP BY r, h HAVING count(*) > 1),
+ n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM x SEMI JOIN y USING (r, h)) GROUP BY r),
+ l AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+ s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN l USING (r) LEFT JOIN n USING (r))
+ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s""",
+    "fingerprint_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS n FROM documents WINDOW w AS (ORDER BY doc_id DESC NULLS LAST))
+ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(n, length(t) // 2)) AS edited_sha256 FROM d""",
 }

@@ -25,9 +25,9 @@ def texts():
 def test_pieces_equal_the_library():
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     t = texts()
-    enc = pieces.PieceEncoder(pieces.Model.load(MODEL))
+    enc = pieces.PieceEncoder(pieces.Model.load(open(MODEL, "rb").read()))
     for _ in range(2):  # the second time from memory
-        ids, at = enc.encode(Batch(pa.array(t)))
+        ids, at, _, _ = enc.encode(Batch(pa.array(t)))
         got = [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:])]
         assert got == [sp.encode(x) for x in t]
         assert [x.decode() for x in enc.decode(ids, at)] == [sp.decode(x) for x in got]
@@ -58,8 +58,27 @@ def test_unigram_search_finds_the_best_path():
 
     words = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(60)})
     score = {i: s for i, s in scored.values()}
-    for w, ids in zip(words, model.encode_sorted(words)):
-        assert sum(score[i] for i in ids) == pytest.approx(best(w))
+    for w, (ids, top, parts) in zip(words, model.encode_sorted(words)):
+        assert sum(score[i] for i in ids) == pytest.approx(best(w)) == pytest.approx(top)
+        assert len(ids) == parts
+
+
+def test_viterbi_columns_are_the_maximum_over_all_splits(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+    def best(w):
+        top = [0.0]
+        for d in range(1, len(w) + 1):
+            top.append(max([top[k] + score[w[k:d]] for k in range(d) if w[k:d] in score] + [top[d - 1] - 1e6]))
+        return top[-1]
+
+    rows = [(i, t, None, None, 0) for i, t in enumerate(["hello world, hello", "internationally 日本 x", "a", "", None])]
+    for r in pieces.encode_decode(frame(spark, rows), MODEL).collect():
+        t = rows[r["doc_id"]][1] or ""
+        words = ["▁" + x for x in t.split(" ")] if t else []
+        assert r["viterbi_score"] == pytest.approx(sum(best(w) for w in words))
+        assert len(words) <= r["viterbi_pieces"] <= len(t) + len(words)
 
 
 def test_encode_decode_rows(spark):
@@ -153,3 +172,85 @@ def test_toxicity(spark):
     assert np.mean(right) > 0.98
     none = toxicity.fit(df, lab.limit(0))
     assert all(x["severity"] == 0 for x in toxicity.severities(df.limit(5), none).collect())
+
+
+def test_ftrl_equals_a_dense_one():
+    r = np.random.default_rng(3)
+    n, f, c = 90, 12, 3
+    dense = (r.random((n, f)) < 0.3) * r.random((n, f))
+    y = r.integers(0, c, n)
+    rows = [np.flatnonzero(d) for d in dense]
+    x = linear.Sparse(np.concatenate([[0], np.cumsum([len(i) for i in rows])]), np.concatenate(rows), np.concatenate([d[i] for d, i in zip(dense, rows)]))
+    got = linear.train_multinomial(x, y, c, f, alpha=0.7, l1=0.02, l2=0.1, epochs=3, batch=8, seed=5)
+    z, s, order = np.zeros((f + 1, c)), np.zeros((f + 1, c)), np.random.default_rng(5)
+    for _ in range(3):
+        perm = order.permutation(n)
+        for lo in range(0, n, 8):
+            part = perm[lo : lo + 8]
+            m = np.concatenate([dense[part], np.ones((len(part), 1))], 1)
+            w = np.zeros((f + 1, c))
+            for i in range(f + 1):
+                for k in range(c):
+                    if abs(z[i, k]) > 0.02:
+                        w[i, k] = -(z[i, k] - np.sign(z[i, k]) * 0.02) / ((1 + np.sqrt(s[i, k])) / 0.7 + 0.1)
+            e = np.exp(m @ w)
+            g = m.T @ (e / e.sum(1, keepdims=True) - np.eye(c)[y[part]]) / len(part)
+            z += g - (np.sqrt(s + g * g) - np.sqrt(s)) / 0.7 * w
+            s += g * g
+    want = np.where(np.abs(z) > 0.02, -(z - np.sign(z) * 0.02) / ((1 + np.sqrt(s)) / 0.7 + 0.1), 0.0)
+    assert np.allclose(got, want) and (got == 0).any() and (got != 0).any()
+
+
+def test_temperature_is_the_least_loss():
+    r = np.random.default_rng(6)
+    scores, y = r.normal(size=(200, 4)) * 3, r.integers(0, 4, 200)
+    loss = lambda t: -np.log(linear.softmax(scores / t)[np.arange(200), y]).mean()
+    best = linear.temperature(scores, y)
+    assert loss(best) <= min(loss(t) for t in np.exp(np.linspace(np.log(0.02), np.log(50), 400))) + 1e-6
+
+
+def test_ordinal_step_follows_the_gradient():
+    """One batch: the first step of the weights is the numerical gradient of -log p, scaled by FTRL."""
+    r = np.random.default_rng(8)
+    n, f, grades = 40, 6, 4
+    dense = (r.random((n, f)) < 0.5).astype(float)
+    y = np.concatenate([np.arange(grades), r.integers(0, grades, n - grades)])
+    rows = [np.flatnonzero(d) for d in dense]
+    x = linear.Sparse(np.concatenate([[0], np.cumsum([len(i) for i in rows])]), np.concatenate(rows), np.ones(sum(map(len, rows))))
+    share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / n, 0.01, 0.99)
+    start = np.log(share / (1 - share))
+    cut = start[0] + np.concatenate([[0.0], np.cumsum(np.maximum(0.1, np.diff(start)))])
+
+    def loss(w):
+        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-(cut[None] - (dense @ w)[:, None]))), np.ones((n, 1))], 1)
+        return -np.log(below[np.arange(n), y + 1] - below[np.arange(n), y]).mean()
+
+    g = np.array([(loss(1e-5 * e) - loss(-1e-5 * e)) / 2e-5 for e in np.eye(f)])
+    got, _ = linear.train_ordinal(x, y, grades, f, alpha=0.5, l1=0.0, l2=0.0, epochs=1, batch=n)
+    assert np.allclose(got, -g / ((1 + np.abs(g)) / 0.5), atol=1e-6)
+
+
+def test_document_frequencies_and_tfidf_against_plain_counting(spark):
+    rows = speech(5, 80)
+    n, df = langid.document_frequencies(frame(spark, rows).select("text"))
+    plain = np.zeros(langid.DIMS, np.int64)
+    for _, t, *_ in rows:
+        x, _ = langid.ngram_counts([t])
+        plain[x.index] += 1
+    assert n == len(rows) and np.array_equal(df, plain)
+    x, _ = langid.ngram_counts([r[1] for r in rows])
+    norm = np.bincount(np.repeat(np.arange(len(x)), np.diff(x.indptr)), weights=langid.tfidf(x, np.ones(langid.DIMS)).value ** 2)
+    assert np.allclose(norm, 1)
+
+
+def test_learned_operators_on_repeated_rows_and_budgets(spark, monkeypatch):
+    rows = speech(9, 60)
+    twice = langid.identify(frame(spark, rows + rows), langid.fit(frame(spark, rows + rows))).collect()
+    assert all(v == 2 for v in Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in twice).values())
+    monkeypatch.setattr(langid, "ENTRIES", 300)  # a few documents of each language
+    assert set(langid.fit(frame(spark, rows)).langs) == {"en", "de", "fr"}
+    docs = [(i, "bad word here " * 3 if i % 2 else "fine text there", None, None, 0) for i in range(40)]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    got = toxicity.severities(frame(spark, docs + docs), toxicity.fit(frame(spark, docs + docs), lab)).collect()
+    assert len(got) == 80 and all(r["toxic"] == bool(r["doc_id"] % 2) for r in got)
+    assert toxicity.severities(frame(spark, docs).limit(0), toxicity.fit(frame(spark, docs).limit(0), lab)).count() == 0

@@ -113,14 +113,18 @@ def test_substring_against_brute_force(spark, seed, width):
     assert found == brute_removed(rows, width)
 
 
-def test_substring_many_chunks_and_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("fan_bits", [12, 2, 1])  # one level, and several
+def test_substring_many_chunks_and_buckets(spark, monkeypatch, fan_bits):
     rows = corpus(9, 150)
     slices = substring.slices
     monkeypatch.setattr(substring, "slices", lambda b, c: slices(b, c, 300))
+    monkeypatch.setattr(substring, "FAN_BITS", fan_bits)
+    monkeypatch.setattr(substring, "FAN", 1 << fan_bits)
+    monkeypatch.setattr(substring, "CHUNK", 300)
     df = frame(spark, rows, 2)
     key = df.withColumn("k", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.hex(F.xxhash64("text"))))
-    spans = {r["span_key"]: r["spans"] for r in substring.repeated_spans(key, "k", "text", 35, bucket_bytes=500).collect()}
-    removed = Counter({k: n for k, _, n, _ in []})
+    spans = {r["span_key"]: r["spans"] for r in substring.repeated_spans(key, "k", "text", 35, bucket_bytes=500 if fan_bits > 2 else 3000).collect()}
+    removed = Counter()
     for r in key.collect():
         sp = spans.get(r["k"], [])
         removed[(r["doc_id"], sum(sp[1::2]) - sum(sp[::2]))] += 1
