@@ -61,33 +61,50 @@ def ranked(df: DataFrame, partition: list[str], order: list[Column], name: str =
 
 
 def parts_by_count(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
-    """Part number of every row when each group is cut after `most` rows."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("part", F.floor((n - 1) / most).cast("long"))
+    """Part number of every row when each group is cut after `most` rows.
+
+    Rows are numbered by (group, order) in range partitions, and a group's first
+    number is taken off, so no task holds a whole group.
+    """
+    from .rankings import ordinals
+
+    numbered = ordinals(df, [F.col(group), *order], "_number")
+    first = numbered.groupBy(group).agg(F.min("_number").alias("_first"))
+    out = numbered.join(F.broadcast(first) if first.count() <= MANY_GROUPS else first, group)
+    return out.withColumn("part", F.floor((F.col("_number") - F.col("_first")) / most).cast("long")).drop("_number", "_first")
+
+
+MANY_GROUPS = 1 << 16  # up to so many groups their first numbers are broadcast
 
 
 def pack_parts(df: DataFrame, group: str, order: str, size: str, most_rows: int, most_bytes: int) -> DataFrame:
     """Greedy parts of at most `most_rows` rows and `most_bytes`; a row over the limit stands alone.
 
-    Greedy packing depends on order, so a group is packed by one task on (order,
-    size) pairs alone; the records themselves do not pass through Python.
+    Greedy packing depends on order, so a group's (order, size) pairs go through
+    one task, but as a sorted stream of Arrow batches, never as a whole; the
+    records themselves do not pass through Python.
     """
-
-    def pack(pdf):
-        pdf = pdf.sort_values("_o", kind="stable")
-        part, rows, total, out = 0, 0, 0, []
-        for s in pdf["_s"]:
-            if rows and (rows >= most_rows or total + s > most_bytes):
-                part, rows, total = part + 1, 0, 0
-            rows, total = rows + 1, total + s
-            out.append(part)
-        pdf["part"] = out
-        return pdf[["_g", "_o", "part"]]
+    import pyarrow as pa
+
+    def pack(batches):
+        now, part, rows, total = None, 0, 0, 0
+        for b in batches:
+            parts = []
+            for g, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if (g,) != now:
+                    now, part, rows, total = (g,), 0, 0, 0
+                s = s or 0
+                if rows and (rows >= most_rows or total + s > most_bytes):
+                    part, rows, total = part + 1, 0, 0
+                rows, total = rows + 1, total + s
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.int64())], names=["_g", "_o", "part"])
 
     keys = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(size).cast("long").alias("_s"))
     types = dict(keys.dtypes)
-    packed = keys.groupBy("_g").applyInPandas(pack, f"_g {types['_g']}, _o {types['_o']}, part long")
-    return df.join(packed, (df[group] == packed["_g"]) & (df[order] == packed["_o"])).drop("_g", "_o")
+    stream = keys.repartition("_g").sortWithinPartitions("_g", "_o")
+    packed = stream.mapInArrow(pack, f"_g {types['_g']}, _o {types['_o']}, part long")
+    return df.join(packed, df[group].eqNullSafe(packed["_g"]) & df[order].eqNullSafe(packed["_o"])).drop("_g", "_o")
 
 
 def display_is_consistent(display: Column, norm: Column, approved: Column) -> Column:

@@ -15,11 +15,12 @@ def facet(rows: DataFrame, label: str, record: str, key: Column | None = None, l
     ranked over its few spellings.
     """
     key = text.search_key(F.col(label)) if key is None else key
-    rows = rows.withColumn("facet_key", key).where("facet_key <> ''")
-    counts = rows.groupBy("facet_key").agg(F.count_distinct(record).alias("case_count"))
-    spelled = rows.groupBy("facet_key", label).agg(F.count(F.lit(1)).alias("n"))
-    best = spelled.groupBy("facet_key").agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("label"))
-    return counts.where(F.col("case_count") >= least).join(best, "facet_key").select("facet_key", "label", "case_count")
+    rows = rows.select(key.alias("facet_key"), F.col(label).alias("label"), F.col(record).alias("record")).where("facet_key <> ''")
+    once = rows.groupBy("facet_key", "record", "label").agg(F.count(F.lit(1)).alias("n"))  # the rows are read and shuffled once
+    counts = once.groupBy("facet_key", "label").agg(F.sum("n").alias("n"))
+    best = counts.groupBy("facet_key").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+    records = once.select("facet_key", "record").distinct().where("record is not null").groupBy("facet_key").agg(F.count(F.lit(1)).alias("case_count"))
+    return records.where(F.col("case_count") >= least).join(best, "facet_key").select("facet_key", "label", "case_count")
 
 
 def officer_facet(rows: DataFrame, raw: str, record: str, pos: str, aliases: dict[str, str] | None = None) -> DataFrame:

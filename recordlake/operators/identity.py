@@ -46,10 +46,26 @@ def merge_names(groups: DataFrame, norm: str = "norm") -> DataFrame:
 
 
 def remerge(variants: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Counts of variants under their targets."""
+    """Counts of variants under their targets (a variant's records are not united, see merged_records)."""
     return variants.join(mapping, "norm").groupBy(F.col("target").alias("norm"), "variant").agg(F.sum("n").alias("n"))
 
 
+def merged_records(rows: DataFrame, mapping: DataFrame, record: str) -> DataFrame:
+    """(norm, case_count) of the targets: a record under several merged names counts once."""
+    return rows.join(mapping, "norm").groupBy(F.col("target").alias("norm")).agg(F.count_distinct(record).alias("case_count"))
+
+
+def remap_aliases(names: DataFrame, norm: str, aliases: DataFrame) -> DataFrame:
+    """`names` with `norm` replaced by its reviewed identity from aliases (alias, identity), where there is one."""
+    known = aliases.select(F.col("alias").alias(norm), "identity").dropDuplicates([norm])
+    return names.join(known, norm, "left").select(*[F.coalesce("identity", norm).alias(norm) if c == norm else c for c in names.columns])
+
+
+def roster_judges(profiles: DataFrame) -> DataFrame:
+    """Profiles of judges whose standing on the roster is known."""
+    return profiles.where((F.col("profile_type") == "judge") & F.col("roster_status").isin("current", "former", "historical"))
+
+
 def profile_labels(profiles: DataFrame, owner: str, labels: str, key) -> DataFrame:
     """First label of each normal form of a profile's list of labels."""
     x = profiles.select(owner, F.posexplode(labels).alias("pos", "label"))

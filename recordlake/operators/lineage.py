@@ -12,6 +12,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordlake-")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="recordlake-")
         sc.setCheckpointDir(at)
     return df.checkpoint()

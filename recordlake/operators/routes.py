@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_name, lookup_bucket
 from .facets import first_arrivals
+from .rankings import ordinals
 
 
 def record_places(rows: DataFrame, kind: str, key: str, pos: str, buckets: int = 1024) -> DataFrame:
     """`rows` with their record bucket and the index inside it, by arrival."""
     out = rows.withColumn("record_bucket", bucket_name(lookup_bucket(kind, F.col(key), buckets), buckets))
-    return out.withColumn("record_index", F.row_number().over(Window.partitionBy("record_bucket").orderBy(pos)).cast("long") - 1)
+    numbered = ordinals(out, [F.col("record_bucket"), F.col(pos)], "record_number")  # no task holds a bucket
+    first = numbered.groupBy("record_bucket").agg(F.min("record_number").alias("first_number"))
+    placed = numbered.join(F.broadcast(first), "record_bucket")  # one row per bucket
+    return placed.withColumn("record_index", F.col("record_number") - F.col("first_number")).drop("record_number", "first_number")
 
 
 def routes(places: DataFrame, kind: str, keys: list[str], pos: str, buckets: int = 256) -> DataFrame:

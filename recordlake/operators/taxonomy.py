@@ -6,25 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .lineage import cut
 
 
-def roots(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, root_label) by pointer jumping over (id, parent_id, label); a cycle ends where it began.
+def roots(nodes: DataFrame) -> DataFrame:
+    """(id, root_label) over (id, parent_id, label), of any depth, by pointer jumping.
 
-    Jumping doubles the distance each round, so `depth` levels take log2(depth)
-    self-joins; a parent that does not exist ends the walk.
+    A parent that does not exist ends the walk.  A node on a cycle is its own
+    root; a walk that runs into a cycle ends at the first node of it.  With a
+    column pos the last of several rows of one id counts.
     """
-    up = nodes.select("id", F.col("parent_id").alias("up"))
+    if "pos" in nodes.columns:
+        nodes = nodes.groupBy("id").agg(F.max_by(F.struct("parent_id", "label"), "pos").alias("x")).select("id", "x.*")
+    nodes = cut(nodes.select("id", "parent_id", "label"))
     known = nodes.select(F.col("id").alias("k"))
-    up = up.join(known, F.col("up") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("up"))
-    steps = max(1, (depth - 1).bit_length())
-    for _ in range(steps):
-        nxt = up.select(F.col("id").alias("m"), F.col("up").alias("next"))
-        up = up.join(nxt, F.col("up") == F.col("m")).select("id", F.col("next").alias("up"))
+    step = cut(nodes.join(known, F.col("parent_id") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("up")))
+    # the nodes that are still reached after ever longer walks are the ends: roots and members of cycles
+    ends, far = None, step
+    while True:
+        reached = cut(far.select("up").distinct())
+        n = reached.count()
+        if n == ends:
+            break
+        ends, far = n, cut(_jump(far))
+    stop = reached.select(F.col("up").alias("e"))
+    up = step.join(stop, F.col("id") == F.col("e"), "left").select("id", F.coalesce("e", "up").alias("up"))
+    left = 1
+    while left:
+        nxt = cut(_jump(up))
+        moved = up.select("id", F.col("up").alias("was")).join(nxt, "id")
+        left = moved.where("was <> up").limit(1).count()
+        up = nxt
     label = nodes.select(F.col("id").alias("l"), F.col("label").alias("root_label"))
     return up.join(label, F.col("up") == F.col("l")).select("id", "root_label")
 
 
+def _jump(up: DataFrame) -> DataFrame:
+    """Each walk continued by the walk from where it stands."""
+    nxt = up.select(F.col("id").alias("m"), F.col("up").alias("next"))
+    return up.join(nxt, F.col("up") == F.col("m")).select("id", F.col("next").alias("up"))
+
+
+def category_lookup(categories: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(category_key, matter_type, matter_category) of (parent_id, label, pos): the root of the parent, the last row of a key."""
+    keyed = categories.withColumn("category_key", text.search_key(F.col("label"))).where("category_key <> ''")
+    last = keyed.groupBy("category_key").agg(F.max_by(F.struct("parent_id", "label"), "pos").alias("x")).select("category_key", "x.*")
+    root = roots(nodes).select(F.col("id").alias("parent_id"), "root_label")
+    return last.join(root, "parent_id", "left").select("category_key", F.coalesce("root_label", F.lit("Unclassified")).alias("matter_type"), F.col("label").alias("matter_category"))
+
+
 def matter_columns(matter_type: Column, category: Column, number: Column) -> list[Column]:
     """Type (inferred from the number if missing or unclassified), category and their keys."""
     inferred = text.inferred_matter_type(number)

@@ -19,10 +19,11 @@ def json_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def ndjson(spark: SparkSession, path: str, schema: str, mentions: str | None = None) -> DataFrame:
-    """Lines as rows; lines without `mentions` are not parsed."""
+    """Lines as rows; lines without `mentions` are not parsed, and lines that are no JSON object are skipped."""
     lines = spark.read.text(path)
     if mentions:
         lines = lines.where(F.col("value").contains(mentions))
+    lines = lines.where(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull())
     return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null").select("r.*")
 
 

@@ -1,4 +1,4 @@
-"""Writers: bucketed lookups, bounded parts, facets as JSON, CSV; all published by a rename."""
+"""Writers: bucketed lookups, bounded parts, facets as JSON, CSV; all published by a pointer file."""
 
 from __future__ import annotations
 
@@ -10,31 +10,65 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket_name, fnv1a32
 
 
-def publish(spark: SparkSession, staged: str, path: str) -> None:
-    """Moves a finished folder into place; readers see the old one or the new one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
-    fs = dst.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    had = fs.exists(dst)
-    if had and not fs.rename(dst, old):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(src, dst):
-        raise OSError(f"cannot publish {path}")
-    if had:
-        fs.delete(old, True)
+POINTER = "CURRENT"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Makes the finished folder `version` below `path` the current one.
+
+    The pointer file is written beside the old one and renamed over it, so
+    readers see the old folder or the new one, never none.  Older folders go
+    afterwards, but for the one that was current until now (it may be read).
+    """
+    jvm, base, fs = _hadoop(spark, path)
+    before = current(spark, path, missing_ok=True)
+    staged = jvm.org.apache.hadoop.fs.Path(base, f".{POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    out.write(version.encode())
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(staged), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(base, POINTER)), how)
+    for s in fs.listStatus(base):
+        name = s.getPath().getName()
+        if s.isDirectory() and name.startswith("data-") and name != version and (before is None or not before.endswith(f"/{name}")):
+            fs.delete(s.getPath(), True)
+
+
+def current(spark: SparkSession, path: str, missing_ok: bool = False) -> str | None:
+    """The folder that the pointer below `path` names."""
+    jvm, _, fs = _hadoop(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path(path, POINTER)
+    if not fs.exists(at):
+        if missing_ok:
+            return None
+        raise FileNotFoundError(f"{path} has not been published")
+    return f"{path}/{spark.read.text(at.toString(), wholetext=True).first()[0]}"
 
 
 def _staged(df: DataFrame, path: str, write) -> None:
-    at = f"{path}.new-{uuid.uuid4().hex}"
-    write(at)
-    publish(df.sparkSession, at, path)
+    version = f"data-{uuid.uuid4().hex}"
+    write(f"{path}/{version}")
+    publish(df.sparkSession, path, version)
 
 
-def bucketed(df: DataFrame, path: str, kind: str, key: str, buckets: int = 256) -> None:
-    """Parquet partitioned by the lookup bucket of the key."""
+def bucketed(df: DataFrame, path: str, kind: str, key: str, buckets: int = 256, salts: int = 1) -> None:
+    """Parquet partitioned by the lookup bucket of the key; `salts` tasks write each bucket."""
     b = df.withColumn("bucket", bucket_name(fnv1a32(F.concat(F.lit(f"{kind}:"), F.col(key))) % buckets, buckets))
-    _staged(df, path, lambda at: b.repartition("bucket").write.partitionBy("bucket").parquet(at))
+    _staged(df, path, lambda at: b.repartition(buckets * salts, "bucket", _salt(b, salts)).write.partitionBy("bucket").parquet(at))
+
+
+def _salt(df: DataFrame, salts: int):
+    """The same for a row whenever its task is run."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
 
 
 def lookup(spark: SparkSession, path: str, kind: str, key: str, column: str, buckets: int = 256) -> DataFrame:
@@ -43,11 +77,20 @@ def lookup(spark: SparkSession, path: str, kind: str, key: str, column: str, buc
     for unit in memoryview(f"{kind}:{key}".encode("utf-16-le")).cast("H"):
         h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
     name = format(h % buckets, f"0{max(2, len(format(buckets - 1, 'x')))}x")
-    return spark.read.option("inferSchema", False).parquet(path).where((F.col("bucket").cast("string") == name) & (F.col(column) == key))
+    return spark.read.option("inferSchema", False).parquet(current(spark, path)).where((F.col("bucket").cast("string") == name) & (F.col(column) == key))
 
 
-def partitioned(df: DataFrame, path: str, *keys: str, most: int = 25000) -> None:
-    _staged(df, path, lambda at: df.repartition(*keys).write.option("maxRecordsPerFile", most).partitionBy(*keys).parquet(at))
+def lookup_status(spark: SparkSession, path: str, kind: str, key: str, column: str, buckets: int = 256) -> str:
+    """found, not_found, or data_state_error where the lookup cannot be read."""
+    try:
+        return "found" if lookup(spark, path, kind, key, column, buckets).limit(1).count() else "not_found"
+    except Exception:  # whatever a damaged or absent table raises
+        return "data_state_error"
+
+
+def partitioned(df: DataFrame, path: str, *keys: str, most: int = 25000, salts: int = 1) -> None:
+    """Parquet partitioned by the keys; `salts` tasks write a partition, so a hot one is no single task's."""
+    _staged(df, path, lambda at: df.repartition(*keys, _salt(df, salts)).write.option("maxRecordsPerFile", most).partitionBy(*keys).parquet(at))
 
 
 def facet_json(facet: DataFrame, path: str) -> None:
@@ -55,5 +98,22 @@ def facet_json(facet: DataFrame, path: str) -> None:
     _staged(facet, path, lambda at: facet.orderBy(F.col("case_count").desc(), "label").write.json(at))
 
 
+def facet_tables(facet: DataFrame, search: DataFrame, cases: DataFrame, path: str) -> None:
+    """The three tables of a facet under `path`: list (picker), search (every spelling) and cases (record sets)."""
+    facet_json(facet, f"{path}/list")
+    _staged(search, f"{path}/search", lambda at: search.write.parquet(at))
+    partitioned(cases.withColumn("bucket", bucket_name(fnv1a32(F.col("facet_key")) % 256, 256)), f"{path}/cases", "bucket")
+
+
+def spooled(df: DataFrame, path: str, bucket: str) -> None:
+    """JSON rows of every bucket, one folder each; Spark's shuffle spills what does not fit."""
+    _staged(df, path, lambda at: df.repartition(bucket).sortWithinPartitions(bucket).write.partitionBy(bucket).json(at))
+
+
+def replace_sources(df: DataFrame, path: str, partition: str) -> None:
+    """New version of a re-sharded table; the sources are never deleted in place, readers switch by the pointer."""
+    partitioned(df, path, partition)
+
+
 def csv(df: DataFrame, path: str) -> None:
     _staged(df, path, lambda at: df.write.option("header", True).csv(at))
