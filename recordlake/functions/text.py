@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from .fixed import (
     ACRONYMS,
+    CAPTION_SPLIT,
     CATEGORY_BY_INITIAL,
     CONNECTORS,
     COURT_GROUPS,
+    GENERIC_TITLE,
     GOVERNMENT_RULES,
     GROUP_ORDER,
     MATTER_PREFIXES,
     NAME_SUFFIXES,
     PARTY_ROLES,
+    PEOPLE,
     PREFIX_NAMES,
     PREFIX_TYPE_NAMES,
     PRIVATE_FIRM,
+    SUBJECT_TITLE,
 )
 
 SPACE = r"(?U)\s+"
@@ -216,18 +220,29 @@ def represented_parties(x: Column) -> Column:
     return unique_texts(F.filter(names, lambda p: p.rlike("[A-Z0-9]")))
 
 
-def title_parties(title: Column) -> Column:
-    """struct(plaintiff, defendant, subject) from a caption."""
-    t = clean(title)
-    sides = F.split(t, r"(?i)\s+(?:vs\.?|v\.?|versus)\s+", 2)
-    two = F.size(sides) == 2
-    subject = F.regexp_extract(t, r"(?i)^(?:in\s+re|in\s+the\s+matter\s+of|estate\s+of|matter\s+of)[:\s]+(.+)$", 1)
-    criminal = t.rlike(r"(?i)^(?:the\s+)?people\b")
+def caption_name(x: Column) -> Column:
+    """One side of a caption: edge punctuation and 'et al.' go, the people are spelled out; '' for a generic title."""
+    s = F.regexp_replace(clean_inline(x), PEOPLE, "People of the State of California")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?i)\s+(?:et\s+al\.?|et\s+ux\.?)\s*$", ""), r"^[,;:.\s]+|[,;:.\s]+$", "")
+    return F.when(s.rlike(GENERIC_TITLE), "").otherwise(s)
+
+
+def title_parties(title: Column, criminal: Column | None = None) -> Column:
+    """struct(plaintiff, defendant, subject) from a caption; none from a generic or criminal one.
+
+    All sides but the first are the defendant, joined by ' v. '.  Without
+    `criminal`, a caption that begins with the people is taken as criminal.
+    """
+    t = clean_inline(title)
+    sides = F.filter(F.transform(F.split(t, CAPTION_SPLIT), caption_name), lambda s: s != "")
+    subject = caption_name(F.regexp_extract(t, SUBJECT_TITLE, 1))
+    skip = t.rlike(GENERIC_TITLE) | (t.rlike(r"(?i)^(?:the\s+)?people\b") if criminal is None else F.coalesce(criminal, F.lit(False)))
+    two = F.size(sides) >= 2
     none = F.lit(None).cast("string")
     return F.struct(
-        F.when(two & ~criminal, F.trim(sides[0])).otherwise(none).alias("plaintiff"),
-        F.when(two & ~criminal, F.trim(sides[1])).otherwise(none).alias("defendant"),
-        F.when(~two & (subject != ""), F.trim(subject)).otherwise(none).alias("subject"),
+        F.when(~skip & two, F.get(sides, F.lit(0))).otherwise(none).alias("plaintiff"),
+        F.when(~skip & two, F.array_join(F.slice(sides, F.lit(2), F.greatest(F.size(sides) - 1, F.lit(0))), " v. ")).otherwise(none).alias("defendant"),
+        F.when(~skip & ~two & (subject != ""), subject).otherwise(none).alias("subject"),
     )
 
 
@@ -237,6 +252,19 @@ def without_parameter(url: Column, name: str) -> Column:
     return F.regexp_replace(u, r"[?&](?=#|$)", "")
 
 
+def criminal_archive_number(explicit: Column, number: Column) -> Column:
+    """CRI and the digits: as it stands, rebuilt from the raw number, else the number in capitals."""
+    n = F.upper(F.trim(F.coalesce(number, F.lit(""))))
+    raw = criminal_raw_number(explicit, number)
+    return F.when(n.rlike(r"^CRI\d{6,}$") | (raw == ""), n).otherwise(F.concat(F.lit("CRI"), raw))
+
+
+def criminal_raw_number(explicit: Column, number: Column) -> Column:
+    """Digits of the explicit number, else of a criminal case number, else ''."""
+    own = F.trim(F.coalesce(explicit, F.lit("")))
+    return F.when(own != "", F.regexp_replace(own, "[^0-9]", "")).otherwise(F.regexp_extract(F.trim(F.coalesce(number, F.lit(""))), r"(?i)^CRI[-_\s]*(\d{6,})$", 1))
+
+
 def digits_after_prefix(x: Column) -> Column:
     return F.regexp_extract(F.upper(clean(x)), r"^[A-Z]+[-_\s]*(\d+)", 1)
 
@@ -252,30 +280,42 @@ def shard_path(x: Column) -> Column:
 
 
 def pretty_label(x: Column) -> Column:
-    """Title case for labels in capitals; acronyms stay, connectors are lower case."""
-    s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[\s;,.:]+$", ""), r"(?i)\s+(?:and|&|;)\s*$", "")
-    keep, small = F.array(*map(F.lit, ACRONYMS)), F.array(*map(F.lit, CONNECTORS))
-
-    def word(w: Column) -> Column:
-        bare = F.regexp_replace(w, r"[^A-Za-z0-9'’\-]", "")
-        at = F.call_function("instr", w, bare)
-        title = F.concat(F.upper(F.substring(bare, 1, 1)), F.lower(bare.substr(F.lit(2), F.length(bare))))
-        put = F.concat(w.substr(F.lit(1), at - 1), title, w.substr(at + F.length(bare), F.length(w)))
-        return F.when((bare == "") | F.array_contains(keep, F.upper(bare)), w).when(F.array_contains(small, F.lower(bare)), F.lower(w)).otherwise(put)
-
-    parts = F.regexp_extract_all(s, F.lit(r"[()§]|\s+|[^()§\s]+"), 0)
-    out = F.array_join(F.transform(parts, word), "")
-    first = F.length(F.regexp_extract(out, "^[^a-zA-Z]*", 0)) + 1
-    out = F.concat(out.substr(F.lit(1), first - 1), F.upper(out.substr(first, F.lit(1))), out.substr(first + 1, F.length(out)))
-    mixed = F.regexp_replace(s, r"\([^)]*\)", "").rlike("[a-z]")
-    return F.when(mixed, s).otherwise(clean(out))
+    """Title case for labels in capitals; acronyms stay, connectors are lower case.
+
+    Leading and trailing connectors and punctuation go.  A label that has a
+    small letter outside parentheses stays as it is.
+    """
+    s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+|(?:[\s;,.:]|\s(?:and|&))+$", "")
+    runs = F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}'’-]+|[^\p{L}\p{N}'’-]+"), F.lit(0))
+    acronyms, connectors = (F.array(*map(F.lit, words)) for words in (ACRONYMS, CONNECTORS))
+    spelled = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
+
+    def put(w: Column, i: Column) -> Column:
+        small = (i > 0) & F.array_contains(connectors, F.lower(w))
+        return F.when(F.array_contains(acronyms, F.upper(w)), w).when(small, F.lower(w)).otherwise(spelled(w))
+
+    capitals = ~F.regexp_replace(s, r"\([^)]*\)", "").rlike(r"\p{Ll}")
+    return F.when(capitals, F.array_join(F.transform(runs, put), "")).otherwise(s)
 
 
 def money_text(x: Column) -> Column:
     return F.when(x.isNotNull(), F.concat(F.lit("$"), F.format_number(x, 2)))
 
 
+def confidence_text(x: Column) -> Column:
+    """Percent with one decimal, none for a certain one; 'not stated' without one."""
+    pct = F.concat(F.when(x == 1, "100").otherwise(F.format_string("%.1f", x * 100)), F.lit("%"))
+    return F.when(x.isNull(), "not stated").otherwise(pct)
+
+
+def amount_text(x: Column) -> Column:
+    """A decimal in words of the source: $ and thousands, digits after the point as given; other text as it is."""
+    raw = F.regexp_replace(F.trim(F.coalesce(x.cast("string"), F.lit(""))), ",", "")
+    sign, whole, rest = (F.regexp_extract(raw, r"^(-?)(\d+)(\.\d+)?$", i) for i in (1, 2, 3))
+    grouped = F.regexp_replace(whole, r"\B(?=(\d{3})+(?!\d))", ",")
+    return F.when(whole != "", F.concat(sign, F.lit("$"), grouped, F.coalesce(rest, F.lit("")))).when(raw == "", "not stated").otherwise(raw)
+
+
 def percent_text(x: Column) -> Column:
     return F.when(x.isNotNull(), F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%")))
 
@@ -299,5 +339,36 @@ def text_op(value: Column, op: str, wanted: str) -> Column:
     return {"contains": v.contains(w), "not_contains": ~v.contains(w), "exact": v == w, "starts": v.startswith(w), "ends": v.endswith(w)}[op]
 
 
+def json_map(x: Column) -> Column:
+    """A JSON object of counts in a string; anything else is an empty map."""
+    return F.coalesce(F.from_json(x, "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))
+
+
+def prefix_order(x: Column) -> Column:
+    """Sort key of a prefix: group, then label, then code."""
+    i = prefix_info(x)
+    return F.struct(i["grp_sort"].alias("grp_sort"), i["label"].alias("label"), i["code"].alias("code"))
+
+
+def prefix_label(x: Column) -> Column:
+    """Label with the code in parentheses."""
+    i = prefix_info(x)
+    return F.when(i["code"] == "(none)", i["label"]).otherwise(F.concat(i["label"], F.lit(" ("), i["code"], F.lit(")")))
+
+
+def finite_or_zero(x: Column) -> Column:
+    n = x.cast("string").try_cast("double")
+    return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), 0.0).otherwise(n)
+
+
+def not_negative(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), finite_or_zero(x))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    """The count with thousands and its word."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -6,85 +6,162 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.fixed import CODE_ALIASES, CODE_NAMES, STOP_PHRASES
-
-_NUMBER = re.compile(r"(?<![\w.(§])(\d{1,2})[.)]\s+(?=[A-Z(])")
-_HEADING = re.compile(r"(?i)\b(?:cross-?\s*complaint|complaint|petition)\b")
-_ORDINALS = ("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth").split()
-_HEADER = re.compile(rf"(?i)\b({'|'.join(_ORDINALS)})\s+cause\s+of\s+action\b\s*(?:\(([^)]+)\)|[-–—:]\s*([^\n.]+))")
-_CITATION = re.compile(r"(?i)§|\bcode\b|\bsection\b|\bstat\b|\bu\.?s\.?c\b|et seq")
+from ..functions import text
+from ..functions.fixed import (
+    ACRONYMS,
+    CANONICAL_CAUSES,
+    CHARGE_SENTINEL,
+    CITES_STATUTE,
+    CODE_ALIASES,
+    CODE_NAMES,
+    CODE_SPELLINGS,
+    CONNECTORS,
+    HEADED_BRACKETS,
+    HEADED_LINE,
+    INLINE_CITATION,
+    JUNK_CAUSE,
+    LAW_CODES,
+    LAW_TEXT,
+    NAME_ARTEFACT,
+    NOT_A_CAUSE,
+    NUMBERED_PARTY,
+    ORDINALS,
+    PARTY_START,
+    PARTY_VERB,
+    PETITION_FOR,
+    PETITION_OTHER,
+    PETITION_START,
+    PLEADING_HEADING,
+    PLEADING_PROSE,
+    SECTION_NUMBER,
+    STOP_PHRASES,
+)
+
+_MARK = re.compile(r"(?:^|(?<=[\s(\[]))\[?(\d{1,2})[\].)](?![)\]])")
+_HEADING = re.compile(PLEADING_HEADING)
+_HEADER = re.compile(rf"(?i)\b({'|'.join(sorted(ORDINALS, key=len, reverse=True))})\s+(?:and\s+\w+\s+)?causes?\s+of\s+action\b")
+_STOP = re.compile("|".join(map(re.escape, STOP_PHRASES)), re.IGNORECASE)
+_WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+CAPTION = 8000  # characters from the top that may hold a caption
 
 
 def squish(s: str) -> str:
     return " ".join(s.split())
 
 
+def pretty(label: str) -> str:
+    """functions.text.pretty_label for one label."""
+    s = re.sub(r"(?i)^(?:and|&)\s+|(?:[\s;,.:]|\s(?:and|&))+$", "", squish(label))
+    if re.search(r"[a-zß-öø-ÿ]", re.sub(r"\([^)]*\)", "", s)):
+        return s
+
+    def put(m: re.Match) -> str:
+        w = m[0]
+        if w.upper() in ACRONYMS:
+            return w
+        return w.lower() if m.start() and w.lower() in CONNECTORS else w[0].upper() + w[1:].lower()
+
+    return _WORDS.sub(put, s)
+
+
+def _tail_group(s: str) -> tuple[str, str] | None:
+    """(text before, text inside) of a balanced parenthesis at the end."""
+    s = s.rstrip()
+    if not s.endswith(")"):
+        return None
+    depth = 0
+    for i in range(len(s) - 1, -1, -1):
+        depth += (s[i] == ")") - (s[i] == "(")
+        if not depth:
+            return s[:i], s[i + 1 : -1]
+    return None
+
+
 def split_citation(label: str) -> tuple[str, str | None]:
-    """(label, statute) where the label ends in a balanced parenthesis that cites one."""
-    s = label.rstrip(" ;,.")
-    if s.endswith(")"):
-        depth = 0
-        for i in range(len(s) - 1, -1, -1):
-            depth += (s[i] == ")") - (s[i] == "(")
-            if depth == 0:
-                inner = s[i + 1 : -1]
-                if _CITATION.search(inner) and s[:i].strip():
-                    return squish(s[:i]).rstrip(" ;,."), squish(inner)
-                break
-    return squish(s), None
-
-
-def _plausible(label: str) -> bool:
-    return 3 <= len(label) <= 180 and not label.upper().startswith(STOP_PHRASES) and not re.search(r"[.!?]\s+[A-Z]", label)
-
-
-def _listed(window: str) -> list[tuple[int, str]]:
-    """The longest list 1, 2, 3 ... that starts soon after a heading."""
-    best: list[tuple[int, str]] = []
-    stop = re.compile("|".join(map(re.escape, STOP_PHRASES)))
-    for heading in reversed([0, *[m.end() for m in _HEADING.finditer(window)]]):
-        found, want = [], 1
-        for m in _NUMBER.finditer(window, heading):
-            if int(m[1]) == want and (want > 1 or m.start() - heading <= 1200):
-                found.append((m.start(), m.end()))
-                want += 1
-        rows = []
-        for k, (_, begin) in enumerate(found):
-            end = found[k + 1][0] if k + 1 < len(found) else len(window)
-            piece = window[begin:end]
-            cut = stop.search(piece.upper())
-            label = squish(piece[: cut.start()] if cut else piece.split("\n\n")[0])
-            if not _plausible(split_citation(re.sub(r"(?i)[\s;,]+and$", "", label))[0]):
-                break
-            rows.append((k + 1, label))
-            if cut:
-                break
-        if len(rows) > len(best):
-            best = rows
-    return best
+    """(label, statute) where the label ends in a parenthesis that cites one or in a code and section."""
+    group, statute = _tail_group(label), None
+    if group and re.search(CITES_STATUTE, group[1]):
+        label, statute = group
+    elif m := re.search(INLINE_CITATION, label):
+        if len(rest := squish(label[: m.start()])) >= 3:
+            label, statute = rest, m[1]
+    return squish(label).rstrip(" ;,."), squish(statute).strip(" ()") if statute else None
+
+
+def plausible(label: str) -> bool:
+    """Whether a label can be a cause of action: no junk, form, heading, prose of the body or numbered party."""
+    s = squish(label)
+    if not 3 <= len(s) <= 180 or re.search(JUNK_CAUSE, s) or re.search(NOT_A_CAUSE, s) or _STOP.match(s):
+        return False
+    prose = re.search(r"[.!?]\s+[A-Z]", s) or re.search(PLEADING_PROSE, s) or re.search(NUMBERED_PARTY, s)
+    return not (prose or (re.search(PARTY_START, s) and re.search(PARTY_VERB, s)))
+
+
+def _cause(n: int, raw: str) -> dict | None:
+    label, statute = split_citation(raw)
+    label = pretty(label)
+    return {"n": n, "label": label, "statute": statute} if plausible(label) else None
+
+
+def _items(region: str) -> list[dict]:
+    """The list 1, 2, 3 ... that starts soon; each item ends at the next marker or a stop phrase."""
+    marks = [(int(m[1]), m.start(1), m.end()) for m in _MARK.finditer(region)]
+    at = next((i for i, (n, place, _) in enumerate(marks) if n == 1 and place < 1200), None)
+    out: list[dict] = []
+    while at is not None:
+        n, _, begin = marks[at]
+        following = marks[at + 1] if at + 1 < len(marks) else (None, len(region), None)
+        raw = squish(_STOP.split(region[begin : following[1]], maxsplit=1)[0])
+        if plausible(raw):
+            out += [c] if (c := _cause(n, raw)) else []
+        elif out:
+            break
+        at = at + 1 if following[0] == n + 1 else None
+    return out
+
+
+def _listed(window: str) -> list[dict]:
+    """The longest list behind a pleading's heading, the last heading first."""
+    found = [_items(window[m.end() :]) for m in _HEADING.finditer(window)]
+    return max(reversed(found), key=len, default=[])
+
+
+def _headed(text: str) -> list[dict]:
+    """Causes named behind headings FIRST CAUSE OF ACTION and so on, the first of each ordinal."""
+    out: dict[int, dict] = {}
+    for m in _HEADER.finditer(text):
+        n, after = ORDINALS.index(m[1].lower()) + 1, text[m.end() : m.end() + 200]
+        named = re.match(HEADED_BRACKETS, after) or re.match(HEADED_LINE, after)
+        label = re.sub(r"(?i)\b(against|by|as to)\b.*$", "", squish(named[1])) if named else ""
+        if label and n not in out and (c := _cause(n, label)):
+            out[n] = c
+    return [out[n] for n in sorted(out)]
 
 
 def causes(text: str | None) -> list[dict]:
-    """[{n, label, statute}] in pleaded order; the caption's list unless the headings give more."""
+    """[{n, label, statute}] in pleaded order, distinct; the caption's list unless the headings give more."""
     if not text:
         return []
     flat = text.replace("\xa0", " ")
-    listed = _listed(flat[:8000])
-    headed = [(_ORDINALS.index(m[1].lower()) + 1, squish(m[2] or m[3])) for m in _HEADER.finditer(flat)]
-    headed = [x for x in headed if _plausible(x[1])]
-    chosen = listed if listed and len(listed) >= len(headed) else headed
+    listed, headed = _listed(flat[:CAPTION]), _headed(flat)
     out, seen = [], set()
-    for n, raw in chosen:
-        label, statute = split_citation(re.sub(r"(?i)[\s;,]+and$", "", raw.rstrip(" ;,.")))
-        key = re.sub("[^a-z0-9]+", " ", label.lower()).strip()
+    for c in listed if listed and len(listed) >= len(headed) else headed:
+        key = re.sub("[^a-z0-9]+", " ", c["label"].lower()).strip()
         if key and key not in seen:
             seen.add(key)
-            out.append({"n": n, "label": label, "statute": statute})
+            out.append(c)
     return out
 
 
+def fallback_cause(label: str) -> list[dict]:
+    """The only cause that a description gives, if it can be one."""
+    named = pretty(label)
+    return [{"n": 1, "label": named, "statute": None}] if plausible(named) else []
+
+
 CAUSES = pa.list_(pa.struct([("n", pa.int32()), ("label", pa.string()), ("statute", pa.string())]))
 
 
@@ -97,10 +174,11 @@ def _causes(texts: pa.Array) -> pa.Array:
 
 
 _BY_ALIAS = {a: k for k, names in CODE_ALIASES.items() for a in names}
-_CODES = "|".join(sorted((re.escape(a).replace(r"\ ", r"\s+") for a in _BY_ALIAS), key=len, reverse=True))
-_SECTION = r"\d+[A-Za-z]?(?:\.\d+)?(?:\([A-Za-z0-9,]+\))*"
-_STATUTE = re.compile(rf"(?i)\b(?:(?P<c1>{_CODES})\s*(?:§|SECTION|SEC\.)?\s*(?P<s1>{_SECTION})|(?P<s2>{_SECTION})\s*(?P<c2>{_CODES}))(?=$|[^A-Za-z0-9])")
+_SPELLED = sorted({*_BY_ALIAS, *CODE_SPELLINGS}, key=len, reverse=True)
+_CODES = "|".join(re.sub(r"\s*&\s*", r"\\s*&\\s*", a) if "&" in a else a.replace(" ", r"\s+") for a in _SPELLED)
+_STATUTE = re.compile(rf"(?i)\b(?:(?P<c1>{_CODES})\s*(?:§|SECTION|SEC\.)?\s*(?P<s1>{SECTION_NUMBER})|(?P<s2>{SECTION_NUMBER})\s*(?P<c2>{_CODES}))(?=$|[^A-Za-z0-9])")
 _CLASS = {"F": "felony", "M": "misdemeanor", "I": "infraction"}
+_GRADE = re.compile(r"(?i)(?:^|[/\s-])([FMI])(?:$|[/\s-])")
 
 
 def code_system(raw: str) -> str:
@@ -108,40 +186,127 @@ def code_system(raw: str) -> str:
     return _BY_ALIAS.get(k, k)
 
 
+def _charge(raw: str, m: re.Match | None = None, provided: str = "") -> dict:
+    """One row: what the text gives as a title, the code and section, the class; the title's final choice is made later."""
+    raw = raw.strip(" ,")
+    code, section = (code_system(m["c1"] or m["c2"]), m["s1"] or m["s2"]) if m else ("", "")
+    known = code in CODE_NAMES
+    grade = _GRADE.search(raw) if m else None
+    citation = f"{CODE_NAMES[code]} § {section}" if known else None
+    return {
+        "raw": raw,
+        "code": f"{code} {section}" if known else None,
+        "citation": citation,
+        "classification": _CLASS[grade[1].upper()] if grade else None,
+        "code_system": code if known else None,
+        "section": section if known else None,
+        "provided_title": provided or None,
+        "title": provided or citation or raw,
+        "title_source": "criminal_index_text" if provided else "programmatic_citation" if known else "raw_index_text",
+        "unparsed": m is None,
+    }
+
+
+def _unknown(sentinel: str) -> dict:
+    return _charge(sentinel) | {"title": f"Unrecognized criminal index charge code {sentinel}"}
+
+
+def _part_charges(part: str) -> list[dict]:
+    found = list(_STATUTE.finditer(part))
+    if not found:
+        numbers = re.findall(CHARGE_SENTINEL, part)
+        return [_unknown(x) for x in numbers] or [_charge(part)]
+    if len(found) == 1:
+        m = found[0]
+        title = squish(f"{part[: m.start()]} {part[m.end() :]}".strip(" -:;,/"))
+        title = re.sub(r"(?i)\b(?:felony|misdemeanor|infraction|F|M|I)\b\s*$", "", re.sub(r"(?i)^[/\s-]*[FMI]\b[/\s-]*", "", title))
+        return [_charge(part, m, title.rstrip(" -:;,/").strip())]
+    out, rest, at = [], [], 0
+    for m in found:  # a class letter behind a slash belongs to the citation
+        end = m.end() + (len(c[0]) if (c := re.match(r"(?i)\s*/\s*[FMI]\b", part[m.end() :])) else 0)
+        out.append(_charge(part[m.start() : end], m))
+        rest.append(part[at : m.start()])
+        at = end
+    return out + [_unknown(x) for x in re.findall(CHARGE_SENTINEL, " ".join([*rest, part[at:]]))]
+
+
 def charges(value: str | None) -> list[dict]:
-    """Charges of an index text: one row per citation, or the raw part where there is none."""
-    out, seen = [], set()
-    for part in re.split(r"\s*[;\n\r|]\s*", value or ""):
-        part = squish(part).strip(" ,")
-        if not part:
-            continue
-        grade = re.search(r"(?i)(?:^|[/\s-])([FMI])(?:$|[/\s-])", part)
-        rows = []
-        for m in _STATUTE.finditer(part):
-            code, section = code_system(m["c1"] or m["c2"]), m["s1"] or m["s2"]
-            rows.append({"raw": part, "code": f"{code} {section}", "citation": f"{CODE_NAMES[code]} § {section}" if code in CODE_NAMES else None})
-        for r in rows or [{"raw": part, "code": None, "citation": None}]:
-            r["classification"] = _CLASS[grade[1].upper()] if grade else None
-            key = str(r).lower()
-            if key not in seen:
-                seen.add(key)
-                out.append(r)
-    return out
+    """Charges of an index text, distinct: a row per citation, sentinel number, or part without either."""
+    inline = re.sub(r"(?i)<br\s*/?>", " ", value or "")
+    parts = [squish(x).strip(" ,") for x in re.split(r"\s*[;\n\r|]\s*", inline)]
+    rows = [r for x in parts if x for r in _part_charges(x)]
+    return list({str(r).lower(): r for r in reversed(rows)}.values())[::-1]
 
 
-CHARGES = pa.list_(pa.struct([(n, pa.string()) for n in ("raw", "code", "citation", "classification")]))
+_CHARGE = [(n, pa.string()) for n in ("raw", "code", "citation", "classification", "code_system", "section", "provided_title", "title", "title_source")]
+CHARGES = pa.list_(pa.struct([*_CHARGE, ("unparsed", pa.bool_())]))
 
 
 def parse_charges(x: Column) -> Column:
-    return arrow_udf(_charges, "array<struct<raw:string,code:string,citation:string,classification:string>>")(x)
+    return arrow_udf(_charges, f"array<struct<{','.join(f'{n}:string' for n, _ in _CHARGE)},unparsed:boolean>>")(x)
 
 
 def _charges(texts: pa.Array) -> pa.Array:
     return pa.array([charges(t) for t in texts.to_pylist()], CHARGES)
 
 
+def charge_title(provided: Column, schedule: Column, schedule_source: Column, citation: Column, raw: Column) -> Column:
+    """struct(title, title_source, schedule_title): the text's own title, the schedule's, the citation, the raw part."""
+    own, listed, cited = (F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")) for c in (provided, schedule, citation))
+    source = (
+        F.when(own.isNotNull(), "criminal_index_text").when(listed.isNotNull(), F.coalesce(schedule_source, F.lit("court_bail_schedule")))
+        .when(cited.isNotNull(), "programmatic_citation").otherwise("raw_index_text")
+    )
+    other = F.when(own.isNotNull() & (F.lower(listed) != F.lower(own)), listed)
+    return F.struct(F.coalesce(own, listed, cited, raw).alias("title"), source.alias("title_source"), other.alias("schedule_title"))
+
+
+def law_url(system: Column, section: Column) -> Column:
+    """The official text of a section, without its subdivisions; '' for an unknown code."""
+    laws = F.create_map(*[F.lit(v) for kv in LAW_CODES.items() for v in kv])
+    law, base = F.try_element_at(laws, system), F.trim(F.regexp_replace(F.coalesce(section, F.lit("")), r"\(.*$", ""))
+    url = F.concat(F.lit(f"{LAW_TEXT}?sectionNum="), F.url_encode(F.concat(base, F.lit("."))), F.lit("&lawCode="), law)
+    return F.when(law.isNull() | (base == ""), "").otherwise(url)
+
+
+def canonical_causes(labels: Column) -> Column:
+    """Distinct struct(slug, name) of the causes: combined captions are taken apart, what is none goes."""
+    known = F.create_map(*[x for k, v in CANONICAL_CAUSES.items() for x in (F.lit(k), _models(v))])
+
+    def models(label: Column) -> Column:
+        words = text.clean_inline(label)
+        own = F.array(F.struct(text.slug(words).alias("slug"), F.concat(F.upper(F.substring(words, 1, 1)), words.substr(F.lit(2), F.length(words))).alias("name")))
+        return F.coalesce(F.try_element_at(known, F.lower(words)), own)
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(labels, lambda x: text.clean_inline(x) != ""), models)))
+
+
+def _models(pairs) -> Column:
+    if not pairs:
+        return F.array().cast("array<struct<slug:string,name:string>>")
+    return F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(n).alias("name")) for s, n in pairs])
+
+
+def petition_for(description: Column) -> Column:
+    """The relief that a petition's description names, in title case, else null."""
+    s = F.regexp_replace(text.clean(description), PETITION_START, "")
+    first, second = F.regexp_extract(s, PETITION_FOR, 1), F.regexp_extract(s, PETITION_OTHER, 1)
+    relief = F.regexp_replace(text.clean(F.when(first != "", first).otherwise(second)), r"[\s,;:.]+$", "")
+    relief = text.clean(F.regexp_replace(F.regexp_replace(relief, r"\[[^\]]*\]", " "), r"[\[\]]", " "))
+    return F.when(F.length(relief) >= 3, text.pretty_label(relief))
+
+
+def fallback_causes(x: Column) -> Column:
+    """fallback_cause() of a column."""
+    return arrow_udf(_fallbacks, "array<struct<n:int,label:string,statute:string>>")(x)
+
+
+def _fallbacks(values: pa.Array) -> pa.Array:
+    return pa.array([fallback_cause(v) if v else [] for v in values.to_pylist()], CAUSES)
+
+
 _SELF = re.compile(r"(?i)^\s*(?:in\s+)?(?:pro\s*per|pro\s*se)\s*$")
-_ARTEFACT = re.compile(r"(?i)^\s*(?:depositor,\s*will|will\s+depositor|trust\s+depositor|settlement\s+attorney\s*\d*|visiting\s+judge|unknown\s+judge)\s*$")
+_ARTEFACT = re.compile(NAME_ARTEFACT)
 
 
 def attorney_names(value: str | None) -> list[str]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.fixed import ANONYMOUS_OFFICER
-from .records import state_name
+from ..functions.fixed import ANONYMOUS_OFFICER, MANIFEST_MESSAGES, NAME_ARTEFACT, NO_DETAIL, NOT_A_FILING, NOTICE_RULES, NOTICES, PETITION_NUMBER, PLEADING_KINDS
+from .records import amendment, state_name
 
 # Names under which a field of a part may stand, in order.
 ALIASES = {
@@ -82,12 +82,6 @@ def complete_deferral(deferred: Column, reason: Column, error: Column) -> Column
     return F.coalesce(deferred, F.lit(False)) & known & (F.trim(F.coalesce(error, F.lit(""))) == "")
 
 
-NOT_A_FILING = (
-    r"(?i)\b(?:answer(?:ed)?|summons|order(?:s|ed)?|notice|declaration|opposition|reply|demurrer|motion|stipulation|memorandum|proof of service"
-    r"|dismiss(?:al|ed)?|case management|judgment|substitution|objection|supplement(?:al)?|response|joinder|verification|certificate|cover sheet)\b"
-)
-
-
 def is_pleading(description: Column, kind: str) -> Column:
     """The filing of a pleading of `kind`; only the head before court metadata may not speak of something else."""
     head = F.split(description, r"(?i)\b(?:TRANSACTION ID|FILED BY)\b", 2)[0]
@@ -116,12 +110,19 @@ def open_status(*fields: Column) -> Column:
 def notice_rule(x: Column) -> Column:
     """The rule that an unavailability notice cites, else other or none."""
     t = F.trim(F.coalesce(x, F.lit("")))
-    return (
-        F.when(t.rlike(r"(?i)ccp\s*1161\.2\.5"), "CCP 1161.2.5").when(t.rlike(r"(?i)ccp\s*1161\.2"), "CCP 1161.2")
-        .when(t.rlike(r"2\.503"), "CRC 2.503").when(t.rlike(r"(?i)restricted\s+pursuant\s+to\s+court\s+order"), "court order")
-        .when(t.rlike(r"482\.050"), "CCP 482.050").when(t.rlike("12652"), "GOV 12652")
-        .when((t == "") | t.rlike(r"(?i)not\s+available\s+for\s+viewing"), "none").otherwise("other")
-    )
+    out = F.when(F.lit(False), "")
+    for (pattern, _, _), rule in zip(NOTICES, NOTICE_RULES):
+        out = out.when(t.rlike(pattern), rule)
+    return out.otherwise("other")
+
+
+def notice(x: Column) -> Column:
+    """struct(title, subtitle) of an unavailability notice; one that is not known stands as it is."""
+    t = F.trim(F.coalesce(x, F.lit("")))
+    title, subtitle = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for pattern, head, below in NOTICES:
+        title, subtitle = title.when(t.rlike(pattern), head), subtitle.when(t.rlike(pattern), below)
+    return F.struct(title.otherwise(t).alias("title"), subtitle.otherwise(NO_DETAIL).alias("subtitle"))
 
 
 def valid_closure(status: Column, effect: Column, scope: Column, finality: Column, final: Column, closes: Column, kind: Column, basis: Column) -> Column:
@@ -156,7 +157,13 @@ def satisfaction(satisfied: Column, state: Column, explicit: Column, amount: Col
     )
 
 
-def manifest_error(m: dict, schemas=(1, 2, 4), pattern: str | None = None, rule: str | None = None) -> str:
+def manifest_message(code: str, schema="missing") -> str:
+    """What a reader is told of manifest_error()."""
+    other = f"Judgment data error: manifest schema {schema} is incompatible with this viewer."
+    return MANIFEST_MESSAGES.get(code, other) if code else ""
+
+
+def manifest_error(m: dict, schemas=(1, 2, 4), pattern: str | None = None, rule: str | None = None, algorithm: str | None = None) -> str:
     """'' or the first thing wrong with a manifest."""
     import re
 
@@ -164,7 +171,7 @@ def manifest_error(m: dict, schemas=(1, 2, 4), pattern: str | None = None, rule:
         return "manifest_invalid"
     if m.get("schema_version") not in schemas:
         return "manifest_schema_incompatible"
-    if pattern is not None and m.get("shard_pattern") != pattern:
+    if (pattern is not None and m.get("shard_pattern") != pattern) or (algorithm is not None and m.get("hash_algorithm") != algorithm):
         return "manifest_layout_incompatible"
     if rule is not None and m.get("rule_id") != rule:
         return "manifest_rule_incompatible"
@@ -257,11 +264,90 @@ def representation(mode: str, represented: Column, alone: Column) -> Column:
     return {"both": n(represented) + n(alone), "represented": n(represented), "pro_per": n(alone)}[mode] > 0
 
 
+def is_artefact(name: Column) -> Column:
+    """An office or a form in the place of an attorney's name."""
+    return F.coalesce(name.rlike(NAME_ARTEFACT), F.lit(False))
+
+
 def is_fictitious(name: Column) -> Column:
     """'Does 1 through N' and the like."""
     return F.coalesce(name.rlike(r"(?i)^\s*(?:does?|roes?)\s+\d+\s*(?:-|to|through|thru)\s*\d+"), F.lit(False))
 
 
+def pleadings(documents: DataFrame, key: str) -> DataFrame:
+    """`documents` (key, doc_id, description, filed, sha256, pos) that file a pleading, with kind, amendment and place.
+
+    A cross-complaint is no complaint; accounting petitions are left out.  Place 1
+    of a kind is the operative one: highest amendment, then latest, then first listed.
+    """
+    d = F.coalesce(F.col("description"), F.lit(""))
+    cross = d.rlike(f"(?i){PLEADING_KINDS['cross']}")
+    kind = (
+        F.when(cross & is_pleading(d, PLEADING_KINDS["cross"]), "cross")
+        .when(~cross & is_pleading(d, PLEADING_KINDS["complaint"]), "complaint")
+        .when(~cross & is_pleading(d, PLEADING_KINDS["petition"]) & ~F.upper(d).rlike(r"\bACCOUNTING PETITION\b"), "petition")
+    )
+    rows = documents.withColumn("kind", kind).where("kind is not null").withColumn("amendment", amendment(F.col("description")))
+    w = Window.partitionBy(key, "kind").orderBy(F.col("amendment").desc(), F.coalesce("filed", F.lit("")).desc(), "pos")
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+def causes_of_action(cases: DataFrame, key: str, documents: DataFrame, texts: DataFrame) -> DataFrame:
+    """Causes of every case (key, case_number, cause_of_action) from its pleadings' texts (sha256, text).
+
+    The operative pleading with causes counts if it is amended, else the one with
+    most causes; without causes in a text the description speaks.  Columns: key,
+    kind, filed, petition_for, complaint, cross_complaint, source, available, note.
+    """
+    from .captions import fallback_causes, parse_causes, petition_for
+
+    p = pleadings(documents, key)
+    parsed = p.select("sha256").where("sha256 is not null").distinct().join(texts, "sha256").withColumn("causes", parse_causes(F.col("text")))
+    p = p.join(parsed.select("sha256", "causes"), "sha256", "left").withColumn("n", F.coalesce(F.size("causes"), F.lit(0)))
+    # an amended pleading with a cause ends the search; up to it the longest list wins, the earlier place among equals
+    last = F.min(F.when((F.col("n") > 0) & (F.col("amendment") > 0), F.col("place"))).over(Window.partitionBy(key, "kind"))
+    tried = p.withColumn("last", last).withColumn("tried", F.col("last").isNull() | (F.col("place") <= F.col("last")))
+    best = F.max_by(F.when(F.col("tried"), F.col("causes")), F.when(F.col("tried"), F.struct(F.col("n"), -F.col("place"))))
+    by = tried.groupBy(key, "kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("sha256").alias("captured"), F.count("causes").alias("read"), best.alias("causes"),
+        F.min_by(F.struct("filed", "description"), "place").alias("first"),
+    )
+    of = lambda k: by.where(F.col("kind") == k).select(key, F.struct("rows", "captured", "read", "causes", "first").alias(k))
+    c = cases
+    for k in PLEADING_KINDS:
+        c = c.join(of(k), key, "left")
+    petition = F.upper(F.coalesce("case_number", F.lit(""))).rlike(PETITION_NUMBER) | (F.col("petition").isNotNull() & F.col("complaint").isNull())
+    c = c.withColumn("is_petition", petition).withColumn("main", F.when(F.col("is_petition") & F.col("petition").isNotNull(), F.col("petition")).otherwise(F.col("complaint")))
+    none = F.array().cast("array<struct<n:int,label:string,statute:string>>")
+    number = lambda f: F.coalesce(F.col(f"main.{f}"), F.lit(0)) + F.coalesce(F.col(f"cross.{f}"), F.lit(0))
+    own, other = F.coalesce("main.causes", none), F.coalesce("cross.causes", none)
+    about = F.when(F.col("is_petition") & F.col("main").isNotNull(), petition_for(F.col("main.first.description")))
+    coa = F.coalesce("cause_of_action", F.lit(""))
+    named = lambda x, end: F.regexp_extract(x, rf"(?i)complaint\s+for\s+([^{end}]+)", 1)
+    said = F.when(named(coa, ")") != "", named(coa, ")")).otherwise(F.regexp_replace(coa, r"\(.*?\)", ""))
+    c = c.withColumns({"own": own, "other": other, "rows": number("rows"), "captured": number("captured"), "read": number("read"), "petition_for": about})
+    c = c.withColumns({"by_case": fallback_causes(said), "by_text": fallback_causes(named(F.coalesce("main.first.description", F.lit("")), ",("))})
+    described = F.when(F.size("by_case") > 0, F.col("by_case")).otherwise(F.col("by_text"))
+    asked = F.when(F.col("petition_for").isNotNull(), F.array(F.struct(F.lit(1).alias("n"), F.col("petition_for").alias("label"), F.lit(None).cast("string").alias("statute")))).otherwise(none)
+    c = c.withColumn("fallback", F.when(F.col("is_petition"), asked).otherwise(described))
+    found, some = (F.size("own") > 0) | (F.size("other") > 0), F.size("fallback") > 0
+    unread = (F.col("captured") > 0) & (F.col("read") == 0)
+    use = ~found & some & ~unread & (F.col("rows") > 0)
+    word = F.when(F.col("is_petition"), "petition").otherwise("complaint")
+    note = (
+        F.when(found, F.lit(None).cast("string"))
+        .when(F.col("read") > 0, F.when(some, "no enumerated cause list found in OCR caption; using document description").otherwise("complaint captured but no cause list parsed"))
+        .when(unread, F.concat(word, F.lit(" OCR not available")))
+        .when((F.col("rows") > 0) & some, "complaint document not captured; causes inferred from docket description")
+        .when(F.col("rows") > 0, F.concat(word, F.lit(" document not captured")))
+        .otherwise(F.concat(F.lit("no "), word, F.lit(" document found")))
+    )
+    return c.select(
+        key, word.alias("kind"), F.col("main.first.filed").alias("filed"), "petition_for", F.when(use, F.col("fallback")).otherwise(F.col("own")).alias("complaint"),
+        F.col("other").alias("cross_complaint"), F.when(found, "ocr").when(use, "description").otherwise("none").alias("source"), (found | (F.col("read") > 0)).alias("available"), note.alias("note"),
+    )
+
+
 def choose_pleading(candidates: DataFrame, key: str, texts: DataFrame) -> DataFrame:
     """(key, doc_id, sha256, source, causes): the candidate with most parsed causes, earlier rank first.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.fixed import TAG_AUTHORITY
+from ..functions.fixed import CHARGE_WORDS, DOCKET_STATUTE, PROCEDURAL_STATUTE, TAG_AUTHORITY
 
 # Explicit scan states and the state they stand for.
 EXPLICIT_STATES = {
@@ -85,17 +85,22 @@ def edges(rows: DataFrame, party: str, attorney: str, field: str, pos: str) -> D
     return rows.withColumn("edge_key", key).groupBy("edge_key").agg(F.min_by(F.struct(party, attorney, field), pos).alias("e")).select("edge_key", "e.*")
 
 
+def statute_code(x: Column) -> Column:
+    """Canonical text of a cited statute."""
+    s = F.regexp_replace(F.regexp_replace(text.clean_inline(x), r"(?i)\bPEN(?:AL)?\s+CODE\b", "PC"), r"(?i)\bSECTION\b|\bSEC\.|§", "")
+    return F.upper(text.clean(s))
+
+
 def statute_hits(lines: DataFrame, key: str, line: str, source: str) -> DataFrame:
-    """Statutes cited in distinct lines of a record: count, sources and class."""
+    """Statutes cited in distinct lines of a record: hits, sources, class and whether a line speaks of a charge."""
     cleaned = lines.select(key, source, text.clean_inline(F.col(line)).alias("line")).where("line <> ''")
     once = cleaned.groupBy(key, F.upper("line").alias("u")).agg(F.min_by(F.struct("line", source), source).alias("x")).select(key, "x.line", F.col(f"x.{source}").alias(source))
-    code = r"(?i)\b((?:PC|HS|VC|BP|CCP|CC|GC)\s*§?\s*\d+[A-Za-z]?(?:\.\d+)?)\b"
-    hits = once.select(key, source, "line", F.explode(F.regexp_extract_all("line", F.lit(code), F.lit(1))).alias("hit"))
-    hits = hits.withColumn("code", F.upper(F.regexp_replace(F.regexp_replace("hit", "§", " "), r"\s+|(?<=[A-Za-z])(?=\d)", " ")))
-    candidate = F.col("line").rlike(r"(?i)\b(?:complaint|information|indictment|charge|plea)\b")
-    return hits.groupBy(key, F.trim(F.regexp_replace("code", r"\s+", " ")).alias("code")).agg(
-        F.count(F.lit(1)).alias("hits"), F.array_join(F.sort_array(F.collect_set(source)), "|").alias("sources"), F.max(candidate).alias("charge_candidate")
-    )
+    hits = once.select(key, source, "line", F.explode(F.regexp_extract_all("line", F.lit(DOCKET_STATUTE), F.lit(0))).alias("hit"))
+    spaced = F.regexp_replace(statute_code(F.col("hit")), r"^([A-Z]+)\s*(\d)", "$1 $2")
+    hits = hits.withColumn("code", spaced).withColumn("candidate", F.col("line").rlike(CHARGE_WORDS))
+    by = hits.groupBy(key, "code").agg(F.count(F.lit(1)).alias("hits"), F.array_join(F.sort_array(F.collect_set(source)), "|").alias("sources"), F.max("candidate").alias("charge_candidate"))
+    kind = F.when(F.col("code").rlike(PROCEDURAL_STATUTE), "procedural").when(F.col("charge_candidate"), "charge_candidate").otherwise("unknown")
+    return by.withColumn("classification", kind)
 
 
 def resolve_tags(tags: DataFrame, key: str, truth: dict[str, str], tentative: tuple[str, ...] = ("tentative",)) -> DataFrame:
@@ -161,11 +166,15 @@ def cents(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def latest_pleading(rows: DataFrame, key: str, description: str, filed: str, pos: str) -> DataFrame:
-    """Operative complaint: highest amendment, then latest, then first listed."""
-    d = F.upper(description)
-    rank = F.lit(0)
+def amendment(description: Column) -> Column:
+    """How often a pleading has been amended, by the words of its description."""
+    d, rank = F.upper(F.coalesce(description, F.lit(""))), F.lit(0)
     for i, word in ((1, r"FIRST\b|\b1(?:ST)?\b\s*AMEND|\bAMENDED\b"), (2, r"SECOND\b|\b2(?:ND)?\b\s*AMEND"), (3, r"THIRD\b|\b3(?:RD)?\b\s*AMEND"), (4, r"FOURTH\b|\b4(?:TH)?\b\s*AMEND"), (5, r"FIFTH\b|\b5(?:TH)?\b\s*AMEND")):
         rank = F.when(d.rlike(rf"\b{word}"), i).otherwise(rank)
-    w = Window.partitionBy(key).orderBy(rank.desc(), F.col(filed).desc(), pos)
-    return rows.withColumn("amendment", rank).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    return rank
+
+
+def latest_pleading(rows: DataFrame, key: str, description: str, filed: str, pos: str) -> DataFrame:
+    """Operative complaint: highest amendment, then latest, then first listed."""
+    w = Window.partitionBy(key).orderBy(amendment(F.col(description)).desc(), F.col(filed).desc(), pos)
+    return rows.withColumn("amendment", amendment(F.col(description))).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
