@@ -124,17 +124,10 @@ def officer_canonical_label(spark, d):
     return facets.canonical_officer_label(officer_facet_distinct(spark, d))
 
 
-@query("alias_unique_join", """WITH n AS (SELECT p_brand AS owner, lower(p_name) AS s FROM part WHERE p_partkey < 400), one AS (SELECT s AS spelling, min(owner) AS owner FROM n GROUP BY s HAVING count(DISTINCT owner) = 1) SELECT * FROM one WHERE spelling NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey >= 400 AND p_partkey < 440)""")
-def alias_unique_join(spark, d):
-    p = table(spark, d, "part")
-    routes = p.where("p_partkey >= 400 and p_partkey < 440").select(F.lower("p_name").alias("route"))
-    return facets.unique_aliases(p.where("p_partkey < 400"), "p_brand", "p_name", routes, "route")
-
-
-@query("alias_unique_join_whole", """WITH n AS (SELECT p_brand AS owner, lower(p_name || ' ' || p_type || ' ' || p_size) AS s FROM part), one AS (SELECT s AS spelling, min(owner) AS owner FROM n GROUP BY s HAVING count(DISTINCT owner) = 1)
+@query("alias_unique_join", """WITH n AS (SELECT p_brand AS owner, lower(p_name || ' ' || p_type || ' ' || p_size) AS s FROM part), one AS (SELECT s AS spelling, min(owner) AS owner FROM n GROUP BY s HAVING count(DISTINCT owner) = 1)
  SELECT * FROM one WHERE spelling NOT IN (SELECT lower(p_name || ' ' || p_type || ' ' || CAST(p_size * 2 AS VARCHAR)) FROM part)""")
-def alias_unique_join_whole(spark, d):
-    """alias_unique_join over the owners and routes of every part; routes are spelled with twice the size."""
+def alias_unique_join(spark, d):
+    """Owners and routes of every part; routes are spelled with twice the size."""
     p = table(spark, d, "part")
     names = p.select("p_brand", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")).alias("alias"))
     routes = p.select(F.lower(F.concat_ws(" ", "p_name", "p_type", (F.col("p_size") * 2).cast("string"))).alias("route"))
@@ -174,14 +167,15 @@ def taxonomy_roots(spark, d):
     return taxonomy.roots(nodes)
 
 
-MATTER = f"""{CASES}, c AS (SELECT case_number, CASE WHEN o_orderkey % 6 = 0 THEN 'Unclassified' ELSE 'Region ' || (o_orderkey % 5) END AS t, 'Kind ' || (o_orderkey % 3) AS c FROM cases WHERE o_orderkey % 2 = 0),
+MATTER = f"""{CASES}, c AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN case_number ELSE 'none' || case_number END AS case_number, CASE WHEN o_orderkey % 6 = 0 THEN 'Unclassified' ELSE 'Region ' || (o_orderkey % 5) END AS t, 'Kind ' || (o_orderkey % 3) AS c FROM cases),
  e AS (SELECT case_number, CASE WHEN t IS NULL OR t = 'Unclassified' THEN CASE WHEN prefix IN ('CGC', 'CUD') THEN 'Civil' WHEN prefix = 'PES' THEN 'Probate' WHEN prefix = 'FDI' THEN 'Family' ELSE 'Criminal' END ELSE t END AS matter_type, coalesce(c.c, 'Unknown') AS matter_category FROM cases LEFT JOIN c USING (case_number))"""
 
 
 def _enriched(spark, d):
     c = cases(spark, d)
     k = F.col("o_orderkey")
-    cats = c.where(k % 2 == 0).select("case_number", F.when(k % 6 == 0, "Unclassified").otherwise(F.concat(F.lit("Region "), (k % 5).cast("string"))).alias("matter_type"), F.concat(F.lit("Kind "), (k % 3).cast("string")).alias("matter_category"))
+    number = F.when(k % 2 == 0, F.col("case_number")).otherwise(F.concat(F.lit("none"), "case_number"))
+    cats = c.select(number.alias("case_number"), F.when(k % 6 == 0, "Unclassified").otherwise(F.concat(F.lit("Region "), (k % 5).cast("string"))).alias("matter_type"), F.concat(F.lit("Kind "), (k % 3).cast("string")).alias("matter_category"))
     return taxonomy.enrich(c.select("case_number"), "case_number", cats)
 
 

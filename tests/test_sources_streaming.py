@@ -70,10 +70,23 @@ def test_bucketed_lookup_and_publish(spark, tmp_path):
     got = sinks.lookup(spark, at, "people", "Person 7 😀", "name", 16)
     assert [r["i"] for r in got.collect()] == [7]
     sinks.bucketed(df.where("i < 5"), at, "people", "name", 16)
-    assert spark.read.parquet(at).count() == 5
-    assert not [x for x in os.listdir(tmp_path) if x != "lookup"]
+    assert spark.read.parquet(sinks.current(spark, at)).count() == 5
+    assert sinks.lookup_status(spark, at, "people", "Person 3 😀", "name", 16) == "found"
+    assert sinks.lookup_status(spark, at, "people", "Person 30 😀", "name", 16) == "not_found"
+    assert sinks.lookup_status(spark, f"{at}-none", "people", "x", "name", 16) == "data_state_error"
+    sinks.bucketed(df.where("i < 3"), at, "people", "name", 16, salts=3)
+    kept = [x for x in os.listdir(at) if x.startswith("data-")]
+    assert len(kept) == 2 and spark.read.parquet(sinks.current(spark, at)).count() == 3  # the last two versions
     sinks.csv(df, f"{tmp_path}/csv")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 50
+    assert spark.read.option("header", True).csv(sinks.current(spark, f"{tmp_path}/csv")).count() == 50
+    sinks.partitioned(df.withColumn("p", df["i"] % 2), f"{tmp_path}/parts", "p", salts=2)
+    sinks.spooled(df.withColumn("p", df["i"] % 2), f"{tmp_path}/spool", "p")
+    assert spark.read.json(sinks.current(spark, f"{tmp_path}/spool")).count() == spark.read.parquet(sinks.current(spark, f"{tmp_path}/parts")).count() == 50
+
+
+def test_ndjson_skips_what_is_no_object(spark, tmp_path):
+    (tmp_path / "x.ndjson").write_text('{"a":1}\n{"a":\n[1]\n7\n\n {"a":2}\n')
+    assert sorted(r["a"] for r in files.ndjson(spark, str(tmp_path), "a int").collect()) == [1, 2]
 
 
 def test_stream_equals_batch(spark, tmp_path):

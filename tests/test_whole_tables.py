@@ -43,7 +43,7 @@ def test_schedule_asof_whole(spark, tables):
         x = schedule_row(f"Brand#{k % 30}", "" if k % 11 == 0 else filed, parts)
         if x:
             want[k] = x[:3]
-    rows = catalog.QUERIES["schedule_asof_whole"](spark, at).collect()
+    rows = catalog.QUERIES["schedule_asof"](spark, at).collect()
     assert len(rows) == len(want) and {r["id"]: (r["title"], r["effective_from"], r["source"]) for r in rows} == want
     assert any(k % 3 for k in want) and any(int(x[2][3:]) >= 700 for x in want.values())
 
@@ -56,7 +56,7 @@ def test_schedule_fallback_key_whole(spark, tables):
         x = x or schedule_row(f"Brand#{k % 7 + 1}", filed, parts)
         if x:
             want[k] = (x[0], x[2])
-    rows = catalog.QUERIES["schedule_fallback_key_whole"](spark, at).collect()
+    rows = catalog.QUERIES["schedule_fallback_key"](spark, at).collect()
     assert len(rows) == len(want) and {r["id"]: (r["title"], r["source"]) for r in rows} == want
 
 
@@ -76,7 +76,7 @@ def test_version_asof_whole(spark, tables):
             want[k] = (None, "current_version_postdates_filing")
         else:
             want[k] = (f"c{code}", "current_version_filing_date_unknown" if not filed else "current_version_at_or_before_filing" if start else "current_version_unverified")
-    rows = catalog.QUERIES["version_asof_whole"](spark, at).collect()
+    rows = catalog.QUERIES["version_asof"](spark, at).collect()
     assert len(rows) == len(want) and {r["id"]: (r["url"], r["status"]) for r in rows} == want
     assert any(k % 3 and u and u.startswith("u") and int(u[1:]) >= 60 for k, (u, _) in want.items())
 
@@ -85,6 +85,6 @@ def test_spellings_of_all_parts(spark, tmp_path):
     at = str(tmp_path)
     parts = [(1, "red bolt", "A", "TIN", 3), (9000, "red bolt", "B", "TIN", 3), (9001, "blue nut", "B", "TIN", 5), (2, "tin cog", "A", "ZINC", 8), (9002, "tin cog", "A", "ZINC", 4), (9003, "tin cog", "A", "ZINC", 4)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{at}/part.parquet")
-    got = {(r["spelling"], r["owner"]) for r in catalog.QUERIES["alias_unique_join_whole"](spark, at).collect()}
+    got = {(r["spelling"], r["owner"]) for r in catalog.QUERIES["alias_unique_join"](spark, at).collect()}
     assert got == {("blue nut tin 5", "B"), ("tin cog zinc 4", "A")}  # red bolt has two owners; tin cog zinc 8 is the route of size 4
-    assert {(r["brand"], r["total"]) for r in catalog.QUERIES["tentative_counts_whole"](spark, at).collect()} == {("A", 16), ("B", 5)}
+    assert {(r["brand"], r["total"]) for r in catalog.QUERIES["tentative_counts"](spark, at).collect()} == {("A", 16), ("B", 5)}
