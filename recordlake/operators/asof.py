@@ -33,17 +33,21 @@ def tier(filed: Column, start: Column, end: Column, local: Column) -> Column:
 def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataFrame) -> DataFrame:
     """The best schedule row (code, title, effective_from, effective_to, priority, source) of each fact.
 
-    The tie-breaks do not depend on the fact, so schedule rows are ranked once
-    inside their code, latest first and earliest first.  A fact then needs the
-    least (tier, rank), one long, which aggregates by hash; the winner's columns
-    are joined back.
+    Of the schedule rows of one code with one interval only the best can ever win,
+    so the others go first.  The tie-breaks do not depend on the fact, so the rest
+    is ranked once inside its code, latest first and earliest first.  Facts of one
+    code and date get one answer: each distinct pair needs the least (tier, rank),
+    one long, which aggregates by hash; the winner's columns are joined back.
     """
     s = schedule.where((F.trim("title") != "") & ~F.lower(F.trim("title")).isin("a", "an", "and", "for", "nor", "of", "or", "the", "to", "with"))
     start, end = F.coalesce("effective_from", F.lit("")), F.coalesce("effective_to", F.lit(""))
     upper = F.upper("title")
     general = F.when(~upper.contains(":") & ~upper.contains(" - "), 2).otherwise(0) + F.when(~upper.rlike(r"\b(?:FIRST|SECOND|THIRD|1ST|2ND|3RD)\s+DEGREE\b"), 1).otherwise(0)
     number = F.when(start.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.replace(start, F.lit("-"), F.lit("")).cast("int")).otherwise(0)
-    s = s.withColumn("_general", general).withColumn("_number", number)
+    s = s.withColumns({"_general": general, "_number": number, "_start": start, "_end": end, "_local": F.coalesce(F.col("priority") == 3, F.lit(False))})
+    s = s.groupBy("code", "_start", "_end", "_local", "_number").agg(
+        F.min_by(F.struct("title", "effective_from", "priority", "source", "_general"), F.struct(-F.col("priority"), -F.col("_general"), F.length("title"), F.col("source"))).alias("x")
+    ).select("code", "_start", "_end", "_local", "_number", "x.*")
 
     def rank(by_date: Column) -> Column:
         order = [F.col("priority").desc(), F.col("_general").desc(), by_date, F.length("title"), F.col("source")]
@@ -51,16 +55,17 @@ def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataF
 
     ranked = s.withColumn("_late", rank(F.col("_number").desc())).withColumn("_early", rank(F.col("_number").asc()))
     f = facts.select(fact_id, F.col(key).alias("code"), F.coalesce(F.col(filed), F.lit("")).alias("_filed"))
-    joined = f.join(ranked.select("code", start.alias("_start"), end.alias("_end"), (F.col("priority") == 3).alias("_local"), "_late", "_early"), "code")
+    joined = f.select("code", "_filed").distinct().join(ranked.select("code", "_start", "_end", "_local", "_late", "_early"), "code")
     t = tier(F.col("_filed"), F.col("_start"), F.col("_end"), F.col("_local"))
     score = F.shiftleft(t.cast("long"), 40) + F.when(t.isin(4, 5), F.col("_early")).otherwise(F.col("_late"))
-    best = joined.groupBy(fact_id, "code").agg(F.min(score).alias("_score"))
+    best = joined.groupBy("code", "_filed").agg(F.min(score).alias("_score"))
     best = best.withColumn("_tier", F.shiftright("_score", 40).cast("int")).withColumn("_rank", F.col("_score").bitwiseAND(F.lit((1 << 40) - 1)))
     best = best.withColumn("_from_early", F.col("_tier").isin(4, 5))
     both = F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("_late").alias("r")), F.struct(F.lit(True).alias("e"), F.col("_early").alias("r")))).alias("x")
     winners = ranked.select("code", "title", "effective_from", "source", both).select("code", "title", "effective_from", "source", F.col("x.e").alias("_from_early"), F.col("x.r").alias("_rank"))
     status = F.element_at(F.array(*map(F.lit, (*STATUSES, UNDATED))), F.col("_tier") + 1)
-    return best.join(winners, ["code", "_from_early", "_rank"]).select(fact_id, "title", "effective_from", "source", status.alias("status"))
+    answers = best.join(winners, ["code", "_from_early", "_rank"]).select("code", "_filed", "title", "effective_from", "source", status.alias("status"))
+    return f.join(answers, ["code", "_filed"]).select(fact_id, "title", "effective_from", "source", "status")
 
 
 def with_fallback_key(facts: DataFrame, fact_id: str, exact: str, base: str, filed: str, schedule: DataFrame) -> DataFrame:
@@ -73,9 +78,11 @@ def with_fallback_key(facts: DataFrame, fact_id: str, exact: str, base: str, fil
 def version_at(facts: DataFrame, fact_id: str, key: str, filed: str, versions: DataFrame, current: DataFrame) -> DataFrame:
     """(id, url, status): the first listed version in force, else the current one if it had begun."""
     f = facts.select(fact_id, F.col(key).alias("code"), F.coalesce(F.col(filed), F.lit("")).alias("f"))
-    hit = f.join(versions, "code").where((F.col("f") != "") & (F.col("effective_from") <= F.col("f")) & (F.coalesce("effective_to", F.lit("9999")) >= F.col("f")))
-    hit = hit.groupBy(fact_id).agg(F.min_by("url", "pos").alias("historical"))
-    j = f.join(hit, fact_id, "left").join(current.select("code", F.col("url").alias("current_url"), "current_start"), "code", "left")
+    # of the versions of one interval the first counts, and facts of one code and date have one answer
+    first = versions.groupBy("code", "effective_from", "effective_to").agg(F.min(F.struct("pos", "url")).alias("v"))
+    hit = f.select("code", "f").distinct().join(first, "code").where((F.col("f") != "") & (F.col("effective_from") <= F.col("f")) & (F.coalesce("effective_to", F.lit("9999")) >= F.col("f")))
+    hit = hit.groupBy("code", "f").agg(F.min("v").alias("v")).select("code", "f", F.col("v.url").alias("historical"))
+    j = f.join(hit, ["code", "f"], "left").join(current.select("code", F.col("url").alias("current_url"), "current_start"), "code", "left")
     late = (F.col("f") != "") & (F.col("f") < F.col("current_start"))
     status = (
         F.when(F.col("historical").isNotNull(), "historical_version_at_filing")
