@@ -121,6 +121,12 @@ def bands_with_unknown(counts: DataFrame, count: str) -> DataFrame:
     return known.union(last)
 
 
+def json_record_count(x: Column) -> Column:
+    """Distinct records of a JSON list in text, cleaned and in capitals."""
+    keys = F.transform(text.json_list(x), lambda v: F.upper(text.clean(v)))
+    return F.size(F.array_distinct(F.filter(keys, lambda v: v != ""))).cast("long")
+
+
 def merge_histograms(histograms: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Histograms of repeated ids added up; missing counts add nothing and stay missing if all are."""
     return histograms.groupBy(*keys).agg(F.sum(count).alias(count))

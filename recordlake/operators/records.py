@@ -64,6 +64,37 @@ def provenance_mode(unavailable: Column, documents: Column, docket: Column, no_d
     return F.when((F.coalesce(updated, F.lit("")) != "") & ~updated.eqNullSafe(captured_at), "updated").otherwise(mode)
 
 
+def provenance(documents: DataFrame, key: str, cases: DataFrame) -> DataFrame:
+    """Counts of a case's documents, its release tags and the mode of its capture.
+
+    documents: key, available, held (bytes are archived), deferred, tag; cases:
+    key, unavailable, docket, no_documents, pending, captured, failures,
+    updated_at, captured_at.
+    """
+    open_ = F.coalesce("available", F.lit(True))
+    by = documents.groupBy(key).agg(
+        F.count(F.lit(1)).alias("documents_total"), F.count_if("held").alias("documents_with_bytes"), F.count_if(~open_).alias("documents_unavailable"),
+        F.count_if(open_ & ~F.col("held") & F.col("deferred")).alias("documents_deferred"), F.count_if(open_).alias("open"),
+        F.array_sort(F.collect_set(F.nullif(F.trim("tag"), F.lit("")))).alias("release_tags"),
+    )
+    out = cases.join(by, key, "left")
+    numbers = ("documents_total", "documents_with_bytes", "documents_unavailable", "documents_deferred", "open")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers})
+    out = out.withColumn("documents_bytes_missing", F.greatest(F.lit(0), F.col("open") - F.col("documents_deferred") - F.col("documents_with_bytes")))
+    mode = provenance_mode(
+        F.col("unavailable"), F.col("documents_total"), F.col("docket"), F.col("no_documents"), F.col("documents_deferred"), F.col("pending"), F.col("open"),
+        F.col("documents_bytes_missing"), F.col("captured"), F.col("failures"), F.col("updated_at"), F.col("captured_at"),
+    )
+    changed = F.coalesce(F.nullif(F.trim(F.coalesce("updated_at", F.lit(""))), F.lit("")), F.col("captured_at"))
+    tags = F.coalesce("release_tags", F.array().cast("array<string>"))
+    return out.select(key, *numbers[:-1], "documents_bytes_missing", tags.alias("release_tags"), changed.alias("last_changed"), mode.alias("mode"))
+
+
+def date_order(filed: Column, doc_id: Column, idx: Column) -> list[Column]:
+    """Documents in order: dated ones by date, then id, then place in the list; the others last."""
+    return [F.nullif(F.trim(filed), F.lit("")).asc_nulls_last(), F.coalesce(doc_id.cast("string"), F.lit("")), idx]
+
+
 def docket_documents(documents: DataFrame, docket: DataFrame, key: str, doc: str) -> DataFrame:
     """All documents, and docket rows whose document is not among them."""
     extra = docket.where(F.col(doc).isNotNull()).join(documents.select(key, doc), [key, doc], "left_anti")
@@ -117,10 +148,14 @@ def resolve_tags(tags: DataFrame, key: str, truth: dict[str, str], tentative: tu
     ).select(key, "namespace", "t.value", "t.source", "dotted")
 
 
-def valid_tags(tags: DataFrame, allowed: dict[str, tuple[str, ...]]) -> Column:
+def valid_tags(tags: DataFrame, allowed: dict[str, tuple[str, ...]], values: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Whether a tag's namespace admits its source, and its value where the namespace lists them."""
     out = F.lit(False)
     for ns, sources in allowed.items():
-        out = F.when(F.col("namespace") == ns, F.col("source").isin(*sources)).otherwise(out)
+        ok = F.col("source").isin(*sources)
+        if values and ns in values:
+            ok = ok & F.col("value").isin(*values[ns])
+        out = F.when(F.col("namespace") == ns, ok).otherwise(out)
     return out
 
 

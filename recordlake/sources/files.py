@@ -84,3 +84,38 @@ def valid_sidecar(expected: str):
 def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def one_record(spark: SparkSession, roots: list[str], shard: str, name: str, schema: str) -> DataFrame | None:
+    """The record of the first place that has it: under every root the shard's path, then the flat one; else None."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for root in roots:
+        for at in dict.fromkeys((f"{root}/{shard}", f"{root}/{name}.json")):
+            p = jvm.org.apache.hadoop.fs.Path(at)
+            if p.getFileSystem(conf).exists(p):
+                good = spark.read.text(at, wholetext=True).where(F.try_parse_json("value").isNotNull())
+                return good.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return None
+
+
+def materialize(spark: SparkSession, index: DataFrame, shards: list[dict], path: str) -> DataFrame:
+    """Checked texts of an index (sha256, shard) from its shards, written under `path` only if all are complete.
+
+    shards: name, path, bytes, sha256 of each.  A digest in two shards, a shard
+    that does not match its announcement, and a text that is missing or damaged
+    are errors.
+    """
+    if duplicates(index.distinct(), "sha256").limit(1).count():
+        raise ValueError("a text is listed in two shards")
+    known = {s["name"] for s in shards}
+    unknown = index.select("shard").distinct().where(~F.col("shard").isin(*known)).limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown shard {unknown[0][0]!r}")
+    parts = [checked_shard(spark, s["path"], s["bytes"], s["sha256"], index.where(F.col("shard") == s["name"]).select("sha256")) for s in shards]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    if differences(index, rows, "sha256").limit(1).count():
+        raise ValueError("some texts are missing or damaged")
+    rows.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def yearly_counts(stream: DataFrame, ts: str, key: str, late: str = "1 day", width: str = "365 days") -> DataFrame:
@@ -27,3 +28,29 @@ def facet_stream(stream: DataFrame, table: str, checkpoint: str, key: str, recor
 
 def facet_counts(df: DataFrame, key: str, record: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(record).alias("case_count"))
+
+
+def observed(df: DataFrame, name: str, bytes_of: str) -> tuple[DataFrame, Observation]:
+    """`df` with an observation of its rows and bytes, filled when it is read; it costs no second pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(bytes_of)).alias("bytes")), seen
+
+
+class Progress(StreamingQueryListener):
+    """What a stream has read so far, by query."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows[str(p.id)] = self.rows.get(str(p.id), 0) + p.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

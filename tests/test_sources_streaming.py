@@ -99,3 +99,83 @@ def test_stream_equals_batch(spark, tmp_path):
     got = ingest.facet_counts(spark.read.parquet(table), "k", "c")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ingest.facet_counts(df, "k", "c").collect()))
     assert ingest.yearly_counts(spark.readStream.schema("ts timestamp, k string").parquet(src), "ts", "k").isStreaming
+
+
+def test_one_record_with_root_fallback(spark, tmp_path):
+    put(f"{tmp_path}/b/CGC/20/C1.json", '{"n": 1}')
+    put(f"{tmp_path}/b/C2.json", '{"n": 2}')
+    roots = [f"{tmp_path}/a", f"{tmp_path}/b"]
+    assert files.one_record(spark, roots, "CGC/20/C1.json", "C1", "n int").first()["n"] == 1
+    assert files.one_record(spark, roots, "CGC/20/C2.json", "C2", "n int").first()["n"] == 2
+    assert files.one_record(spark, roots, "CGC/20/C3.json", "C3", "n int") is None
+
+
+def test_materialize_all_or_nothing(spark, tmp_path):
+    def shard(name, texts, total=None):
+        body = "".join(json.dumps({"sha256": hashlib.sha256(t.encode()).hexdigest(), "text": t, "truncated": t == "cut"}) + "\n" for t in texts)
+        put(f"{tmp_path}/{name}.ndjson", body)
+        return {"name": name, "path": f"{tmp_path}/{name}.ndjson", "bytes": total or len(body), "sha256": hashlib.sha256(body.encode()).hexdigest()}
+
+    def index(*rows):
+        return spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), s) for t, s in rows], "sha256 string, shard string")
+
+    good = [shard("s1", ["a", "b"]), shard("s2", ["c"])]
+    every = index(("a", "s1"), ("b", "s1"), ("c", "s2"))
+    assert sorted(r["text"] for r in files.materialize(spark, every, good, f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+    for bad_index, shards in [
+        (index(("a", "s1"), ("b", "s1"), ("c", "s2"), ("a", "s2")), good), (index(("a", "s9")), good), (index(("a", "s1"), ("c", "s2")), good),
+        (every, [shard("s1", ["a", "b"], 1), good[1]]), (index(("cut", "s3")), [shard("s3", ["cut"])]),
+    ]:
+        with pytest.raises(ValueError):
+            files.materialize(spark, bad_index, shards, f"{tmp_path}/never")
+    assert not os.path.exists(f"{tmp_path}/never")
+
+
+def test_observed_rows_and_stream_progress(spark, tmp_path):
+    df, seen = ingest.observed(spark.createDataFrame([("ab",), ("c",)], "t string"), "read", "t")
+    assert df.count() == 2 and seen.get == {"rows": 2, "bytes": 3}
+    src = f"{tmp_path}/in"
+    spark.range(30).write.parquet(src)
+    progress = ingest.Progress()
+    spark.streams.addListener(progress)
+    try:
+        q = spark.readStream.schema("id long").parquet(src).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        for _ in range(100):
+            if progress.rows.get(str(q.id)) == 30:
+                break
+            __import__("time").sleep(0.1)
+        assert progress.rows[str(q.id)] == 30
+    finally:
+        spark.streams.removeListener(progress)
+
+
+def test_facet_tables(spark, tmp_path):
+    from recordlake.operators import builds
+
+    rows = spark.createDataFrame([("Ann Lake", "c1"), ("ann lake", "c2"), ("Bob", "c3")], "name string, c string")
+    t = builds.build_facet(rows, "name", "c", least=2)
+    sinks.facet_tables(t["list"], t["search"], t["cases"], f"{tmp_path}/f")
+    at = lambda n: sinks.current(spark, f"{tmp_path}/f/{n}")
+    assert [r["label"] for r in spark.read.json(at("list")).collect()] == ["Ann Lake"]
+    assert spark.read.parquet(at("search")).count() == 3 and spark.read.parquet(at("cases")).count() == 3
+
+
+def test_index_and_profiles_refuse_bad_rows(spark):
+    from recordlake.operators import builds
+
+    rows = spark.createDataFrame([("C1", "t", 5.0, 1), ("c-1", "t", 5.0, 2), ("C2", "t", -1.0, 1), ("C3", "t", 1.0, 0)], "case_number string, case_title string, judgment_amount double, rank int")
+    assert {r["fault"]: r["n"] for r in builds.ranking_faults(rows).collect()} == {"amount": 1, "rank": 1, "repeated number": 1}
+    with pytest.raises(ValueError):
+        builds.judgment_index(rows, 4)
+    with pytest.raises(ValueError):
+        builds.judgment_index(rows.where("case_number = 'C1'"), 2)
+    bad = spark.createDataFrame([(1, 3, 2, 10.0, 4.0), (1, 3, 2, 10.0, 4.0)], "bar int, judgment_count int, case_count int, total_amount double, largest_amount double")
+    with pytest.raises(ValueError, match="0 invalid summaries, 1 repeated"):
+        builds.attorney_profiles(bad, "bar")
+    clash = spark.createDataFrame([("A", "C1"), ("B", "C1")], "label string, cases string")
+    categories = spark.createDataFrame([("r", "A", 0), ("r", "B", 1)], "parent_id string, label string, pos int")
+    nodes = spark.createDataFrame([("r", None, "R")], "id string, parent_id string, label string")
+    with pytest.raises(ValueError, match="several categories"):
+        builds.enrich_matters(spark.createDataFrame([("C1",)], "case_number string"), clash, categories, nodes)
