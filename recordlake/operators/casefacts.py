@@ -6,7 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.fixed import ANONYMOUS_OFFICER, MANIFEST_MESSAGES, NAME_ARTEFACT, NO_DETAIL, NOT_A_FILING, NOTICE_RULES, NOTICES, PETITION_NUMBER, PLEADING_KINDS
+from ..functions.fixed import (
+    ANONYMOUS_OFFICER,
+    DEFERRAL_REASONS,
+    MANIFEST_MESSAGES,
+    NAME_ARTEFACT,
+    NO_DETAIL,
+    NOT_A_FILING,
+    NOTICE_RULES,
+    NOTICES,
+    OPEN_STATUSES,
+    PETITION_NUMBER,
+    PLEADING_KINDS,
+    PRO_TEM_LEAD,
+    PRO_TEM_TAIL,
+)
 from .records import amendment, state_name
 
 # Names under which a field of a part may stand, in order.
@@ -78,7 +92,7 @@ def has_archived_bytes(direct: list[Column], tag: Column, asset: Column) -> Colu
 
 
 def complete_deferral(deferred: Column, reason: Column, error: Column) -> Column:
-    known = F.trim(F.coalesce(reason, F.lit(""))).isin("", "first_pass_complaints_petitions_and_orders", "legacy_pre_byte_capture")
+    known = F.trim(F.coalesce(reason, F.lit(""))).isin("", *DEFERRAL_REASONS)
     return F.coalesce(deferred, F.lit(False)) & known & (F.trim(F.coalesce(error, F.lit(""))) == "")
 
 
@@ -92,9 +106,7 @@ def is_pleading(description: Column, kind: str) -> Column:
 def facet_officer(x: Column) -> Column:
     """Label of an officer who is a person, else null."""
     label = text.clean(x)
-    tem = r"(?i)^(?:(?:(?:the\s+)?hon(?:orable)?|the|justice)\b\.?\s*)*(?:judge\s+)?pro\s*[- ]?\s*tem(?:pore)?(?:\s+judge)?\b[\s:,-]*"
-    tail = r"(?i)[\s,(:-]+(?:judge\s+)?pro\s*[- ]?\s*tem(?:pore)?\)?\s*$"
-    bare = F.when(label.rlike(tem), F.regexp_replace(label, tem, "")).when(label.rlike(tail), F.regexp_replace(label, tail, "")).otherwise(label)
+    bare = F.when(label.rlike(PRO_TEM_LEAD), F.regexp_replace(label, PRO_TEM_LEAD, "")).when(label.rlike(PRO_TEM_TAIL), F.regexp_replace(label, PRO_TEM_TAIL, "")).otherwise(label)
     name = text.person_label(bare)
     known = (name != "") & ~bare.rlike(ANONYMOUS_OFFICER) & ~name.rlike(ANONYMOUS_OFFICER)
     words = F.exists(F.split(text.officer_key(name), " "), lambda w: (F.length(w) > 1) & w.rlike("[a-z]"))
@@ -103,7 +115,7 @@ def facet_officer(x: Column) -> Column:
 
 def open_status(*fields: Column) -> Column:
     """First field that says the case is open, else ''."""
-    ok = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[_\s-]+", " ").isin("active", "case active", "open", "case open", "pending", "case pending")
+    ok = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[_\s-]+", " ").isin(*OPEN_STATUSES)
     return F.coalesce(*[F.when(ok(c), F.trim(c)) for c in fields], F.lit(""))
 
 
