@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -20,8 +23,14 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+#: Rows that a Python worker gets at once where the session does not say: texts are long, 10,000 of them are many MB.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def make_importable(spark: SparkSession) -> None:
     """Ships this package to the Python workers, once a context: Spark serves a zip from the driver."""
+    if spark.conf.get(BATCH_ROWS[0], None) is None:
+        spark.conf.set(*BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_recordlake_shipped", False):
         return
@@ -174,3 +183,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
                 at, total = i, 0
             total += int(sizes[i])
         yield b.slice(at, n - at)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

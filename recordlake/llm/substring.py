@@ -314,7 +314,7 @@ def _merge(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, width: int = 35, bucket_bytes: int = 16 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str, text: str, width: int = 35, bucket_bytes: int = 8 << 20) -> DataFrame:
     """(span_key, spans, n): per `key` with repeats, [from, to) word intervals, flat, in order, and its rows."""
     p = partitions(session(docs))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
