@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -50,13 +50,24 @@ def unique_aliases(names: DataFrame, owner: str, spelling: str, routes: DataFram
     return one.join(routes.select(F.col(route).alias("s")).distinct(), "s", "left_anti").select(F.col("s").alias("spelling"), "owner")
 
 
+def pack_blocks(rows: DataFrame, keys: list[str], record: str, most: int = 10000) -> DataFrame:
+    """Distinct key tuples with their sorted records as texts of at most `most` records, numbered from 0."""
+    from .rankings import ordinals
+
+    numbered = ordinals(rows.select(*keys, record), [*[F.col(k) for k in keys], F.col(record)], "_n")
+    first = numbered.groupBy(*keys).agg(F.min("_n").alias("_first")).select(F.struct(*keys).alias("_keys"), "_first")
+    placed = numbered.join(first, F.struct(*keys).eqNullSafe(F.col("_keys")))
+    placed = placed.withColumn("block", F.floor((F.col("_n") - F.col("_first")) / most).cast("long"))
+    return placed.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("case_count"), F.array_join(F.sort_array(F.collect_list(record)), ",").alias("cases"))
+
+
 def pack_groups(rows: DataFrame, keys: list[str], record: str) -> DataFrame:
-    """Distinct key tuples with their sorted records as one text."""
+    """Distinct key tuples with their sorted records as one text, as published; pack_blocks bounds the text."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("case_count"), F.array_join(F.sort_array(F.collect_list(record)), ",").alias("cases"))
 
 
 def first_arrivals(rows: DataFrame, key: str, pos: str) -> DataFrame:
     """Routes: first row of each key wins; `duplicates` counts the others."""
-    w = Window.partitionBy(key).orderBy(pos)
-    out = rows.withColumn("_n", F.row_number().over(w)).withColumn("duplicates", F.count(F.lit(1)).over(Window.partitionBy(key)) - 1)
-    return out.where("_n = 1").drop("_n")
+    others = [c for c in rows.columns if c != key]
+    by = rows.groupBy(key).agg(F.min_by(F.struct(*others), pos).alias("x"), (F.count(F.lit(1)) - 1).alias("duplicates"))  # combined before the shuffle
+    return by.select(*[F.col(key) if c == key else F.col(f"x.{c}").alias(c) for c in rows.columns], "duplicates")

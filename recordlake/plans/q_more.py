@@ -137,3 +137,13 @@ def statute_texts(spark, d):
     k = F.col("k")
     head = F.when(k % 3 == 0, "Pen Code § ").when(k % 3 == 1, "penal code section ").otherwise("pc  ")
     return _orders(spark, d).select("k", records.statute_code(F.concat(head, k.cast("string"))).alias("code"))
+
+
+@query("facet_blocks", """WITH r AS (SELECT o_orderstatus AS s, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS p, 'C' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS c FROM orders), n AS (SELECT *, (row_number() OVER (PARTITION BY s, p ORDER BY c) - 1) // 200 AS block FROM r)
+ SELECT s, p, CAST(block AS BIGINT) AS block, count(*) AS case_count, string_agg(c, ',' ORDER BY c) AS cases FROM n GROUP BY s, p, block""")
+def facet_blocks(spark, d):
+    from ..operators import facets
+
+    p = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("s"), p.alias("p"), F.concat(F.lit("C"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("c"))
+    return facets.pack_blocks(rows, ["s", "p"], "c", 200)
