@@ -33,7 +33,7 @@ from .textkit import Batch, WordPool
 
 MAGIC, BLOCK, LIMIT = b"HUFB0001", 256, 18
 FILE_TOKENS = 4 << 20
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 21
 _ENCODERS: dict = {}  # of this worker process, by the tokenizer's digest
 
 
@@ -61,7 +61,8 @@ class WordEncoder:
     def encode(self, t: Batch, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row bounds); `end` is appended to each row."""
         s, e, _ = t.words
-        spell = lambda at: self._learn([t.data[s[i] : e[i]].tobytes().decode() for i in at.tolist()])
+        raw = t.data.tobytes()
+        spell = lambda at: self._learn([raw[a:z].decode() for a, z in zip(s[at].tolist(), e[at].tolist())])
         start, size = self.words.places(t.data, s, e, spell)
         pool = self.words.pool
         if end is not None:
