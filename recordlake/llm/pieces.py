@@ -36,7 +36,7 @@ from .textkit import Batch, WordPool
 
 MARK = "▁"
 CACHE_WORDS = 1 << 18
-PAIRS = 1 << 16
+PAIRS = 1 << 18
 UNKNOWN = -1e6  # score of a character that no piece holds
 _ENCODERS: dict = {}  # of this worker process, by the model's digest
 
@@ -50,7 +50,7 @@ class Model:
         for p in pieces:
             if len(p) > 1:
                 self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}  # by the two ids
 
     @classmethod
     def load(cls, model: bytes, kind: str = "bpe") -> Model:
@@ -85,12 +85,13 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, a: str, b: str) -> bool:
-        known = self.apart.get((a, b))
+        pair = self.pieces[a][0] << 32 | self.pieces[b][0]
+        known = self.apart.get(pair)
         if known is None:
             known = self.merge(a + b) == [a, b]
             if len(self.apart) >= PAIRS:
                 self.apart.clear()
-            self.apart[(a, b)] = known
+            self.apart[pair] = known
         return known
 
     def encode_sorted(self, words: list[str]) -> list[tuple[list[int], float, int]]:
@@ -182,7 +183,8 @@ class PieceEncoder:
         begins[row_at[:-1][full]] = True
         s = np.flatnonzero(begins)
         e = np.append(s[1:], len(data))
-        start, size = self.words.places(data, s, e, lambda at: self._learn([data[s[i] : e[i]].tobytes() for i in at.tolist()]))
+        raw = data.tobytes()
+        start, size = self.words.places(data, s, e, lambda at: self._learn([raw[a:z] for a, z in zip(s[at].tolist(), e[at].tolist())]))
         # a word's entry: its Viterbi score (two numbers), its pieces, then its ids
         pool, row = self.words.pool, np.searchsorted(row_at, s, side="right") - 1
         head = pool[start[:, None] + np.arange(3)]
@@ -201,8 +203,11 @@ class PieceEncoder:
         for i, x in zip(order, self.model.encode_sorted([words[i] for i in order])):
             found[i] = x
         sizes = np.array([3 + len(x[0]) for x in found], np.int64)
-        entry = lambda ids, score, parts: [*np.array([score]).view(np.uint32).tolist(), parts, *ids]
-        return sizes, np.array([v for x in found for v in entry(*x)], np.uint32)
+        head = np.cumsum(sizes) - sizes
+        out = np.array([v for ids, _, _ in found for v in (0, 0, 0, *ids)], np.uint32)
+        score = np.array([x[1] for x in found], np.float64).view(np.uint32).reshape(-1, 2)
+        out[head], out[head + 1], out[head + 2] = score[:, 0], score[:, 1], [x[2] for x in found]
+        return sizes, out
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """UTF-8 texts of the rows' ids, without the mark before each."""
