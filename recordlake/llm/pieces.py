@@ -35,7 +35,7 @@ from .shared import carried, quoted, session, shipped, slices, unpacked
 from .textkit import Batch, WordPool
 
 MARK = "▁"
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 PAIRS = 1 << 18
 UNKNOWN = -1e6  # score of a character that no piece holds
 _ENCODERS: dict = {}  # of this worker process, by the model's digest
@@ -241,7 +241,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: li
 
     def run(batches):
         enc = encoder(model.value)
-        for b in slices(batches, 1, 1 << 20):
+        for b in slices(batches, 1, 2 << 20):
             t = Batch(b.column(1))
             ids, at, score, parts = enc.encode(t)
             back, raw = enc.decode(ids, at), t.data.tobytes()
