@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, iblt, langid, mixing, neardup, pieces, rules, substring, toxicity, warc
+from . import huffman, iblt, kdtree, kernel, langid, mixing, neardup, pieces, rules, substring, toxicity, warc, whitening
 from .shared import Scratch, documents
 
 
@@ -80,6 +80,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.cluster(documents(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = Scratch(spark).table(kernel.with_statistics(documents(spark, sf_dir)), "statistics")
+    rows = Scratch(spark).table(kernel.labelled(stats, documents(spark, sf_dir, "labels")), "labelled")
+    return kernel.scores(stats, kernel.fit(rows))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = whitening.whiten(documents(spark, sf_dir, "embeddings"))
+    return r.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def whitening_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op13 that no eigen-solve decides."""
+    return op13_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_neardup": op2_neardup,
@@ -91,12 +111,40 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_clusters": op11_clusters,
+    "op12_quality_score": op12_quality_score,
+    "op13_whitening": op13_whitening,
     "quality_base": quality_base,
+    "whitening_moments": whitening_moments,
     "fingerprint_texts": fingerprint_texts,
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER_WORDS = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+VECTORS = """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0{more})"""
+
+
+def _cluster_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """Assignment and floored means, round after round; c is (number, component, value)."""
+    assign = """a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.r, c.c, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c{i} c USING (j) GROUP BY p.r, c.c) GROUP BY r)"""
+    move = """c{n} AS MATERIALIZED (SELECT c.c, c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT a.c, p.j, CAST((sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM p JOIN a{i} a USING (r) GROUP BY a.c, p.j) m ON m.c = c.c AND m.j = c.j)"""
+    parts = [VECTORS.format(more=f" AND len(embedding) = {dims}")]
+    parts.append(f"p AS MATERIALIZED (SELECT r, unnest(x) AS x, unnest(range(1, {dims + 1})) AS j FROM v)")
+    parts.append(f"f AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS c FROM v QUALIFY c < {k})")
+    parts.append("c0 AS MATERIALIZED (SELECT f.c, p.j, p.x FROM f JOIN p USING (r))")
+    for i in range(rounds):
+        parts += [assign.format(i=i), move.format(i=i, n=i + 1)]
+    parts.append(assign.format(i=rounds))
+    parts.append(f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS sha FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+ CAST(sum(a.d) OVER () AS BIGINT) AS inertia, h.sha AS centroid_sha256 FROM v JOIN a{rounds} a USING (r) JOIN h USING (c)"""
+
+
 SQL: dict[str, str] = {
+    "op11_clusters": _cluster_sql(),
+    "whitening_moments": f"""WITH {VECTORS.format(more="")}, p AS (SELECT r, unnest(x) + 100000 AS x, unnest(range(1, len(x) + 1)) AS j FROM v),
+ s AS (SELECT j, sum(x) AS s, count(*) AS n FROM p GROUP BY j), d AS (SELECT r, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation, max(n) AS n FROM p JOIN s USING (j) GROUP BY r)
+ SELECT vec_id, CAST(n AS BIGINT) AS n, deviation FROM v JOIN d USING (r)""",
     "op1_warc": r"""WITH p AS (SELECT page_id, trim(regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g')) AS target_uri, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
  m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d), r AS (SELECT p.*, CASE WHEN n >= 1000 AND (page_id IS NULL OR page_id < top) THEN top END AS refers_to FROM p LEFT JOIN m USING (d))
  SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, target_uri FROM r""",
