@@ -283,20 +283,27 @@ def shard_path(x: Column) -> Column:
 def pretty_label(x: Column) -> Column:
     """Title case for labels in capitals; acronyms stay, connectors are lower case.
 
-    Leading and trailing connectors and punctuation go.  A label that has a
-    small letter outside parentheses stays as it is.
+    A leading conjunction goes, then trailing punctuation, then a trailing conjunction.  A label
+    with a small letter outside parentheses stays as it is.  Else every run between
+    blanks, parentheses and section signs is judged by its letters and digits alone:
+    A.D.A. is the acronym ADA and stays; AND/OR, whose letters do not stand together, stays
+    as well.  The first letter is a capital.
     """
-    s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+|(?:[\s;,.:]|\s(?:and|&))+$", "")
-    runs = F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}'’-]+|[^\p{L}\p{N}'’-]+"), F.lit(0))
+    s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"[\s;,.:]+$", ""), r"(?i)\s+(?:and|&|;)\s*$", "")
+    runs = F.regexp_extract_all(s, F.lit(r"\s+|[()§]|[^\s()§]+"), F.lit(0))
     acronyms, connectors = (F.array(*map(F.lit, words)) for words in (ACRONYMS, CONNECTORS))
-    spelled = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
 
-    def put(w: Column, i: Column) -> Column:
-        small = (i > 0) & F.array_contains(connectors, F.lower(w))
-        return F.when(F.array_contains(acronyms, F.upper(w)), w).when(small, F.lower(w)).otherwise(spelled(w))
+    def put(w: Column) -> Column:
+        bare = F.regexp_replace(w, "[^A-Za-z0-9'’-]", "")
+        at = F.instr(w, bare)
+        spelled = F.concat(w.substr(F.lit(1), at - 1), F.upper(F.substring(bare, 1, 1)), F.lower(bare.substr(F.lit(2), F.length(bare))), w.substr(at + F.length(bare), F.length(w)))
+        return F.when((bare == "") | F.array_contains(acronyms, F.upper(bare)), w).when(F.array_contains(connectors, F.lower(bare)), F.lower(w)).when(at > 0, spelled).otherwise(w)
 
-    capitals = ~F.regexp_replace(s, r"\([^)]*\)", "").rlike(r"\p{Ll}")
-    return F.when(capitals, F.array_join(F.transform(runs, put), "")).otherwise(s)
+    spelled = F.array_join(F.transform(runs, put), "")
+    first = F.regexp_instr(spelled, F.lit("[A-Za-z]"))
+    spelled = F.when(first > 0, F.concat(spelled.substr(F.lit(1), first - 1), F.upper(spelled.substr(first, F.lit(1))), spelled.substr(first + 1, F.length(spelled)))).otherwise(spelled)
+    return F.when(~F.regexp_replace(s, r"\([^)]*\)", "").rlike("[a-z]"), clean(spelled)).otherwise(s)
 
 
 def money_text(x: Column) -> Column:

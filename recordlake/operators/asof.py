@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .intervals import around, cover, least_value, placed, places
 
 STATUSES = (
     "effective_at_filing",
@@ -18,26 +19,16 @@ STATUSES = (
 UNDATED = "latest_available_no_filing_date"
 
 
-def tier(filed: Column, start: Column, end: Column, local: Column) -> Column:
-    """0 to 5 as in STATUSES; 6 without a filing date."""
-    began = start <= filed
-    inside = began & ((end == "") | (filed <= end))
-    return (
-        F.when(filed == "", 6)
-        .when(inside & local, 0).when(inside, 1)
-        .when(began & local, 2).when(began, 3)
-        .when(local, 4).otherwise(5)
-    )
-
-
 def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataFrame) -> DataFrame:
     """The best schedule row (code, title, effective_from, effective_to, priority, source) of each fact.
 
     Of the schedule rows of one code with one interval only the best can ever win,
     so the others go first.  The tie-breaks do not depend on the fact, so the rest
-    is ranked once inside its code, latest first and earliest first.  Facts of one
-    code and date get one answer: each distinct pair needs the least (tier, rank),
-    one long, which aggregates by hash; the winner's columns are joined back.
+    is ranked once inside its code, latest first and earliest first, and a row's tier
+    and rank make one long.  A row offers this long over the dates where it would have
+    that tier: in force, begun (only reached where nothing of the better tiers covers the
+    date), and any date.  Distinct (code, date) pairs take the least long around them (see
+    intervals), so no pair of a date and an interval is ever made; the winner's columns are joined back.
     """
     s = schedule.where((F.trim("title") != "") & ~F.lower(F.trim("title")).isin("a", "an", "and", "for", "nor", "of", "or", "the", "to", "with"))
     start, end = F.coalesce("effective_from", F.lit("")), F.coalesce("effective_to", F.lit(""))
@@ -55,10 +46,22 @@ def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataF
 
     ranked = s.withColumn("_late", rank(F.col("_number").desc())).withColumn("_early", rank(F.col("_number").asc()))
     f = facts.select(fact_id, F.col(key).alias("code"), F.coalesce(F.col(filed), F.lit("")).alias("_filed"))
-    joined = f.select("code", "_filed").distinct().join(ranked.select("code", "_start", "_end", "_local", "_late", "_early"), "code")
-    t = tier(F.col("_filed"), F.col("_start"), F.col("_end"), F.col("_local"))
-    score = F.shiftleft(t.cast("long"), 40) + F.when(t.isin(4, 5), F.col("_early")).otherwise(F.col("_late"))
-    best = joined.groupBy("code", "_filed").agg(F.min(score).alias("_score"))
+    pairs = f.where("code is not null").select("code", "_filed").distinct()
+    dates, levels = places((pairs, "_filed"), (ranked, "_start"), (ranked, "_end"))
+    undated = F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("node"))  # where facts without a date meet all rows of their code
+    end_of_time = F.lit((1 << levels) - 1).cast("long")
+    points = placed(pairs, "_filed", dates, "_at")
+    points = points.withColumn("x", F.when(F.col("_filed") == "", F.array(undated)).otherwise(around(F.col("_at"), levels)))
+    rows = placed(placed(ranked.select("code", "_start", "_end", "_local", "_late", "_early"), "_start", dates, "_first"), "_end", dates, "_last")
+    start, end, always = F.col("_first"), F.when(F.col("_end") == "", end_of_time).otherwise(F.col("_last")), cover(F.lit(0).cast("long"), end_of_time, levels)
+    worse = F.when(F.col("_local"), 0).otherwise(1).cast("long")
+    offer = lambda tier, rank, x: F.transform(x, lambda node: F.struct(node.alias("x"), (F.shiftleft(tier.cast("long"), 40) + F.col(rank)).alias("value")))
+    offers = F.concat(
+        offer(worse, "_late", cover(start, end, levels)), offer(worse + 2, "_late", cover(start, end_of_time, levels)),
+        offer(worse + 4, "_early", always), offer(F.lit(6), "_late", F.array(undated)),
+    )
+    nodes = rows.select("code", F.explode(offers).alias("o")).select("code", "o.x", "o.value")
+    best = least_value(points, nodes, "code", ["_filed"]).withColumnRenamed("value", "_score")
     best = best.withColumn("_tier", F.shiftright("_score", 40).cast("int")).withColumn("_rank", F.col("_score").bitwiseAND(F.lit((1 << 40) - 1)))
     best = best.withColumn("_from_early", F.col("_tier").isin(4, 5))
     both = F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("_late").alias("r")), F.struct(F.lit(True).alias("e"), F.col("_early").alias("r")))).alias("x")
@@ -79,9 +82,14 @@ def version_at(facts: DataFrame, fact_id: str, key: str, filed: str, versions: D
     """(id, url, status): the first listed version in force, else the current one if it had begun."""
     f = facts.select(fact_id, F.col(key).alias("code"), F.coalesce(F.col(filed), F.lit("")).alias("f"))
     # of the versions of one interval the first counts, and facts of one code and date have one answer
-    first = versions.groupBy("code", "effective_from", "effective_to").agg(F.min(F.struct("pos", "url")).alias("v"))
-    hit = f.select("code", "f").distinct().join(first, "code").where((F.col("f") != "") & (F.col("effective_from") <= F.col("f")) & (F.coalesce("effective_to", F.lit("9999")) >= F.col("f")))
-    hit = hit.groupBy("code", "f").agg(F.min("v").alias("v")).select("code", "f", F.col("v.url").alias("historical"))
+    first = versions.where("effective_from is not null").groupBy("code", "effective_from", "effective_to").agg(F.min(F.struct("pos", "url")).alias("value"))
+    first = first.withColumn("last", F.coalesce("effective_to", F.lit("9999")))
+    pairs = f.where("f <> '' and code is not null").select("code", "f").distinct()
+    dates, levels = places((pairs, "f"), (first, "effective_from"), (first, "last"))
+    points = placed(pairs, "f", dates, "_at").withColumn("x", around(F.col("_at"), levels))
+    rows = placed(placed(first, "effective_from", dates, "_first"), "last", dates, "_last")
+    nodes = rows.select("code", F.explode(cover(F.col("_first"), F.col("_last"), levels)).alias("x"), "value")
+    hit = least_value(points, nodes, "code", ["f"]).select("code", "f", F.col("value.url").alias("historical"))
     j = f.join(hit, ["code", "f"], "left").join(current.select("code", F.col("url").alias("current_url"), "current_start"), "code", "left")
     late = (F.col("f") != "") & (F.col("f") < F.col("current_start"))
     status = (

@@ -70,41 +70,56 @@ def parts_by_count(df: DataFrame, group: str, order: list[Column], most: int) ->
 
     numbered = ordinals(df, [F.col(group), *order], "_number")
     first = numbered.groupBy(group).agg(F.min("_number").alias("_first"))
-    out = numbered.join(F.broadcast(first) if first.count() <= MANY_GROUPS else first, group)
-    return out.withColumn("part", F.floor((F.col("_number") - F.col("_first")) / most).cast("long")).drop("_number", "_first")
+    first = first.withColumnRenamed(group, "_group")
+    out = numbered.join(F.broadcast(first) if first.count() <= MANY_GROUPS else first, F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn("part", F.floor((F.col("_number") - F.col("_first")) / most).cast("long")).drop("_number", "_first", "_group")
 
 
 MANY_GROUPS = 1 << 16  # up to so many groups their first numbers are broadcast
 
 
+class Packer:
+    """Greedy parts of a stream of sizes; a size over the limit stands alone."""
+
+    def __init__(self, most_rows: int, most_bytes: int):
+        self.most_rows, self.most_bytes = most_rows, most_bytes
+        self.part = self.rows = self.total = 0
+
+    def place(self, size: int | None) -> int:
+        size = size or 0
+        if self.rows and (self.rows >= self.most_rows or self.total + size > self.most_bytes):
+            self.part, self.rows, self.total = self.part + 1, 0, 0
+        self.rows, self.total = self.rows + 1, self.total + size
+        return self.part
+
+
 def pack_parts(df: DataFrame, group: str, order: str, size: str, most_rows: int, most_bytes: int) -> DataFrame:
     """Greedy parts of at most `most_rows` rows and `most_bytes`; a row over the limit stands alone.
 
-    Greedy packing depends on order, so a group's (order, size) pairs go through
-    one task, but as a sorted stream of Arrow batches, never as a whole; the
-    records themselves do not pass through Python.
+    Rows go by `order`, those of equal order by size.  Greedy packing depends on order, so
+    a group's sizes go through one task, but as a sorted stream of Arrow batches, never
+    as a whole; the records themselves do not pass through Python.  Every row has
+    a number of its own, by which it gets its part back, so equal keys multiply nothing;
+    a null group is a group.
     """
     import pyarrow as pa
 
+    from .rankings import ordinals
+
     def pack(batches):
-        now, part, rows, total = None, 0, 0, 0
+        now, packer = None, None
         for b in batches:
             parts = []
             for g, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 if (g,) != now:
-                    now, part, rows, total = (g,), 0, 0, 0
-                s = s or 0
-                if rows and (rows >= most_rows or total + s > most_bytes):
-                    part, rows, total = part + 1, 0, 0
-                rows, total = rows + 1, total + s
-                parts.append(part)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.int64())], names=["_g", "_o", "part"])
-
-    keys = df.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(size).cast("long").alias("_s"))
-    types = dict(keys.dtypes)
-    stream = keys.repartition("_g").sortWithinPartitions("_g", "_o")
-    packed = stream.mapInArrow(pack, f"_g {types['_g']}, _o {types['_o']}, part long")
-    return df.join(packed, df[group].eqNullSafe(packed["_g"]) & df[order].eqNullSafe(packed["_o"])).drop("_g", "_o")
+                    now, packer = (g,), Packer(most_rows, most_bytes)
+                parts.append(packer.place(s))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(parts, pa.int64())], names=["_number", "part"])
+
+    numbered = ordinals(df, [F.col(group), F.col(order), F.col(size)], "_number")
+    keys = numbered.select(F.col(group).alias("_g"), "_number", F.col(size).cast("long").alias("_s"))
+    packed = keys.repartition("_g").sortWithinPartitions("_g", "_number").mapInArrow(pack, "_number long, part long")
+    return numbered.join(packed, "_number").drop("_number")
 
 
 def display_is_consistent(display: Column, norm: Column, approved: Column) -> Column:

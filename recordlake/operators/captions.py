@@ -44,7 +44,6 @@ _MARK = re.compile(r"(?:^|(?<=[\s(\[]))\[?(\d{1,2})[\].)](?![)\]])")
 _HEADING = re.compile(PLEADING_HEADING)
 _HEADER = re.compile(rf"(?i)\b({'|'.join(sorted(ORDINALS, key=len, reverse=True))})\s+(?:and\s+\w+\s+)?causes?\s+of\s+action\b")
 _STOP = re.compile("|".join(map(re.escape, STOP_PHRASES)), re.IGNORECASE)
-_WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 CAPTION = 8000  # characters from the top that may hold a caption
 
 
@@ -54,17 +53,19 @@ def squish(s: str) -> str:
 
 def pretty(label: str) -> str:
     """functions.text.pretty_label for one label."""
-    s = re.sub(r"(?i)^(?:and|&)\s+|(?:[\s;,.:]|\s(?:and|&))+$", "", squish(label))
-    if re.search(r"[a-zß-öø-ÿ]", re.sub(r"\([^)]*\)", "", s)):
+    s = re.sub(r"(?i)^(?:and|&)\s+", "", squish(label))
+    s = re.sub(r"(?i)\s+(?:and|&|;)\s*$", "", re.sub(r"[\s;,.:]+$", "", s))
+    if re.search("[a-z]", re.sub(r"\([^)]*\)", "", s)):
         return s
 
     def put(m: re.Match) -> str:
         w = m[0]
-        if w.upper() in ACRONYMS:
+        bare = re.sub("[^A-Za-z0-9'’-]", "", w)
+        if not bare or bare.upper() in ACRONYMS:
             return w
-        return w.lower() if m.start() and w.lower() in CONNECTORS else w[0].upper() + w[1:].lower()
+        return w.lower() if bare.lower() in CONNECTORS else w.replace(bare, bare[0].upper() + bare[1:].lower(), 1)
 
-    return _WORDS.sub(put, s)
+    return squish(re.sub("[A-Za-z]", lambda m: m[0].upper(), re.sub(r"[^\s()§]+", put, s), count=1))
 
 
 def _tail_group(s: str) -> tuple[str, str] | None:

@@ -100,30 +100,41 @@ class Query:
     clauses: list[Clause] = field(default_factory=list)
     year_min: int | None = None
     year_max: int | None = None
+    source: str = field(default="", compare=False)  # as typed
+    fields: dict[str, str] | None = field(default=None, compare=False)  # short forms
+
+    def over(self, columns: list[str]) -> Query:
+        """The query over a table: a namespace that names none of its columns is free text, where it stands."""
+        if all(c.field in columns for c in self.clauses):
+            return self
+        if not self.source:
+            raise ValueError(f"no column for {[c.field for c in self.clauses if c.field not in columns]}")
+        return parse_query(self.source, self.fields, columns)
 
 
 _TOKEN = re.compile(r'(?<!\S)(-?)([A-Za-z][A-Za-z_-]*):(?:"([^"]*)"|(\S+))')
 
 
-def parse_query(q: str, fields: dict[str, str] | None = None) -> Query:
+def parse_query(q: str, fields: dict[str, str] | None = None, known: list[str] | None = None) -> Query:
     """ns:"value", -ns:value, from:YYYY, to:YYYY and free text.
 
     A namespace is a field's name (hyphens stand for underscores) or a short
-    form of it in `fields`.
+    form of it in `fields`.  With `known`, other words before a colon (http://x, foo:bar)
+    are free text; so is a year that is negated or no number, always.
     """
     short = QUERY_FIELDS | (fields or {})
-    out, rest, at = Query(), [], 0
+    out, rest, at = Query(source=q, fields=fields), [], 0
     for m in _TOKEN.finditer(q):
+        name, value = m[2].lower(), m[3] if m[3] is not None else m[4]
+        column, year = short.get(name, name.replace("-", "_")), name in ("from", "to")
+        if year and (m[1] or not value.isdigit()) or not year and known is not None and column not in known:
+            continue  # stays in the text between clauses
         rest.append(q[at : m.start()])
         at = m.end()
-        name, value = m[2].lower(), m[3] if m[3] is not None else m[4]
-        if name in ("from", "to") and not m[1] and value.isdigit():
-            if name == "from":
-                out.year_min = int(value)
-            else:
-                out.year_max = int(value)
+        if year:
+            setattr(out, "year_min" if name == "from" else "year_max", int(value))
         else:
-            out.clauses.append(Clause(short.get(name, name.replace("-", "_")), "not_contains" if m[1] else "contains", value))
+            out.clauses.append(Clause(column, "not_contains" if m[1] else "contains", value))
     out.text = " ".join(" ".join([*rest, q[at:]]).split())
     return out
 
@@ -172,6 +183,7 @@ def has_text(df: DataFrame, words: str, fields: list[str] | None = None) -> Colu
 
 def directory(df: DataFrame, query: Query, join: str = "and", fields: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
     """Years and prefixes first, then the free text, then the clauses joined by and/or."""
+    query = query.over(df.columns)
     df = in_years(df, query, prefixes)
     if query.text:
         df = df.where(has_text(df, query.text, fields))
@@ -194,6 +206,7 @@ def any_branch(df: DataFrame, query: Query, record: str, positive: list[DataFram
 
     The negated sets make one branch, the complement of their intersection.
     """
+    query = query.over(df.columns)
     base = in_years(df, query)
     if query.text:
         base = base.where(has_text(base, query.text, fields))
