@@ -8,7 +8,8 @@ parts; a key goes to one cell of each, and a cell holds a count, the sum of its
 keys and the sum of their check values.  Sketches of two versions subtract;
 cells with one key left are peeled until nothing remains, which recovers the
 differing paragraph digests.  Where peeling gets stuck, both versions are
-sketched again in twice as many cells.
+sketched again in twice as many cells.  A fingerprint is a text's sketch and, for the
+larger ones, its digests, so two fingerprints are all that their likeness needs.
 
 Neighbours are found by one range partitioning of the (compressed) texts by id;
 the first and last row of each partition meet in a second small step.
@@ -125,21 +126,23 @@ def peel(table, rows: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return row, key, sign, done
 
 
-def differences(a, b, cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+def differences(a, b, cells: int = CELLS, first=None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per row (digests only in a, digests only in b); a and b are (keys, bounds).
 
-    Rows whose peeling fails are sketched again with twice the cells.
+    Rows whose peeling fails are sketched again with twice the cells; `first` may
+    give the subtracted sketches of the first round.
     """
     rows = len(a[1]) - 1
     out: list = [None] * rows
     todo = np.arange(rows)
     while len(todo):
-        table = None
-        for (keys, bounds), sign in ((a, 1), (b, -1)):
-            n = np.diff(bounds)[todo]
-            own = np.repeat(np.arange(len(todo)), n)
-            at = np.repeat(bounds[todo] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            table = sketch(keys[at], own, len(todo), cells, table, sign)
+        table, first = first, None
+        if table is None:
+            for (keys, bounds), sign in ((a, 1), (b, -1)):
+                n = np.diff(bounds)[todo]
+                own = np.repeat(np.arange(len(todo)), n)
+                at = np.repeat(bounds[todo] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                table = sketch(keys[at], own, len(todo), cells, table, sign)
         row, key, sign, done = peel(table, len(todo), cells)
         order = np.argsort(row, kind="stable")
         row, key, sign = row[order], key[order], sign[order]
@@ -151,21 +154,44 @@ def differences(a, b, cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def likeness(a, b) -> np.ndarray:
+def likeness(a, b, first=None) -> np.ndarray:
     """Shared share of the paragraphs of both (Jaccard), from the recovered differences."""
-    delta = np.array([len(x) + len(y) for x, y in differences(a, b)], np.float64)
+    delta = np.array([len(x) + len(y) for x, y in differences(a, b, first=first)], np.float64)
     both = (np.diff(a[1]) + np.diff(b[1])).astype(np.float64)
     return (both - delta) / np.maximum(1, both + delta)
 
 
+_SKETCH = CELLS * (4 + 8 + 8)
+
+
 def fingerprints(keys: np.ndarray, bounds: np.ndarray) -> list[str]:
-    """Base64 of each text's sketch in CELLS cells (counts, key sums, 32-bit checks)."""
+    """Base64 of each text's sketch in CELLS cells (counts, key sums, check sums) and, for larger ones, its sorted keys."""
     rows = len(bounds) - 1
     row = np.repeat(np.arange(rows), np.diff(bounds))
-    keys = keys[bounds[0] : bounds[-1]]
-    count, total, check = (x.reshape(rows, CELLS) for x in sketch(keys, row, rows, CELLS))
-    raw = np.concatenate([count.astype("<i4").view(np.uint8), total.astype("<u8").view(np.uint8), (check >> U64(32)).astype("<u4").view(np.uint8)], axis=1)
-    return [base64.b64encode(r.tobytes()).decode() for r in raw]
+    own = keys[bounds[0] : bounds[-1]]
+    count, total, check = (x.reshape(rows, CELLS) for x in sketch(own, row, rows, CELLS))
+    raw = np.concatenate([count.astype("<i4").view(np.uint8), total.astype("<u8").view(np.uint8), check.astype("<u8").view(np.uint8)], axis=1)
+    own = own[np.lexsort((own, row))].astype("<u8")
+    at = bounds - bounds[0]
+    return [base64.b64encode(raw[i].tobytes() + own[at[i] : at[i + 1]].tobytes()).decode() for i in range(rows)]
+
+
+def parsed(prints: list[str]):
+    """((keys, bounds), sketches) of fingerprints."""
+    raw = [base64.b64decode(p) for p in prints]
+    keys = [np.frombuffer(r[_SKETCH:], "<u8") for r in raw]
+    cell = lambda at, kind: np.concatenate([np.frombuffer(r, kind, CELLS, at) for r in raw])
+    table = cell(0, "<i4").astype(np.int64), cell(4 * CELLS, "<u8"), cell(12 * CELLS, "<u8")
+    return (np.concatenate(keys), np.concatenate([[0], np.cumsum([len(k) for k in keys])])), table
+
+
+def likeness_of(a: list[str], b: list[str]) -> np.ndarray:
+    """Likeness of pairs of fingerprints: their sketches subtract and are peeled; where that
+    fails, sketches of twice the cells are made of the keys that the fingerprints carry."""
+    if not len(a):
+        return np.zeros(0)
+    (x, p), (y, q) = parsed(a), parsed(b)
+    return likeness(x, y, [u - v for u, v in zip(p, q)])
 
 
 RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -176,15 +202,10 @@ def compare(ids: list, texts: list[str]) -> list[pa.Array]:
     """Result columns of texts[:-1], each followed by its next document."""
     n = [len(t) for t in texts[:-1]]
     edited = [t[: k - k // 2] + nxt[: k // 2] for t, nxt, k in zip(texts, texts[1:], n)]
-    keys, bounds = paragraph_keys(Batch(pa.array(texts, pa.large_string())))
-    own, following = (keys, bounds[:-1]), (keys, bounds[1:])
-    new = paragraph_keys(Batch(pa.array(edited, pa.large_string())))
-    values = [
-        ids, n,
-        [hashlib.sha256(e.encode()).hexdigest() for e in edited],
-        fingerprints(keys, bounds[:-1]), fingerprints(*new),
-        likeness(own, new), likeness(own, following),
-    ]
+    own = fingerprints(*paragraph_keys(Batch(pa.array(texts, pa.large_string()))))
+    new = fingerprints(*paragraph_keys(Batch(pa.array(edited, pa.large_string()))))
+    digests = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
+    values = [ids, n, digests, own[:-1], new, likeness_of(own[:-1], new), likeness_of(own[:-1], own[1:])]
     return [pa.array(v, t) for v, (_, t) in zip(values, RESULT)]
 
 

@@ -88,3 +88,15 @@ def test_one_long_line_is_like_its_edit(spark):
     rows = [(1, line(), None, None, 0), (2, line(), None, None, 0)]
     for x in iblt.fingerprint_versions(frame(spark, rows)).collect():
         assert 0.2 < x["near_edited"] < 0.5 and x["near_next"] < 0.1
+
+
+def test_likeness_is_that_of_the_emitted_fingerprints(spark):
+    got = iblt.fingerprint_versions(frame(spark, [(i * 7 - 3, *r[1:]) for i, r in enumerate(corpus(3, 200))])).collect()
+    got.sort(key=lambda r: -r["doc_id"])
+    own, edited = ([r[c] for r in got] for c in ("fingerprint", "edited_fingerprint"))
+    assert iblt.likeness_of(own, edited).tolist() == [r["near_edited"] for r in got]
+    assert iblt.likeness_of(own, own[1:] + own[:1]).tolist() == [r["near_next"] for r in got]
+    assert len({r["near_edited"] for r in got}) > 20
+    (keys, bounds), table = iblt.parsed(own)
+    again = iblt.sketch(keys, np.repeat(np.arange(len(own)), np.diff(bounds)), len(own), iblt.CELLS)
+    assert all((x == y).all() for x, y in zip(table, again))
