@@ -281,12 +281,7 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     """Per document of the files: doc_id, start, n_tokens, ids_crc32 (and ids)."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def heads(batches):
-        for b in batches:
-            h = [parse_head(c.as_py())[0] for c in b.column(0) if len(c.as_py()) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in h], pa.int64()) for k in ("part", "seq", "tokens")], names=["part", "seq", "tokens"])
-
-    def run(batches):
+    def run(batches, with_ids=False):
         for b in batches:
             for c in b.column(0):
                 if len(c.as_py()) <= 1:
@@ -303,10 +298,13 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    narrow = "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long"
+    rows = Scratch(spark).table(files.mapInArrow(run, narrow), "rows")  # so the files are read once
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    place = files.mapInArrow(heads, "part long, seq long, tokens long")
-    place = place.select("part", "seq", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
-    rows = files.mapInArrow(run, "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    sizes = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("tokens"))
+    place = sizes.select("part", "seq", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
+    if with_ids:
+        rows = files.mapInArrow(lambda batches: run(batches, True), f"{narrow}, ids array<long>")
     out = rows.join(place, ["part", "seq"])
     return out.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
