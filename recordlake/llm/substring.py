@@ -47,6 +47,7 @@ KNOWN = 0xFFFF  # in a layout: repeats within its chunk
 FAN_BITS = 12
 FAN = 1 << FAN_BITS  # buckets that a chunk is split to at most
 CHUNK = 1 << 19  # hashes in a chunk of the second and further levels, about
+PARTITIONS = 64  # tasks that count buckets, for each shuffle partition of the session, at most
 RESULTS = ["n_words", "n_removed", "removed_spans"]
 MOVED = "kind int, at long, chunk long, data binary, more binary, ids binary, counts binary"
 ANSWER = "kind int, chunk long, bucket long, data binary, ids binary, counts binary"
@@ -158,7 +159,7 @@ def _split_again(level: int):
                     held, size = [], 0
                 bucket = ats[i]
                 held.append((chunks[i], b.column("data")[i].as_py(), b.column("more")[i].as_py()))
-                size += len(held[-1][1])
+                size += len(held[-1][1]) + len(held[-1][2] or b"")
         if held:
             yield from flush()
 
@@ -326,7 +327,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int = 35, bucket
     for level in range(1, levels):
         salt = F.pmod(F.xxhash64("chunk"), F.lit(p))
         rows = rows.repartition(p * level, "kind", "at", salt).sortWithinPartitions("kind", "at", "chunk").mapInArrow(_split_again(level), MOVED)
-    p_count = max(p, -(-total // bucket_bytes))
+    p_count = max(p, min(-(-total // bucket_bytes), PARTITIONS * p))  # a task streams bucket after bucket
     rows = rows.repartition(p_count, "kind", "at").sortWithinPartitions("kind", "at", "chunk").mapInArrow(_count, ANSWER)
     by_chunk = lambda rows: rows.repartition(p, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
     for level in range(levels - 1, 0, -1):
