@@ -11,6 +11,15 @@ with an estimate not clearly below the threshold leads to candidate groups.
 Within a group every pair of classes is verified on full shingle sets, again in
 block pairs; only a spanning forest of confirmed links leaves a task, so rows
 stay linear in the classes while no link that changes a component is lost.
+
+Large buckets and groups (over BIG classes) are not paired.  Such a bucket is one
+candidate group as it stands.  Such a group is first verified inside blocks
+alone, which unites what is alike, and its largest part needs no further pair of its
+own.  The others meet by prefixes: two sets as similar as asked share one of the
+rarest quarter of their shingles, in any common order, so shingles that are rare in the group
+make buckets of a second level, exactly, and only buckets with a class outside the
+largest part are verified.  Boilerplate pages, which share only frequent shingles,
+never meet; copies are united before.
 A link at exactly the threshold escapes the 32 bands of 4 with probability
 5e-6, and the signature filter with 3e-6.
 
@@ -36,6 +45,7 @@ BANDS, ROWS = 32, 4
 COORDS = BANDS * ROWS
 FLOOR = 74  # of 128 coordinates: 4.5 standard deviations below the threshold of 0.75
 BLOCK = 512
+BIG = 8 * BLOCK  # classes of a bucket or group whose pairs are still compared block by block
 SIGMA = 0x5851F42D4C957F2D
 
 
@@ -206,6 +216,64 @@ def _confirm(percent: int):
     return run
 
 
+def _prefix_rows(batches):
+    """(grp, cid, rest, shingle_set) to one row a shingle: (key of the group and shingle, cid, size, rest)."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingle_set")]
+            n = np.array([len(x) for x in sets], np.int64)
+            group = np.repeat(mix(part.column("grp").to_numpy().astype(np.uint64), 5), n)
+            key = mix(np.concatenate(sets) ^ group).view(np.int64)
+            own = pa.array(np.repeat(np.arange(part.num_rows), n))
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column("cid").take(own), pa.array(np.repeat(n, n)), part.column("rest").take(own)], names=["key", "cid", "size", "rest"])
+
+
+def _with_rest(rows: DataFrame) -> DataFrame:
+    """Rows (key, cid, rest, n, r), r of the key's n classes being in the rest, dealt to cells
+    (bi, bj) so that every class of the rest meets every class of its key."""
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    at = lambda salt, c: F.pmod(F.xxhash64(F.lit(salt), "cid"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    right = rows.select("key", "cid", every("r").alias("bi"), at("all", "n").alias("bj"))
+    left = rows.where("rest").select("key", "cid", at("rest", "r").alias("bi"), every("n").alias("bj"))
+    return right.union(left).distinct()
+
+
+def _verified(rows: DataFrame, p: int, percent: int) -> DataFrame:
+    """Links (a, b), a spanning forest for each (grp, bi, bj) of rows with cid and shingle_set."""
+    dealt = rows.repartition(p, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
+    return dealt.select("grp", "bi", "bj", "cid", "shingle_set").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _big_links(sets: DataFrame, scratch: Scratch, p: int, percent: int) -> DataFrame:
+    """Links of groups too large for all their block pairs; no link between different parts is lost."""
+    own = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
+    first = scratch.table(_verified(sets.withColumns({"bi": own, "bj": own}), p, percent), "first_links")
+    part = components(first, scratch, "first").withColumnRenamed("label", "part")
+    sets = sets.dropDuplicates(["cid"]).join(part, F.col("cid") == F.col("node"), "left").drop("node")
+    sets = scratch.table(sets.withColumn("part", F.coalesce("part", "cid")), "big_sets")
+    sizes = sets.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("k"))
+    most = sizes.groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("most")).withColumnRenamed("grp", "g")
+    sets = sets.join(most, F.col("grp") == F.col("g")).withColumn("rest", F.col("part") != F.col("most")).select("grp", "cid", "rest", "shingle_set")
+    sets = scratch.table(sets, "marked")
+    rows = scratch.table(sets.select("grp", "cid", "rest", "shingle_set").mapInArrow(_prefix_rows, "key long, cid long, size long, rest boolean"), "shingles")
+    seen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.count_if("rest").alias("r")).where("often > 1 and r > 0")
+    seen = scratch.table(seen.select("key", "often", F.col("often").alias("rows")), "seen")
+    mine = join_by_share(rows, seen, "key", "rows").groupBy("cid", "size", "rest").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("s"))  # one set a row
+    # shingles that can meet nobody come first in the order
+    length = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1 - (F.col("size") - F.size("s"))
+    keys = mine.select("cid", "rest", F.explode(F.slice("s", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("x")).select("cid", "rest", "x.key")
+    keys = scratch.table(keys, "prefixes")
+    h = F.xxhash64("cid")
+    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("rest").alias("r"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("mixed"))
+    buckets = count.where("n > 1 and r > 0").groupBy("n", "r", "lo", "hi", "mixed").agg(F.min("key").alias("key")).select("key", "n", "r", F.col("n").alias("rows"))
+    members = join_by_share(keys, scratch.table(buckets, "prefix_buckets"), "key", "rows")
+    cells = _with_rest(members).withColumnRenamed("key", "grp").withColumnRenamed("cid", "own")
+    met = cells.join(sets.select("cid", "shingle_set"), F.col("own") == F.col("cid"))
+    return first.union(_verified(met, p, percent))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of `docs`."""
     out = _judged(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text")), percent)
@@ -245,15 +313,16 @@ def _judged(docs: DataFrame, percent: int, extra: list[str] | None = None, label
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sig").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keys = classes.select(F.explode(band).alias("key"), "cid")
     h = F.xxhash64("cid")
-    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("mixed"))
+    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("mixed"), F.min("cid").alias("least"))
     # bands that bring the same classes together are one bucket
-    buckets = count.where("n > 1").groupBy("n", "lo", "hi", "mixed").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("rows"))
+    buckets = count.where("n > 1").groupBy("n", "lo", "hi", "mixed").agg(F.min(F.struct("key", "least")).alias("x")).select("x.key", "x.least", "n", F.col("n").alias("rows"))
     buckets = scratch.table(buckets, "buckets")
     members = scratch.table(join_by_share(keys, buckets, "key", "rows"), "members")
-    signed = members.join(classes.select("cid", "sig"), "cid")
+    signed = members.where(F.col("n") <= BIG).join(classes.select("cid", "sig"), "cid")
     dealt = block_pairs(signed, "key", "cid", BLOCK)
     dealt = dealt.repartition(p, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     near = dealt.select("key", "bi", "bj", "cid", "sig").mapInArrow(_similar, "a long, b long")
+    near = near.union(members.where(F.col("n") > BIG).select(F.col("cid").alias("a"), F.col("least").alias("b")))  # one group as it stands
     group = components(scratch.table(near, "near"), scratch, "groups")
     group = scratch.table(group, "group")
     sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"))
@@ -264,8 +333,11 @@ def _judged(docs: DataFrame, percent: int, extra: list[str] | None = None, label
     few = Filter(scratch, want, "rep", "filter").mark(docs.select("doc_id", "text"), F.col("doc_id"), "maybe").where("maybe")
     texts = few.join(want.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_key", "cid", "grp", "n")
     sets = scratch.table(texts.mapInArrow(_sets, "cid long, grp long, n long, shingle_set binary"), "sets")
-    pairs = block_pairs(sets, "grp", "cid", BLOCK).repartition(p, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
-    links = scratch.table(pairs.select("grp", "bi", "bj", "cid", "shingle_set").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    links = _verified(block_pairs(sets.where(F.col("n") <= BIG), "grp", "cid", BLOCK), p, percent)
+    large = sets.where(F.col("n") > BIG)
+    if not large.isEmpty():
+        links = links.union(_big_links(large, scratch, p, percent))
+    links = scratch.table(links, "links")
     label = scratch.table(components(links, scratch, "linked"), "label")
 
     named = classes.select("cid", "doc_id").join(label, F.col("cid") == F.col("node")).select("cid", "doc_id", "label")

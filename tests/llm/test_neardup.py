@@ -100,3 +100,42 @@ def test_components_of_a_long_path(spark):
     random.Random(1).shuffle(edges)
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark), "t").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def boilerplate(n, unique):
+    """Pages that share one long passage and have words of their own, with some true copies among them."""
+    r = random.Random(11)
+    shared = ["b%d" % i for i in range(100)]
+    rows = []
+    for i in range(n):
+        own = ["u%d_%d" % (i, k) for k in range(unique)]
+        rows.append((i + 1, " ".join(shared + own), None, None, 0))
+        if i % 9 == 0:
+            own[r.randrange(unique)] = "changed"
+            rows.append((5000 + i, " ".join(shared + own), None, None, 0))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [near_copies(4, 40), boilerplate(120, 40), boilerplate(120, 20), near_copies(5, 25) + boilerplate(60, 30), corpus(4, 150)])
+def test_large_groups_lose_no_link(spark, monkeypatch, rows):
+    """With tiny limits every bucket and group is a large one."""
+    monkeypatch.setattr(neardup, "BIG", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(components, "FEW", 8)
+    rows = [(10 * i, *r[1:]) for i, r in enumerate(rows)]
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute(rows)
+
+
+def test_pairs_of_large_groups_grow_with_the_rows(spark, monkeypatch):
+    """Boilerplate pages of which none is like another: rows that meet in cells stay linear."""
+    monkeypatch.setattr(neardup, "BIG", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    cells = []
+    dealt = neardup._with_rest
+    monkeypatch.setattr(neardup, "_with_rest", lambda rows: cells.append(dealt(rows)) or cells[-1])
+    for n in (100, 200):
+        rows = [r for r in boilerplate(n, 40) if r[0] < 5000]
+        got = neardup.near_duplicates(frame(spark, rows)).collect()
+        assert all(r["kept"] for r in got)
+    assert [c.count() for c in cells] == [0, 0]  # they share no rare shingle
