@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checks import differences, duplicates
+from .shards import read_shards
 
 
 def json_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -101,9 +103,10 @@ def one_record(spark: SparkSession, roots: list[str], shard: str, name: str, sch
 def materialize(spark: SparkSession, index: DataFrame, shards: list[dict], path: str) -> DataFrame:
     """Checked texts of an index (sha256, shard) from its shards, written under `path` only if all are complete.
 
-    shards: name, path, bytes, sha256 of each.  A digest in two shards, a shard
-    that does not match its announcement, and a text that is missing or damaged
-    are errors.
+    shards: name, path (or http address), bytes, sha256 of each.  The executors fetch and
+    check all shards in one job, which writes beside `path`; the keys are compared on what was written, and
+    only then the folder is renamed.  A digest in two shards, a shard that does
+    not match its announcement or its keys, and a text that is missing or damaged are errors.
     """
     if duplicates(index.distinct(), "sha256").limit(1).count():
         raise ValueError("a text is listed in two shards")
@@ -111,11 +114,28 @@ def materialize(spark: SparkSession, index: DataFrame, shards: list[dict], path:
     unknown = index.select("shard").distinct().where(~F.col("shard").isin(*known)).limit(1).collect()
     if unknown:
         raise ValueError(f"unknown shard {unknown[0][0]!r}")
-    parts = [checked_shard(spark, s["path"], s["bytes"], s["sha256"], index.where(F.col("shard") == s["name"]).select("sha256")) for s in shards]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    if differences(index, rows, "sha256").limit(1).count():
-        raise ValueError("some texts are missing or damaged")
-    rows.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    jvm = spark.sparkContext._jvm
+    staged, final = jvm.org.apache.hadoop.fs.Path(f"{path}.staged-{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(final):
+        raise FileExistsError(path)
+    fields = "sha256 string, text string, truncated boolean, stored_char_count long"
+    lines = read_shards(spark, shards).where(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull())
+    rows = lines.select("shard", F.from_json("value", fields).alias("r")).select("shard", "r.*")
+    try:
+        try:
+            rows.write.parquet(staged.toString())
+        except Exception as e:
+            if "does not match its size and digest" in str(e):
+                raise ValueError("shard does not match its size and digest") from e
+            raise
+        got = spark.read.schema(rows.schema).parquet(staged.toString())
+        both = index.select("sha256", "shard").distinct().withColumn("wanted", F.lit(1)).join(got.withColumn("there", valid_sidecar("sha256")), ["sha256", "shard"], "full")
+        bad = both.groupBy("sha256", "shard").agg(F.count("wanted").alias("w"), F.count_if("there").alias("t"), F.count(F.lit(1)).alias("n")).where("w = 0 or t <> 1 or n <> 1").limit(1).collect()
+        if bad:
+            raise ValueError(f"some texts are missing, damaged or not expected, such as {bad[0]['sha256']} of shard {bad[0]['shard']}")
+        if not fs.rename(staged, final):
+            raise OSError(f"{path} could not be written")
+    finally:
+        fs.delete(staged, True)
+    return spark.read.schema(rows.schema).parquet(path).drop("shard")

@@ -5,10 +5,7 @@ from __future__ import annotations
 import time
 import urllib.error
 import urllib.request
-from collections import OrderedDict
 from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor
-from threading import Lock
 
 # Answers that are worth another try.
 RETRYABLE = {408, 429, 500, 502, 503, 504}
@@ -37,57 +34,6 @@ def fetch(url: str, attempts: int = 6, timeout: float = 120.0, opener: Callable
     raise RuntimeError("unreachable")
 
 
-def fetch_all(urls: list[str], get: Callable[[str], bytes] = fetch, threads: int = 6) -> list[bytes]:
-    """All assets in the order of their URLs; if any fails, one error that names all failures, and nothing else."""
-    with ThreadPoolExecutor(threads) as pool:
-        jobs = [pool.submit(get, u) for u in urls]
-    failed = [f"{u}: {e}" for u, j in zip(urls, jobs) if (e := j.exception())]
-    if failed:
-        raise OSError(f"{len(failed)} of {len(urls)} assets failed: " + "; ".join(failed))
-    return [j.result() for j in jobs]
-
-
-class Once:
-    """Values by key, computed once even if asked for at the same time; a failure is forgotten."""
-
-    def __init__(self, make: Callable[[str], object], most: int = 256):
-        self.make, self.most, self.held, self.lock = make, most, OrderedDict(), Lock()
-
-    def get(self, key: str):
-        with self.lock:
-            job = self.held.get(key)
-            mine = job is None
-            if mine:
-                job = self.held[key] = Future()
-            self.held.move_to_end(key)
-            while len(self.held) > self.most:
-                self.held.popitem(last=False)
-        if mine:
-            try:
-                job.set_result(self.make(key))
-            except BaseException as e:
-                with self.lock:
-                    self.held.pop(key, None)
-                job.set_exception(e)
-        return job.result()
-
-
-class Latest:
-    """Of several requests only the newest one's result counts."""
-
-    def __init__(self):
-        self.number, self.lock = 0, Lock()
-
-    def begin(self) -> int:
-        with self.lock:
-            self.number += 1
-            return self.number
-
-    def accept(self, ticket: int, result):
-        """`result`, or None if a newer request has begun."""
-        return result if ticket == self.number else None
-
-
 def first_good(urls: list[str], get: Callable[[str], bytes] = fetch) -> bytes:
     """The first candidate that can be fetched; the last error if none can."""
     last: Exception | None = None

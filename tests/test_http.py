@@ -54,53 +54,6 @@ def test_manifest_errors():
     assert casefacts.manifest_error(ok | {"source_snapshot_id": "x"}) == "manifest_source_snapshot_invalid"
 
 
-def test_fetch_all_keeps_order_and_fails_as_one():
-    import time as clock
-
-    def get(u):
-        clock.sleep(0.02 * (5 - int(u)))
-        return u.encode()
-
-    assert http.fetch_all(list("01234"), get, 4) == [b"0", b"1", b"2", b"3", b"4"]
-
-    def some(u):
-        if u in "13":
-            raise OSError("gone")
-        return b""
-
-    with pytest.raises(OSError, match="2 of 4 assets failed: 1: gone; 3: gone"):
-        http.fetch_all(list("0123"), some)
-
-
-def test_once_shares_and_forgets_failures():
-    from concurrent.futures import ThreadPoolExecutor
-    from time import sleep
-
-    made = []
-
-    def make(k):
-        made.append(k)
-        sleep(0.05)
-        if len(made) == 1:
-            raise ValueError("first try")
-        return k.upper()
-
-    once = http.Once(make, 2)
-    with pytest.raises(ValueError):
-        once.get("a")
-    with ThreadPoolExecutor(8) as pool:
-        assert set(pool.map(once.get, ["a"] * 8)) == {"A"}
-    assert made == ["a", "a"]
-    once.get("b"), once.get("c"), once.get("a")  # a was pushed out
-    assert made == ["a", "a", "b", "c", "a"]
-
-
-def test_latest_request_wins():
-    n = http.Latest()
-    old, new = n.begin(), n.begin()
-    assert n.accept(old, "old") is None and n.accept(new, "new") == "new"
-
-
 def test_manifest_codes_and_messages():
     good = {"schema_version": 2, "shard_pattern": "p", "hash_algorithm": "sha256", "rule_id": "r"}
     check = lambda **k: casefacts.manifest_error(good | k, pattern="p", rule="r", algorithm="sha256")
