@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .intervals import around, cover, least_value, placed, places
+from .lineage import cut
 
 STATUSES = (
     "effective_at_filing",
@@ -19,8 +20,8 @@ STATUSES = (
 UNDATED = "latest_available_no_filing_date"
 
 
-def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataFrame) -> DataFrame:
-    """The best schedule row (code, title, effective_from, effective_to, priority, source) of each fact.
+def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The best schedule row (code, title, effective_from, effective_to, priority, source) of each fact, with the columns `carry`.
 
     Of the schedule rows of one code with one interval only the best can ever win,
     so the others go first.  The tie-breaks do not depend on the fact, so the rest
@@ -37,7 +38,7 @@ def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataF
     number = F.when(start.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.replace(start, F.lit("-"), F.lit("")).cast("int")).otherwise(0)
     s = s.withColumns({"_general": general, "_number": number, "_start": start, "_end": end, "_local": F.coalesce(F.col("priority") == 3, F.lit(False))})
     s = s.groupBy("code", "_start", "_end", "_local", "_number").agg(
-        F.min_by(F.struct("title", "effective_from", "priority", "source", "_general"), F.struct(-F.col("priority"), -F.col("_general"), F.length("title"), F.col("source"))).alias("x")
+        F.min_by(F.struct("title", "effective_from", "priority", "source", "_general", *carry), F.struct(-F.col("priority"), -F.col("_general"), F.length("title"), F.col("source"))).alias("x")
     ).select("code", "_start", "_end", "_local", "_number", "x.*")
 
     def rank(by_date: Column) -> Column:
@@ -46,7 +47,7 @@ def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataF
 
     ranked = s.withColumn("_late", rank(F.col("_number").desc())).withColumn("_early", rank(F.col("_number").asc()))
     f = facts.select(fact_id, F.col(key).alias("code"), F.coalesce(F.col(filed), F.lit("")).alias("_filed"))
-    pairs = f.where("code is not null").select("code", "_filed").distinct()
+    pairs, ranked = cut(f.where("code is not null").select("code", "_filed").distinct()), cut(ranked)
     dates, levels = places((pairs, "_filed"), (ranked, "_start"), (ranked, "_end"))
     undated = F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("node"))  # where facts without a date meet all rows of their code
     end_of_time = F.lit((1 << levels) - 1).cast("long")
@@ -65,17 +66,17 @@ def choose(facts: DataFrame, fact_id: str, key: str, filed: str, schedule: DataF
     best = best.withColumn("_tier", F.shiftright("_score", 40).cast("int")).withColumn("_rank", F.col("_score").bitwiseAND(F.lit((1 << 40) - 1)))
     best = best.withColumn("_from_early", F.col("_tier").isin(4, 5))
     both = F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("_late").alias("r")), F.struct(F.lit(True).alias("e"), F.col("_early").alias("r")))).alias("x")
-    winners = ranked.select("code", "title", "effective_from", "source", both).select("code", "title", "effective_from", "source", F.col("x.e").alias("_from_early"), F.col("x.r").alias("_rank"))
+    winners = ranked.select("code", "title", "effective_from", "source", *carry, both).select("code", "title", "effective_from", "source", *carry, F.col("x.e").alias("_from_early"), F.col("x.r").alias("_rank"))
     status = F.element_at(F.array(*map(F.lit, (*STATUSES, UNDATED))), F.col("_tier") + 1)
-    answers = best.join(winners, ["code", "_from_early", "_rank"]).select("code", "_filed", "title", "effective_from", "source", status.alias("status"))
-    return f.join(answers, ["code", "_filed"]).select(fact_id, "title", "effective_from", "source", "status")
+    answers = best.join(winners, ["code", "_from_early", "_rank"]).select("code", "_filed", "title", "effective_from", "source", *carry, status.alias("status"))
+    return f.join(answers, ["code", "_filed"]).select(fact_id, "title", "effective_from", "source", *carry, "status")
 
 
-def with_fallback_key(facts: DataFrame, fact_id: str, exact: str, base: str, filed: str, schedule: DataFrame) -> DataFrame:
+def with_fallback_key(facts: DataFrame, fact_id: str, exact: str, base: str, filed: str, schedule: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """choose by the exact key, and by the base key only where that finds nothing."""
-    first = choose(facts, fact_id, exact, filed, schedule)
+    first = cut(choose(facts, fact_id, exact, filed, schedule, carry))  # read twice
     rest = facts.join(first.select(fact_id), fact_id, "left_anti")
-    return first.union(choose(rest, fact_id, base, filed, schedule))
+    return first.union(choose(rest, fact_id, base, filed, schedule, carry))
 
 
 def version_at(facts: DataFrame, fact_id: str, key: str, filed: str, versions: DataFrame, current: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def version_at(facts: DataFrame, fact_id: str, key: str, filed: str, versions: D
     # of the versions of one interval the first counts, and facts of one code and date have one answer
     first = versions.where("effective_from is not null").groupBy("code", "effective_from", "effective_to").agg(F.min(F.struct("pos", "url")).alias("value"))
     first = first.withColumn("last", F.coalesce("effective_to", F.lit("9999")))
-    pairs = f.where("f <> '' and code is not null").select("code", "f").distinct()
+    pairs = cut(f.where("f <> '' and code is not null").select("code", "f").distinct())
     dates, levels = places((pairs, "f"), (first, "effective_from"), (first, "last"))
     points = placed(pairs, "f", dates, "_at").withColumn("x", around(F.col("_at"), levels))
     rows = placed(placed(first, "effective_from", dates, "_first"), "last", dates, "_last")

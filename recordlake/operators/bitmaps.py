@@ -70,8 +70,9 @@ def without(whole: DataFrame, sets: list[DataFrame], join: str = "and") -> DataF
     return minus(whole, union(sets) if join == "and" else all_of(sets))
 
 
-def count(bitmap: DataFrame) -> Column:
-    return F.sum(F.bitmap_count("bits"))
+def count() -> Column:
+    """The aggregate that counts a set's records."""
+    return F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))
 
 
 def _places(bits: pa.Array) -> pa.Array:

@@ -335,5 +335,14 @@ def clean_attorneys(x: Column) -> Column:
     return arrow_udf(_attorneys, "array<string>")(x)
 
 
+def clean_attorney_lists(x: Column) -> Column:
+    """clean_attorneys of every text of a list."""
+    return arrow_udf(_attorney_lists, "array<array<string>>")(x)
+
+
+def _attorney_lists(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else [attorney_names(s) for s in v] for v in values.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+
 def _attorneys(values: pa.Array) -> pa.Array:
     return pa.array([attorney_names(v) for v in values.to_pylist()], pa.list_(pa.string()))

@@ -11,18 +11,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .rankings import ordinals
 
+FEW = 1 << 16  # values that one task numbers
+
 
 def places(*values: tuple[DataFrame, str]) -> tuple[DataFrame, int]:
     """((value, place) from 1 in rising order of all distinct values but null, number of levels above them)."""
     each = [df.select(F.col(c).alias("value")) for df, c in values]
-    distinct = reduce(lambda a, b: a.union(b), each).where("value is not null").distinct()
-    numbered = ordinals(distinct, [F.col("value")], "place")
-    most = numbered.agg(F.max("place")).first()[0] or 0
+    distinct = cut(reduce(lambda a, b: a.union(b), each).where("value is not null").distinct())
+    most = distinct.count()
+    # few values (dates are few) are numbered by one task
+    numbered = distinct.withColumn("place", F.row_number().over(Window.orderBy("value")).cast("long")) if most <= FEW else ordinals(distinct, [F.col("value")], "place")
     return numbered, (most + 1).bit_length()
 
 

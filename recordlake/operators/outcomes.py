@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.fixed import DOMAIN_LABELS, DOMAIN_RESULTS, EVENT_LABELS, EVENT_RESULTS, MANIFEST_MESSAGES, NEVER_SATISFIED, SATISFIABLE, SUPPORT_DOMAINS
-from .casefacts import review_reasons, satisfaction
+from .casefacts import review_reasons, satisfaction, valid_closure
 from .records import state_name
 
 NOTHING = "No current full satisfaction recorded."
@@ -185,9 +185,11 @@ def described(summaries: DataFrame, events: DataFrame, key: str) -> DataFrame:
     last = place(hit("final_hash"), hit("selected_hash"))
     by = of.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.max("operative").alias("operative"), F.min_by("e", F.struct(now, "pos")).alias("cur"),
-        F.min_by("e", F.when(last.isNotNull(), F.struct(last, F.col("pos")))).alias("fin"), F.array_distinct(F.flatten(F.collect_list("review_reasons"))).alias("event_reasons"),
+        F.min_by("e", F.when(last.isNotNull(), F.struct(last, F.col("pos")))).alias("fin"),
     )
-    s = summaries.join(by, key, "left")
+    # a case's reasons are few, its events need not be
+    reasons = events.select(key, F.explode("review_reasons").alias("reason")).distinct().groupBy(key).agg(F.collect_list("reason").alias("event_reasons"))
+    s = summaries.join(by, key, "left").join(reasons, key, "left")
     has = lambda c: _trim(F.col(c)) != ""
     judged = has("current_hash") | has("actual_kind") | F.col("amount").isNotNull() | (F.coalesce("final_count", F.lit(0)) > 0) | F.coalesce("operative", F.lit(False))
     s = s.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("reference", (F.col("n") > 0) & ~judged).withColumn("fin", F.coalesce("fin", "cur"))
@@ -221,3 +223,94 @@ def described(summaries: DataFrame, events: DataFrame, key: str) -> DataFrame:
         pick("not applicable", satisfied).alias("satisfaction"), pick("No judgment source rows were found in the generated judgment shard.", source).alias("source_description"),
         pick("no review flags", F.when(F.size(reasons) > 0, F.concat(F.lit("review required: "), F.array_join(reasons, "; "))).otherwise("no review flags")).alias("review"),
     )
+
+
+_EVENT = (
+    "entry_hash string, source_row_hash string, source_evidence_hash string, status string, event_kind string, entry_date string, disposition_domain string, disposition_domains array<string>,"
+    " outcome_components array<string>, current_effect string, finality string, disposition_scope string, is_final_disposition boolean, case_closure_effect string, source_text string"
+)
+_SUMMARY = (
+    "latest_dispositive_event_hash string, selected_event_hash string, current_judgment_event_hash string, actual_judgment_event_hash string, latest_dispositive_event_kind string, selected_event_kind string,"
+    " latest_dispositive_event_date string, latest_dispositive_outcome_components array<string>, disposition_domains array<string>, case_model string, case_closure_status string, case_closure_effect string,"
+    " case_closure_basis string, case_closure_event_hash string, judgment_is_vacated boolean, judgment_is_satisfied boolean,"
+    " disposition_groups array<struct<current_effect:string, current_state:string, is_current_final:boolean, is_final:boolean>>"
+)
+_RECORD = (
+    f"struct<summary:struct<{_SUMMARY.replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>,"
+    f" operative_summary:struct<{_SUMMARY.replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>,"
+    f" events:array<struct<{_EVENT.replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>>,"
+    " case_model:string, case_closure_status:string, case_closure_effect:string, case_closure_basis:string, rule_id:string, rule_version:string>"
+)
+_UNDONE = ("vacated", "superseded", "reversed", "set_aside")
+_HASHES = ("latest_dispositive_event_hash", "selected_event_hash", "current_judgment_event_hash", "actual_judgment_event_hash")
+
+
+def projection(records: DataFrame, key: str, record: str, no_data: Column | None = None, explicit_open: Column | None = None, status_label: Column | None = None) -> DataFrame:
+    """The status of a case as its outcome record (JSON text) says it, one row a record.
+
+    The current event is the first one that a hash of the summary names, else the last
+    operative one.  A case is terminated only if its summary says so and names an event
+    that closes it; other dispositions are evidence.  Everything is read off the record's own
+    row.  `no_data`, `explicit_open` and `status_label` are what is known of the case without the record.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    no_data, explicit_open = yes(F.lit(False) if no_data is None else no_data), yes(F.lit(False) if explicit_open is None else explicit_open)
+    told = F.lit(None).cast("string") if status_label is None else status_label
+    x = records.withColumn("_r", F.from_json(record, _RECORD))
+    events = F.coalesce(F.col("_r.events"), F.array().cast(x.select("_r.events").schema[0].dataType))
+    x = x.withColumn("_events", F.filter(events, lambda e: e.isNotNull())).withColumn("_s", F.coalesce(F.col("_r.summary"), F.col("_r.operative_summary")))
+    s = lambda name: F.col(f"_s.{name}")
+    either = lambda name: F.coalesce(_present(s(name)), _present(F.col(f"_r.{name}")), F.lit(""))
+
+    def named(h: Column) -> Column:
+        hit = lambda e: yes(e["entry_hash"] == h) | yes(e["source_row_hash"] == h) | yes(e["source_evidence_hash"] == h)
+        return F.when(F.coalesce(h, F.lit("")) != "", F.get(F.filter("_events", hit), F.lit(0)))
+
+    operative = F.filter("_events", lambda e: yes(e["status"].isin("operative", "superseding")))
+    x = x.withColumn("_operative", operative).withColumn("_groups", F.filter(F.coalesce(s("disposition_groups"), F.array().cast(x.select("_s.disposition_groups").schema[0].dataType)), lambda g: g.isNotNull()))
+    x = x.withColumn("_current", F.coalesce(*[named(s(h)) for h in _HASHES], F.try_element_at("_operative", F.lit(-1)))).withColumn("_closing", named(F.nullif(_trim(s("case_closure_event_hash")), F.lit(""))))
+    now, last = (lambda f: F.col(f"_current.{f}")), (lambda f: F.col(f"_closing.{f}"))
+    of_events = F.array_distinct(F.flatten(F.transform("_operative", lambda e: F.coalesce(e["disposition_domains"], F.array(e["disposition_domain"])))))
+    x = x.withColumn("_domains", F.filter(F.coalesce(s("disposition_domains"), of_events), lambda d: F.coalesce(d, F.lit("")) != ""))
+    valid = yes(valid_closure(last("status"), last("current_effect"), last("disposition_scope"), last("finality"), last("is_final_disposition"), last("case_closure_effect"), last("event_kind"), s("case_closure_basis")))
+    state = lambda g: state_name(F.coalesce(g["current_effect"], g["current_state"]))
+    undone = yes(s("judgment_is_vacated")) | F.exists("_groups", lambda g: state(g).isin("vacated", "set_aside"))
+    x = x.withColumns({
+        "status": either("case_closure_status"), "effect": either("case_closure_effect"), "basis": either("case_closure_basis"), "valid": valid, "vacated": undone,
+        "evidence": (F.size("_operative") > 0) | (F.size("_groups") > 0), "satisfied": yes(s("judgment_is_satisfied")),
+        "kind": F.coalesce(_present(now("event_kind")), _present(s("latest_dispositive_event_kind")), _present(s("selected_event_kind")), F.lit("")),
+        "day": F.coalesce(_present(now("entry_date")), _present(s("latest_dispositive_event_date")), F.lit("")), "domain": _trim(now("disposition_domain")),
+        "parts": components(now("outcome_components"), s("latest_dispositive_outcome_components")),
+    })
+    ended = state_name(F.col("status")).isin("terminated", "closed", "whole_case_terminated") & (state_name(F.col("effect")) == "closes_case") & F.col("valid") & ~F.col("vacated")
+    x = x.withColumn("ended", ended).withColumn("open", state_name(F.col("status")).isin("open", "active", "pending", "affirmatively_open") | explicit_open)
+    x = x.withColumn("result", result_label(F.col("kind"), F.col("domain"), F.col("_domains"), F.col("parts"), F.col("ended")))
+    group_final = F.exists("_groups", lambda g: yes(g["is_current_final"]) | (g["is_current_final"].isNull() & yes(g["is_final"]) & ~state(g).isin(*_UNDONE)))
+    event_final = F.exists("_operative", lambda e: yes(e["is_final_disposition"]) & ~state_name(e["current_effect"]).isin(*_UNDONE) & ~yes(e["event_kind"].isin("vacatur", "renewal", "satisfaction", "partial_satisfaction")))
+    on = F.when(F.col("day") != "", F.concat(F.lit(" on "), F.col("day"))).otherwise("")
+    because = F.when(F.col("basis") != "", F.concat(F.lit(" ("), words(F.col("basis")), F.lit(")"))).otherwise("")
+    case_status = (
+        F.when(no_data, "unavailable").when(F.col("satisfied"), "judgment_satisfied").when(F.col("ended"), "case_terminated").when(F.col("vacated") & F.col("evidence"), "disposition_vacated")
+        .when(F.col("evidence"), "disposition_evidence").when(F.col("open"), "affirmatively_open").otherwise("unknown")
+    )
+    said = _present(told)
+    label = (
+        F.when(no_data, F.coalesce(said, F.lit("No data"))).when(F.col("satisfied"), "Satisfaction of judgment on file").when(F.col("ended"), F.col("result"))
+        .when(F.col("vacated") & F.col("evidence"), "Prior disposition vacated or set aside").when(F.col("evidence"), F.col("result"))
+        .when(F.col("open"), F.coalesce(said, F.concat(F.lit("Court status: "), words(F.col("status"))))).otherwise("Unknown / no final disposition detected")
+    )
+    finality = (
+        F.when(no_data, "No data").when(F.col("ended"), F.concat(F.col("result"), on, because))
+        .when(F.col("evidence"), F.concat(F.col("result"), on, F.lit("; closure of the entire case not established"))).otherwise("Unknown / no final disposition detected")
+    )
+    judged = (F.coalesce(s("current_judgment_event_hash"), F.lit("")) != "") | (F.coalesce(s("actual_judgment_event_hash"), F.lit("")) != "")
+    return x.select(
+        key, case_status.alias("case_status"), label.alias("status_label"), finality.alias("finality_label"), F.col("evidence").alias("has_disposition_evidence"),
+        (~F.col("vacated") & (group_final | event_final)).alias("has_current_final_disposition"), F.col("ended").alias("whole_case_terminated"), F.col("open").alias("affirmatively_open"),
+        F.coalesce(_present(F.col("kind")), F.col("domain")).alias("final_disposition_type"), F.col("day").alias("final_disposition_date"), (judged & ~F.col("vacated")).alias("judgment_entered"),
+        F.col("vacated").alias("judgment_is_vacated"), "satisfied", F.col("_domains").alias("disposition_domains"), F.col("parts").alias("outcome_components"),
+        F.coalesce(_present(now("entry_hash")), _present(s("latest_dispositive_event_hash")), F.lit("")).alias("current_event_hash"), F.col("kind").alias("current_event_kind"),
+        F.coalesce(_present(F.col("status")), F.lit("unknown")).alias("case_closure_status"), F.coalesce(_present(F.col("effect")), F.when(F.col("ended"), "closes_case").otherwise("unknown")).alias("case_closure_effect"),
+        F.col("basis").alias("case_closure_basis"), F.col("valid").alias("case_closure_evidence_valid"), F.coalesce(_present(s("case_model")), _present(F.col("_r.case_model")), F.lit("unknown")).alias("status_domain"),
+        _trim(F.col("_r.rule_id")).alias("outcome_rule_id"), _trim(now("source_text")).alias("status_detail"),
+    )

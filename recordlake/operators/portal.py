@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.fixed import GENERIC_CRIMINAL_TITLE, MACHINE_REASON, NOT_PUBLIC, UNRESOLVED_TITLE
-from . import casefacts, records
+from . import casefacts
 from .captions import clean_attorneys
 from .casefacts import alias_text
 
@@ -147,20 +147,23 @@ def docket_rows(rows: DataFrame, key: str, record: str) -> DataFrame:
     )
 
 
-def calendar_rows(rows: DataFrame, key: str, record: str) -> DataFrame:
-    """(key, idx, court_date, hearing_time, matters, hearing_type, location, department) of the calendar."""
-    v = F.try_variant_get(F.try_parse_json(F.col(record)), "$.calendar", "array<variant>")
-    x = rows.select(key, F.posexplode(v).alias("idx", "v"))
-    of = lambda *names: alias_text(F.col("v"), names)
-    x = x.withColumn("t", start_time(of("court_date", "startTime", "date", "start_time")))
-    return x.select(
-        key, "idx", F.coalesce(_present(of("court_date", "date")), F.col("t.court_date")).alias("court_date"),
-        F.coalesce(_present(of("hearing_time", "time")), F.col("t.hearing_time")).alias("hearing_time"),
+def calendar_entry(v: Column) -> Column:
+    """struct(court_date, hearing_time, matters, hearing_type, location, department) of a calendar row."""
+    of = lambda *names: alias_text(v, names)
+    t = start_time(of("court_date", "startTime", "date", "start_time"))
+    return F.struct(
+        F.coalesce(_present(of("court_date", "date")), t["court_date"]).alias("court_date"), F.coalesce(_present(of("hearing_time", "time")), t["hearing_time"]).alias("hearing_time"),
         of("matters", "hearingType", "calendar_matter", "description").alias("matters"), of("hearing_type", "hearingType").alias("hearing_type"),
         of("location", "room").alias("location"), of("department", "dept").alias("department"),
     )
 
 
+def calendar_rows(rows: DataFrame, key: str, record: str) -> DataFrame:
+    """(key, idx, court_date, hearing_time, matters, hearing_type, location, department) of the calendar."""
+    v = F.try_variant_get(F.try_parse_json(F.col(record)), "$.calendar", "array<variant>")
+    return rows.select(key, F.posexplode(v).alias("idx", "v")).select(key, "idx", calendar_entry(F.col("v")).alias("c")).select(key, "idx", "c.*")
+
+
 def _flag(v: Column, *names: str) -> Column:
     return text.any_of([F.coalesce(F.try_variant_get(v, path, "boolean"), F.lit(False)) for n in names for path in (f"$.{n}", f"$.criminal.{n}")])
 
@@ -173,10 +176,15 @@ def normalize(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> D
     """Header of every portal record (JSON text); other records are left out.
 
     Identity, title and notice are repaired; parts stay in the record and are
-    read by docket_rows, calendar_rows and casefacts.part.
+    read by caseparts.assembled, docket_rows, calendar_rows and casefacts.part.
     """
-    x = rows.select(key, F.try_parse_json(F.col(record)).alias("v")).where(is_portal(F.col("v"), p))
-    v = F.col("v")
+    x = rows.select(F.col(key).alias("_key"), F.try_parse_json(F.col(record)).alias("v")).where(is_portal(F.col("v"), p))
+    return with_header(x, p).select(F.col("_key").alias(key), "portal.*")
+
+
+def with_header(x: DataFrame, p: Portal = Portal()) -> DataFrame:
+    """`x`, which has a variant `v`, with the struct `portal` of a portal record's header (null for other records)."""
+    v, before = F.col("v"), x.columns
     either = lambda *names: F.coalesce(_present(alias_text(v, names)), _present(alias_text(F.try_variant_get(v, "$.case_header", "variant"), names)), F.lit(""))
     explicit = alias_text(v, ("criminal_case_number", "criminalCaseNumber"))
     x = x.withColumns({
@@ -196,8 +204,8 @@ def normalize(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> D
     given = _present(field(v, "unavailable_reason"))
     reason = F.when(F.col("little"), "criminal_portal_no_public_entries").when(F.col("said") != "", F.coalesce(given, F.lit("criminal_portal_not_publicly_available"))).otherwise(F.coalesce(given, F.lit("")))
     title = criminal_title(alias_text(v, ("case_title", "CASETITLE", "title")), F.col("defendant"), F.col("criminal_case_number"), F.col("case_number"), F.col("identity_unavailable"))
-    return x.select(
-        key, F.lit("criminal").alias("case_type"), "case_number", "criminal_case_number", "display_case_number", "defendant", "filed_date", "charges", title.alias("case_title"),
+    header = F.struct(
+        F.lit("criminal").alias("case_type"), "case_number", "criminal_case_number", "display_case_number", "defendant", "filed_date", "charges", title.alias("case_title"),
         "identity_unavailable", (_flag(v, "identity_incomplete") | unnamed).alias("identity_incomplete"), F.coalesce(_present(alias_text(v, ("court", "COURT"))), F.lit(p.court)).alias("court"),
         F.coalesce(_present(alias_text(v, ("cause_of_action", "cause", "CAUSE"))), F.lit("Criminal")).alias("cause_of_action"), portal_url(v, p).alias("source_url"),
         F.when(shown != "", "unavailable").otherwise(field(v, "status")).alias("status"), F.when(shown != "", reason).otherwise(F.coalesce(given, F.lit(""))).alias("unavailable_reason"),
@@ -205,6 +213,7 @@ def normalize(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> D
         (F.coalesce(F.try_variant_get(v, "$.document_bytes_captured", "boolean"), F.lit(False)) | (_size(v, "documents") == 0)).alias("document_bytes_captured"),
         F.coalesce(_present(field(v, "document_byte_capture_scope")), F.lit("criminal-portal-no-documents")).alias("document_byte_capture_scope"),
     )
+    return x.select(*before, F.when(is_portal(v, p), header).alias("portal"))
 
 
 def status_parts(reason: Column, shown: Column, defendant: Column, filed: Column, charges: Column) -> Column:
@@ -245,44 +254,6 @@ def representation(parties: DataFrame, attorneys: DataFrame, key: str) -> DataFr
     return rows.groupBy(key, "edge").agg(F.min(F.struct("party_name", "attorney_name", "source_field")).alias("e")).select(key, "e.*")
 
 
-def case_facts(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> DataFrame:
-    """One row a record (JSON text): header, filing date, source, and counts and flags of its parts.
-
-    Portal records are normalised first; every part is exploded and counted on
-    its own, so a case with a million docket rows is no single row anywhere.
-    """
-    x = rows.select(key, record).withColumn("v", F.try_parse_json(F.col(record)))
-    v = F.col("v")
-    portal = normalize(rows, key, record, p).select(key, *[F.col(c).alias(f"p_{c}") for c in ("case_number", "case_title", "court", "cause_of_action", "filed_date", "status", "unavailable_text", "source_url")])
-    docket = casefacts.part(rows, key, record, "docket_entries").select(key, "idx", "date_filed", "description")
-    roa = docket_rows(rows.join(docket.select(key).distinct(), key, "left_anti"), key, record).select(key, "idx", "date_filed", "description")
-    docket = docket.unionByName(roa)
-    documents = casefacts.part(rows, key, record, "documents")
-    held = documents.where(F.col("sha256") != "")
-    people, counsel = parties(rows, key, record), attorneys(rows, key, record)
-    direct = ("filing_date", "filed_date", "filedDate", "date_filed", "FILEDATE", "filed")
-    own = x.select(key, F.coalesce(_present(alias_text(v, direct)), alias_text(F.try_variant_get(v, "$.case_header", "variant"), direct)).alias("own"))
-    filed = casefacts.first_filing_date(own, key, "own", docket, documents)
-    counts = records.completeness(rows, key, {
-        "docket_events": docket, "documents": documents, "captured_documents": held, "parties": people, "attorneys": counsel,
-        "representation_edges": representation(people, counsel, key), "calendar_rows": calendar_rows(rows, key, record), "financial_rows": casefacts.part(rows, key, record, "payments"),
-    })
-    head = lambda name, *names: F.coalesce(F.col(f"p_{name}"), alias_text(v, names)).alias(name)
-    out = x.join(portal, key, "left").join(filed, key, "left").join(counts, key, "left")
-    notice = F.coalesce(F.col("p_unavailable_text"), alias_text(v, ("unavailable_text", "unavailable_red_text", "unavailable_reason", "message")))
-    status = F.coalesce(F.col("p_status"), field(v, "status"))
-    closed = (F.lower(status) == "unavailable") | (notice != "")
-    said = casefacts.open_status(*[field(v, *path) for path in (("court_case_status",), ("case_status",), ("status",), ("case_header", "court_case_status"), ("case_header", "case_status"), ("case_header", "status"))])
-    url = F.coalesce(F.col("p_source_url"), source_url(v, p))
-    return out.select(
-        key, head("case_number", "case_number", "CASE_NUMBER", "caseNum"), head("case_title", "case_title", "CASETITLE", "title"), head("court", "court", "COURT"),
-        head("cause_of_action", "cause_of_action", "cause", "CAUSE"), F.col("filed").alias("filing_date"), alias_text(v, ("captured_at", "capturedAt")).alias("captured_at"), url.alias("source_url"),
-        "docket_events", "documents", "captured_documents", (F.col("documents") - F.col("captured_documents")).alias("metadata_only_documents"), "parties", "attorneys",
-        "representation_edges", "calendar_rows", "financial_rows", (url != "").alias("has_source_url"), (head("case_title", "case_title", "CASETITLE", "title") != "").alias("has_case_title"),
-        F.when(closed, "unavailable").when(said != "", "affirmatively_open").otherwise("unknown").alias("case_status"),
-    )
-
-
 def date_text(x: Column) -> Column:
     """ISO date found in the text, else its first ten characters."""
     return F.coalesce(_present(dates.find_iso(x)), F.substring(F.trim(F.coalesce(x, F.lit(""))), 1, 10))

@@ -132,7 +132,7 @@ def taxonomy_cycles(spark, d):
 def _closed(part, k, place, parent, block):
     """The last block may miss the end of its cycle: such nodes point nowhere."""
     last = part.agg(F.max("p_partkey").alias("last"))
-    rows = part.crossJoin(F.broadcast(last)).select(k.alias("id"), F.when(parent <= F.col("last"), parent).alias("parent_id"), F.concat(F.lit("L"), k.cast("string")).alias("label"), place.alias("place"), block.alias("block"), "last")
+    rows = part.withColumn("one", F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one").select(k.alias("id"), F.when(parent <= F.col("last"), parent).alias("parent_id"), F.concat(F.lit("L"), k.cast("string")).alias("label"), place.alias("place"), block.alias("block"), "last")
     broken = (F.col("place") > 24) & (F.col("block") + 27 > F.col("last"))
     return rows.select("id", F.when(~broken, F.col("parent_id")).alias("parent_id"), "label")
 
@@ -157,18 +157,21 @@ def _ranked(spark, d):
     )
 
 
+def _announced(spark, d):
+    """The rows that a manifest would count, read from another column than the index is made of."""
+    return table(spark, d, "orders").where("o_totalprice > 0").select("o_orderstatus").count()
+
+
 @query("judgment_details", """WITH r AS (SELECT 'C' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS case_number, o_orderkey % 50 + 1 AS rank, o_orderpriority AS case_title FROM orders WHERE o_totalprice > 0), o AS (SELECT *, row_number() OVER (ORDER BY rank, case_number) AS ordinal FROM r)
  SELECT case_number, ordinal, CAST((ordinal - 1) // 250 AS BIGINT) AS shard, case_title, 'Ann Lake' AS names, CAST(NULL AS VARCHAR) AS matter_type FROM o""")
 def judgment_details(spark, d):
-    r = _ranked(spark, d)
-    t = builds.judgment_index(r, r.count())["details"]
+    t = builds.judgment_index(_ranked(spark, d), _announced(spark, d))["details"]
     return t.select("case_number", "ordinal", "shard", "case_title", F.array_join("attorney_names", ";").alias("names"), "matter_type")
 
 
 @query("judgment_search", "SELECT 'C' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS case_number FROM orders WHERE o_totalprice > 0 AND (contains(lower(o_orderpriority), '00000001') OR contains(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), '00000001'))")
 def judgment_search(spark, d):
-    r = _ranked(spark, d)
-    t = builds.judgment_index(r, r.count())
+    t = builds.judgment_index(_ranked(spark, d), _announced(spark, d))
     return search.search_postings(t["postings"], t["details"], "ordinal", ["case_number", "case_title"], "00000001").select("case_number")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import captions, casefacts, portal
+from ..operators import captions, caseparts, casefacts, portal
 from .bindings import query, table
 
 
@@ -119,7 +119,7 @@ def _case_records(spark, d):
  n AS docket_events, CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS documents, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS captured_documents, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS metadata_only_documents, CASE k % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS parties,
  CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS financial_rows, 'https://portal.example/case?number=CGC20' || k AS source_url, CASE WHEN k % 5 = 0 THEN 'affirmatively_open' ELSE 'unknown' END AS case_status FROM l""")
 def case_facts(spark, d):
-    f = portal.case_facts(_case_records(spark, d), "k", "record")
+    f = caseparts.case_facts(_case_records(spark, d), "k", "record")
     return f.select("k", "case_number", "case_title", "filing_date", "docket_events", "documents", "captured_documents", "metadata_only_documents", "parties", "financial_rows", "source_url", "case_status")
 
 

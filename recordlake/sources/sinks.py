@@ -8,6 +8,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, SparkRuntimeException as SparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import bucket_name, fnv1a32
 
@@ -83,7 +84,10 @@ def lookup(spark: SparkSession, path: str, kind: str, key: str, column: str, buc
     for unit in memoryview(f"{kind}:{key}".encode("utf-16-le")).cast("H"):
         h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
     name = format(h % buckets, f"0{max(2, len(format(buckets - 1, 'x')))}x")
-    return spark.read.option("inferSchema", False).parquet(current(spark, path)).where((F.col("bucket").cast("string") == name) & (F.col(column) == key))
+    at = current(spark, path)
+    found = spark.read.parquet(at).schema
+    typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "bucket" else f for f in found])  # 00 and 0d are no numbers
+    return spark.read.schema(typed).parquet(at).where((F.col("bucket") == name) & (F.col(column) == key))
 
 
 def lookup_status(spark: SparkSession, path: str, kind: str, key: str, column: str, buckets: int = 256) -> str:
