@@ -100,3 +100,11 @@ def _unpacked(packed: pa.Array) -> pa.Array:
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     values, own = decode_differences(np.frombuffer(b"".join(raw), np.uint8), bounds)
     return pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(values))
+
+
+def undo_delta_varints(text: str) -> list[int]:
+    """The list of one text of delta_varints()."""
+    import base64
+
+    data = np.frombuffer(base64.b64decode(text), np.uint8)
+    return decode_differences(data, np.array([0, len(data)]))[0].tolist()

@@ -283,14 +283,12 @@ def shard_path(x: Column) -> Column:
 def pretty_label(x: Column) -> Column:
     """Title case for labels in capitals; acronyms stay, connectors are lower case.
 
-    A leading conjunction goes, then trailing punctuation, then a trailing conjunction.  A label
-    with a small letter outside parentheses stays as it is.  Else every run between
+    A leading conjunction and trailing punctuation and conjunctions go.  A label with a small letter outside parentheses stays as it is.  Else every run between
     blanks, parentheses and section signs is judged by its letters and digits alone:
     A.D.A. is the acronym ADA and stays; AND/OR, whose letters do not stand together, stays
     as well.  The first letter is a capital.
     """
-    s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[\s;,.:]+$", ""), r"(?i)\s+(?:and|&|;)\s*$", "")
+    s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+|(?:[\s;,.:]|\s(?:and|&))+$", "")
     runs = F.regexp_extract_all(s, F.lit(r"\s+|[()§]|[^\s()§]+"), F.lit(0))
     acronyms, connectors = (F.array(*map(F.lit, words)) for words in (ACRONYMS, CONNECTORS))
 
