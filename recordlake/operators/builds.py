@@ -124,7 +124,7 @@ def enrich_matters(ranked: DataFrame, packed: DataFrame, categories: DataFrame,
         raise ValueError(f"records of several categories: {[r[0] for r in clash]}")
     enriched = taxonomy.enrich(ranked, "case_number", needed)
     keys = ["matter_type", "matter_type_key", "matter_category", "matter_category_key"]
-    return {"rows": enriched, "facets": taxonomy.facet_counts(enriched), "groups": facets.pack_groups(enriched, keys, "case_number")}
+    return {"rows": enriched, "facets": taxonomy.facet_counts(enriched), "groups": facets.pack_blocks(enriched, keys, "case_number")}
 
 
 def compact_rows(ranked: DataFrame, ordinal: str = "ordinal") -> DataFrame:

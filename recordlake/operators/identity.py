@@ -17,11 +17,6 @@ def parts(norm: Column) -> Column:
     )
 
 
-def _compatible(a: Column, b: Column) -> Column:
-    same = lambda x, y: (x == y) | (((F.length(x) == 1) | (F.length(y) == 1)) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)))
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, same), lambda ok: F.coalesce(ok, F.lit(False)))
-
-
 def merge_names(groups: DataFrame, norm: str = "norm") -> DataFrame:
     """(norm, target) for every distinct name.
 
@@ -33,9 +28,17 @@ def merge_names(groups: DataFrame, norm: str = "norm") -> DataFrame:
     d = groups.select(F.col(norm).alias("norm")).where("norm <> ''").distinct()
     d = d.withColumn("p", parts(F.col("norm"))).select("norm", "p.first", "p.middle", "p.surname")
     full = d.where("first <> ''")
-    middles = full.groupBy("first", "surname").agg(F.collect_set(F.when(F.size("middle") > 0, F.col("middle"))).alias("m"), F.min("norm").alias("root"))
-    ok = F.forall("m", lambda a: F.forall(F.col("m"), lambda b: _compatible(a, b)))
-    full = full.join(middles.select("first", "surname", "root", ok.alias("unite")), ["first", "surname"])
+    length = F.when(F.size("middle") > 0, F.size("middle"))
+    united = full.groupBy("first", "surname").agg(F.min(length).alias("shortest"), F.max(length).alias("longest"), F.min("norm").alias("root"))
+    # pairwise agreement is one rule a place: one initial, and at most one word that is more than it
+    at = full.select("first", "surname", F.posexplode("middle").alias("place", "w"))
+    initial, word = F.substring("w", 1, 1), F.when(F.length("w") > 1, F.col("w"))
+    places = at.groupBy("first", "surname", "place").agg(
+        (F.min("w") == F.max("w")).alias("same"), (F.min(initial) == F.max(initial)).alias("initial"), F.coalesce(F.min(word) == F.max(word), F.lit(True)).alias("word")
+    )
+    apart = places.where(~(F.col("same") | (F.col("initial") & F.col("word")))).select("first", "surname").distinct().withColumn("apart", F.lit(True))
+    ok = F.coalesce(F.col("shortest") == F.col("longest"), F.lit(True)) & F.col("apart").isNull()
+    full = full.join(united.join(apart, ["first", "surname"], "left").select("first", "surname", "root", ok.alias("unite")), ["first", "surname"])
     full = full.select("norm", "surname", F.when(F.col("unite"), F.col("root")).otherwise(F.col("norm")).alias("root"))
     owners = full.groupBy("surname").agg(F.count_distinct("root").alias("k"), F.min("root").alias("owner")).where("k = 1").drop("k")
     bare = d.where("first = ''").join(owners, "surname", "left").select("norm", F.coalesce("owner", "norm").alias("root"))
