@@ -313,18 +313,19 @@ def _judged(docs: DataFrame, percent: int, extra: list[str] | None = None, label
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sig").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keys = classes.select(F.explode(band).alias("key"), "cid")
     h = F.xxhash64("cid")
-    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("mixed"), F.min("cid").alias("least"))
+    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"), F.bit_xor(h).alias("mixed"))
     # bands that bring the same classes together are one bucket
-    buckets = count.where("n > 1").groupBy("n", "lo", "hi", "mixed").agg(F.min(F.struct("key", "least")).alias("x")).select("x.key", "x.least", "n", F.col("n").alias("rows"))
+    buckets = count.where("n > 1").groupBy("n", "lo", "hi", "mixed").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("rows"))
     buckets = scratch.table(buckets, "buckets")
     members = scratch.table(join_by_share(keys, buckets, "key", "rows"), "members")
     signed = members.where(F.col("n") <= BIG).join(classes.select("cid", "sig"), "cid")
     dealt = block_pairs(signed, "key", "cid", BLOCK)
     dealt = dealt.repartition(p, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     near = dealt.select("key", "bi", "bj", "cid", "sig").mapInArrow(_similar, "a long, b long")
-    near = near.union(members.where(F.col("n") > BIG).select(F.col("cid").alias("a"), F.col("least").alias("b")))  # one group as it stands
+    bucket = -1 - F.col("key").bitwiseAND(F.lit((1 << 63) - 1))  # a large bucket is a node of its own, below all classes
+    near = near.union(members.where(F.col("n") > BIG).select(F.col("cid").alias("a"), bucket.alias("b")))
     group = components(scratch.table(near, "near"), scratch, "groups")
-    group = scratch.table(group, "group")
+    group = scratch.table(group.where("node >= 0"), "group")
     sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"))
     sized = join_by_share(group, scratch.table(sizes, "sizes"), "label", "rows")
     want = classes.select("set_key", "cid", F.col("doc_id").alias("rep")).join(sized, F.col("cid") == F.col("node"))
