@@ -289,19 +289,25 @@ def pretty_label(x: Column) -> Column:
     as well.  The first letter is a capital.
     """
     s = F.regexp_replace(clean(x), r"(?i)^(?:and|&)\s+|(?:[\s;,.:]|\s(?:and|&))+$", "")
-    runs = F.regexp_extract_all(s, F.lit(r"\s+|[()§]|[^\s()§]+"), F.lit(0))
     acronyms, connectors = (F.array(*map(F.lit, words)) for words in (ACRONYMS, CONNECTORS))
+    once = lambda value, body: F.transform(F.array(value), body)[0]
 
-    def put(w: Column) -> Column:
-        bare = F.regexp_replace(w, "[^A-Za-z0-9'’-]", "")
+    def put(w: Column, bare: Column) -> Column:
         at = F.instr(w, bare)
         spelled = F.concat(w.substr(F.lit(1), at - 1), F.upper(F.substring(bare, 1, 1)), F.lower(bare.substr(F.lit(2), F.length(bare))), w.substr(at + F.length(bare), F.length(w)))
         return F.when((bare == "") | F.array_contains(acronyms, F.upper(bare)), w).when(F.array_contains(connectors, F.lower(bare)), F.lower(w)).when(at > 0, spelled).otherwise(w)
 
-    spelled = F.array_join(F.transform(runs, put), "")
-    first = F.regexp_instr(spelled, F.lit("[A-Za-z]"))
-    spelled = F.when(first > 0, F.concat(spelled.substr(F.lit(1), first - 1), F.upper(spelled.substr(first, F.lit(1))), spelled.substr(first + 1, F.length(spelled)))).otherwise(spelled)
-    return F.when(~F.regexp_replace(s, r"\([^)]*\)", "").rlike("[a-z]"), clean(spelled)).otherwise(s)
+    def spell(label: Column) -> Column:
+        runs = F.regexp_extract_all(label, F.lit(r"\s+|[()§]|[^\s()§]+"), F.lit(0))
+        return F.array_join(F.transform(runs, lambda w: once(F.regexp_replace(w, "[^A-Za-z0-9'’-]", ""), lambda bare: put(w, bare))), "")
+
+    def capital(label: Column) -> Column:
+        return once(F.regexp_instr(label, F.lit("[A-Za-z]")), lambda at: F.when(at > 0, F.concat(label.substr(F.lit(1), at - 1), F.upper(label.substr(at, F.lit(1))), label.substr(at + 1, F.length(label)))).otherwise(label))
+
+    def judge(label: Column) -> Column:
+        return F.when(~F.regexp_replace(label, r"\([^)]*\)", "").rlike("[a-z]"), clean(once(spell(label), capital))).otherwise(label)
+
+    return once(s, judge)
 
 
 def money_text(x: Column) -> Column:

@@ -213,7 +213,8 @@ def review_reasons(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(r, "|").alias("reasons"))
 
 
-@query("pleading_causes")
+@query("pleading_causes", """WITH t AS (SELECT DISTINCT sha256(text) AS s FROM documents WHERE doc_id % 3 > 0), c AS (SELECT doc_id % 200 AS k, doc_id, sha256(text) IN (SELECT s FROM t) AS ok FROM documents)
+ SELECT k, CASE WHEN bool_or(ok) THEN min(doc_id) FILTER (WHERE ok) ELSE min(doc_id) END AS doc_id, CASE WHEN bool_or(ok) THEN 'pleading' ELSE 'text_unavailable' END AS source, CASE WHEN bool_or(ok) THEN 2 ELSE 0 END AS n FROM c GROUP BY k""")
 def pleading_causes(spark, d):
     docs = table(spark, d, "documents").select((F.col("doc_id") % 200).alias("k"), "doc_id", F.sha2("text", 256).alias("sha256"), F.floor(F.col("doc_id") / 200).alias("rank"))
     sha = F.when(F.col("doc_id") % 3 > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("none"), F.col("doc_id").cast("string")))

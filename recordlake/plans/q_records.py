@@ -23,7 +23,13 @@ def trigram_postings(spark, d):
     return p.select("gram", F.array_join(F.transform("ordinals", lambda x: x.cast("string")), "|").alias("ordinals"))
 
 
-@query("posting_varints")
+#: LEB128 of the differences, as hexadecimal digits, in DuckDB.
+VARINT = "CASE WHEN d < 128 THEN printf('%02X', d) WHEN d < 16384 THEN printf('%02X%02X', d % 128 + 128, d // 128) ELSE printf('%02X%02X%02X', d % 128 + 128, d // 128 % 128 + 128, d // 16384) END"
+FNV = "list_reduce([CAST(ord(c) AS HUGEINT) for c in string_split({0}, '')], lambda a, b: (xor(a, b) * 16777619) % 4294967296, CAST(2166136261 AS HUGEINT))"
+
+
+@query("posting_varints", f"""WITH {GRAMS}, o AS (SELECT gram, p_partkey + 1 AS o FROM g), x AS (SELECT gram, o, CAST(o - coalesce(lag(o) OVER (PARTITION BY gram ORDER BY o), 0) AS BIGINT) AS d FROM o)
+ SELECT gram, CAST({FNV.format('gram')} % 64 AS BIGINT) AS bucket, to_base64(unhex(string_agg({VARINT}, '' ORDER BY o))) AS packed FROM x GROUP BY gram""")
 def posting_varints(spark, d):
     p = search.postings(_parts(spark, d).withColumn("ordinal", F.col("p_partkey") + 1), "ordinal", F.col("p_name"), F.col("kind"))
     return p.select("gram", "bucket", hashing.delta_varints(F.col("ordinals")).alias("packed"))
@@ -301,14 +307,16 @@ def two_year_window(spark, d):
     return cases(spark, d).where((f >= F.add_months(end, -24)) & (f <= end)).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cause_parse")
+@query("cause_parse", """SELECT doc_id, n, CASE n WHEN 1 THEN 'FRAUD (' || source ELSE label END AS label, CASE n WHEN 1 THEN 'Code § 1770(a)(5' END AS statute FROM documents, (VALUES (CAST(1 AS INTEGER), ''), (2, 'Negligence'), (3, 'Breach of Contract')) v(n, label) WHERE text IS NOT NULL AND regexp_matches(source, '[0-9]$')""")
 def cause_parse(spark, d):
     body = F.concat(F.lit("SUPERIOR COURT\nCOMPLAINT FOR:\n1. FRAUD ("), F.col("source"), F.lit(" Code § 1770(a)(5)); 2. NEGLIGENCE; and\n3. BREACH OF CONTRACT\nDEMAND FOR JURY TRIAL\n"), "text")
     docs = table(spark, d, "documents").select("doc_id", captions.parse_causes(body).alias("c"))
     return docs.select("doc_id", F.explode("c").alias("x")).select("doc_id", "x.n", "x.label", "x.statute")
 
 
-@query("charge_parse")
+@query("charge_parse", """WITH c AS (SELECT p_partkey, 'PC 459 / F' AS raw, 'PC' AS sys, 'Penal Code' AS law, '459' AS sec, 'felony' AS class FROM part UNION ALL SELECT p_partkey, 'VEHICLE CODE § ' || p_size || '(a) M', 'VC', 'Vehicle Code', p_size || '(a)', 'misdemeanor' FROM part
+ UNION ALL SELECT p_partkey, trim(p_name), NULL, NULL, NULL, NULL FROM part) SELECT p_partkey, raw, sys || ' ' || sec AS code, law || ' § ' || sec AS citation, class AS classification, sys AS code_system, sec AS section, CAST(NULL AS VARCHAR) AS provided_title,
+ coalesce(law || ' § ' || sec, raw) AS title, CASE WHEN sys IS NULL THEN 'raw_index_text' ELSE 'programmatic_citation' END AS title_source, sys IS NULL AS unparsed FROM c""")
 def charge_parse(spark, d):
     raw = F.concat(F.lit("PC 459 / F; VEHICLE CODE § "), F.col("p_size").cast("string"), F.lit("(a) M | "), "p_name")
     p = table(spark, d, "part").select("p_partkey", captions.parse_charges(raw).alias("c"))
