@@ -69,11 +69,11 @@ def build_kind(kind: str, entities: DataFrame, histogram: DataFrame) -> dict[str
     return out
 
 
-def build_facet(rows: DataFrame, label: str, record: str, key: Column | None = None, least: int = 2) -> dict[str, DataFrame]:
+def build_facet(rows: DataFrame, label: str, record: str, key: Column | None = None, least: int = 2, collation: str | None = None) -> dict[str, DataFrame]:
     """The three tables of a facet: picker (records from `least`), search (every spelling) and cases (record sets)."""
     k = text.search_key(F.col(label)) if key is None else key
     keyed = rows.withColumn("facet_key", k).where(F.coalesce(F.col("facet_key"), F.lit("")) != "")
-    every = facets.facet(rows, label, record, key=k, least=1)
+    every = facets.facet(rows, label, record, key=k, least=1, collation=collation)
     spelled = keyed.select("facet_key", F.col(label).alias("label")).distinct()
     return {"list": every.where(F.col("case_count") >= least), "search": spelled, "cases": keyed.select("facet_key", record).distinct()}
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def facet(rows: DataFrame, label: str, record: str, key: Column | None = None, least: int = 1) -> DataFrame:
-    """(facet_key, label, case_count): distinct records, and the most frequent label (ties: least).
+def facet(rows: DataFrame, label: str, record: str, key: Column | None = None, least: int = 1, collation: str | None = None) -> DataFrame:
+    """(facet_key, label, case_count): distinct records, and the most frequent label.
+
+    Of equally frequent labels the first counts, by code points or as people sort (collation "UNICODE").
 
     Labels are counted before the ranking, so a key with millions of rows is
     ranked over its few spellings.
@@ -18,7 +20,8 @@ def facet(rows: DataFrame, label: str, record: str, key: Column | None = None, l
     rows = rows.select(key.alias("facet_key"), F.col(label).alias("label"), F.col(record).alias("record")).where("facet_key <> ''")
     once = rows.groupBy("facet_key", "record", "label").agg(F.count(F.lit(1)).alias("n"))  # the rows are read and shuffled once
     counts = once.groupBy("facet_key", "label").agg(F.sum("n").alias("n"))
-    best = counts.groupBy("facet_key").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+    order = [F.collate("label", collation)] if collation else []
+    best = counts.groupBy("facet_key").agg(F.min_by("label", F.struct(-F.col("n"), *order, F.col("label"))).alias("label"))
     records = once.select("facet_key", "record").distinct().where("record is not null").groupBy("facet_key").agg(F.count(F.lit(1)).alias("case_count"))
     return records.where(F.col("case_count") >= least).join(best, "facet_key").select("facet_key", "label", "case_count")
 

@@ -27,13 +27,13 @@ def decreed_names(directory: DataFrame, record: str = "case_number") -> dict[str
     c = directory.columns
     one = F.array(F.col("decreed_name")) if "decreed_name" in c else F.array().cast("array<string>")
     names = F.coalesce(F.col("decreed_names"), one) if "decreed_names" in c else one
-    return builds.build_facet(named_records(directory, F.filter(names, lambda n: n.isNotNull()), F.array(record)), "label", "record", least=1)
+    return builds.build_facet(named_records(directory, F.filter(names, lambda n: n.isNotNull()), F.array(record)), "label", "record", least=1, collation="UNICODE")
 
 
 def listed_names(entities: DataFrame, name: str = "display_name", cases: str = "case_numbers", least: int = 2) -> dict[str, DataFrame]:
     """The facet of parties or firms from entities with their list of records."""
     own = F.filter(F.coalesce(F.col(cases), F.array().cast("array<string>")), lambda n: n.isNotNull())
-    return builds.build_facet(named_records(entities, F.array(F.coalesce(F.col(name), F.lit(""))), own), "label", "record", least=least)
+    return builds.build_facet(named_records(entities, F.array(F.coalesce(F.col(name), F.lit(""))), own), "label", "record", least=least, collation="UNICODE")
 
 
 def counsel(attorneys: DataFrame, least: int = 2) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import bitmaps, builds, identity, lineage, postings, rankings, search, sketches, udtfs
+from ..operators import bitmaps, builds, facets, identity, lineage, postings, rankings, search, sketches, udtfs
 from ..sources import sinks, tables
 from ..streaming import stateful
 from .bindings import CASES, OFFICER_KEY, OFFICERS, cases, officers, query, table
@@ -125,6 +125,15 @@ def facet_order_locale(spark, d):
     return rankings.ordinals(rows, [*sinks.facet_order(collation="UNICODE"), F.col("p_partkey")], "place").select("p_partkey", "place")
 
 
+@query("facet_label_locale", """WITH l AS (SELECT p_partkey, p_brand AS k, CASE p_partkey % 4 WHEN 0 THEN 'Elan' WHEN 1 THEN 'elan' WHEN 2 THEN 'élan' ELSE 'ELAN' END || ' ' || p_size % 2 AS label FROM part), n AS (SELECT k, label, count(*) AS n FROM l GROUP BY 1, 2),
+ r AS (SELECT k, label, row_number() OVER (PARTITION BY k ORDER BY n DESC, strip_accents(lower(label)), label LIKE 'é%', CASE WHEN label LIKE 'e%' THEN 0 WHEN label LIKE 'El%' THEN 1 ELSE 2 END) AS place FROM n) SELECT k AS facet_key, label FROM r WHERE place = 1""")
+def facet_label_locale(spark, d):
+    k = F.col("p_partkey") % 4
+    label = F.concat(F.when(k == 0, "Elan").when(k == 1, "elan").when(k == 2, "élan").otherwise("ELAN"), F.lit(" "), (F.col("p_size") % 2).cast("string"))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", label.alias("label"))
+    return facets.facet(rows, "label", "p_partkey", key=F.col("p_brand"), collation="UNICODE").select("facet_key", "label")
+
+
 @query("published_set", "SELECT 'list' AS name, CAST(count(*) AS BIGINT) AS rows FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 2) UNION ALL SELECT 'search', CAST(count(DISTINCT p_name) AS BIGINT) FROM part UNION ALL SELECT 'cases', CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT p_name, p_brand FROM part) UNION ALL SELECT 'faults', 0")
 def published_set(spark, d):
     t, at = builds.build_facet(table(spark, d, "part"), "p_name", "p_brand"), f"{lineage.folder(spark)}/facet"
