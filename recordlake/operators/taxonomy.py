@@ -23,28 +23,23 @@ def roots(nodes: DataFrame) -> DataFrame:
     step = cut(nodes.join(known, F.col("parent_id") == F.col("k"), "left").select("id", F.coalesce("k", "id").alias("up")))
     # the nodes that are still reached after ever longer walks are the ends: roots and members of cycles
     ends, far = None, step
-    while True:
-        reached = cut(far.select("up").distinct())
-        n = reached.count()
-        if n == ends:
-            break
-        ends, far = n, cut(_jump(far))
-    stop = reached.select(F.col("up").alias("e"))
+    while (n := far.agg(F.count_distinct("up")).first()[0]) != ends:
+        ends, far = n, cut(_jump(far).drop("was"))
+    stop = far.select(F.col("up").alias("e")).distinct()
     up = step.join(stop, F.col("id") == F.col("e"), "left").select("id", F.coalesce("e", "up").alias("up"))
-    left = 1
-    while left:
-        nxt = cut(_jump(up))
-        moved = up.select("id", F.col("up").alias("was")).join(nxt, "id")
-        left = moved.where("was <> up").limit(1).count()
-        up = nxt
+    moving = True
+    while moving:
+        up = cut(_jump(up))
+        moving = up.where("was <> up").limit(1).count()
+        up = up.drop("was")
     label = nodes.select(F.col("id").alias("l"), F.col("label").alias("root_label"))
     return up.join(label, F.col("up") == F.col("l")).select("id", "root_label")
 
 
 def _jump(up: DataFrame) -> DataFrame:
-    """Each walk continued by the walk from where it stands."""
+    """Each walk continued by the walk from where it stands (`was`)."""
     nxt = up.select(F.col("id").alias("m"), F.col("up").alias("next"))
-    return up.join(nxt, F.col("up") == F.col("m")).select("id", F.col("next").alias("up"))
+    return up.join(nxt, F.col("up") == F.col("m")).select("id", F.col("next").alias("up"), F.col("up").alias("was"))
 
 
 def category_lookup(categories: DataFrame, nodes: DataFrame) -> DataFrame:
