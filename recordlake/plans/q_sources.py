@@ -67,7 +67,7 @@ def materialized_texts(spark, d):
     dealt = docs.withColumn("shard", F.substring("sha256", 1, 1))
     dealt.select("shard", line.alias("value")).repartition(16, "shard").sortWithinPartitions("shard").write.partitionBy("shard").text(f"{at}/shards")
     found = spark.read.format("binaryFile").load(f"{at}/shards").select("path", "length", F.sha2("content", 256).alias("d"), F.col("shard").cast("string").alias("shard"))
-    listed = [{"name": r["shard"], "path": r["path"].removeprefix("file:"), "bytes": r["length"], "sha256": r["d"]} for r in found.collect()]  # one a shard, 16 at most
+    listed = [{"name": r["shard"], "path": r["path"], "bytes": r["length"], "sha256": r["d"]} for r in found.collect()]  # one a shard, 16 at most
     names = {r["name"] for r in listed}
     shard = F.col("shard") if names & set("abcdef") else F.col("shard").cast("int").cast("string")
     out = files.materialize(spark, dealt.select("sha256", shard.alias("shard")), listed, f"{at}/texts")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -27,6 +28,7 @@ import urllib.request
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -40,10 +42,16 @@ def _remote(path: str) -> bool:
     return path.startswith(("http://", "https://"))
 
 
+def _stored(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of an address such as hdfs://.., s3://.. or file:/.."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
 def opened(path: str, start: int = 0, attempts: int = 6, timeout: float = 120.0, sleep=time.sleep):
-    """A file object from byte `start` on; an answer that is worth another try is tried again."""
+    """A file object from byte `start` on, of a path, a store's address or an http one; an answer that is worth another try is tried again."""
     if not _remote(path):
-        f = open(path, "rb")  # noqa: SIM115
+        at = _stored(path) if ":/" in path else None
+        f = at[0].open_input_file(at[1]) if at else open(path, "rb")  # noqa: SIM115
         f.seek(start)
         return f
     for k in range(attempts):
@@ -88,7 +96,8 @@ def blocks(path: str, attempts: int = 6, sleep=time.sleep) -> Iterator[bytes]:
 
 def size_of(path: str) -> int:
     if not _remote(path):
-        return os.path.getsize(path)
+        at = _stored(path) if ":/" in path else None
+        return at[0].get_file_info(at[1]).size if at else os.path.getsize(path)
     with urllib.request.urlopen(urllib.request.Request(path, method="HEAD"), timeout=120) as r:
         return int(r.headers["Content-Length"])
 
@@ -203,7 +212,7 @@ class LineStream(DataSourceStreamReader):
         with opened(self.manifest) as f:
             listed = json.loads(f.read())["shards"]
         base = self.manifest.rpartition("/")[0]
-        return [s["path"] if _remote(s["path"]) or s["path"].startswith("/") else f"{base}/{s['path']}" for s in listed]
+        return [s["path"] if ":/" in s["path"] or s["path"].startswith("/") else f"{base}/{s['path']}" for s in listed]
 
     def initialOffset(self):
         self.reached = {}
