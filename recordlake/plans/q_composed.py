@@ -132,7 +132,7 @@ def case_parts(spark, d):
     return p.select("k", "part", "place", "idx", said.alias("said"))
 
 
-@query("case_facts_repeated", """WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, n AS docket_events, CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS documents, CASE k % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS parties
+@query("case_facts_repeated", """WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, n AS docket_events, CAST(CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS documents, CAST(CASE k % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS parties
  FROM (SELECT * FROM l UNION ALL SELECT * FROM l WHERE k % 7 = 0)""")
 def case_facts_repeated(spark, d):
     r = _case_records(spark, d)

@@ -19,7 +19,7 @@ def directory_stored(spark, d):
     at = f"{lineage.folder(spark)}/directory"
     tables.write_directory(_directory(spark, d), at)
     q = search.parse_query("title:7 from:1995 to:1996")
-    return search.directory(tables.read_directory(spark, at), q, prefixes=["CGC", "PES"]).select("case_number", "year", "prefix")
+    return search.directory(tables.read_directory(spark, at), q, prefixes=["CGC", "PES"]).select("case_number", F.col("year").cast("long").alias("year"), "prefix")
 
 
 @query("references_stored", f"WITH {DIR} SELECT case_number, title FROM dir WHERE title = (SELECT min(title) FROM dir)")
