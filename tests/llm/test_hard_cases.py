@@ -17,6 +17,7 @@ from recordlake.llm.textkit import Batch
 
 from .fixtures import corpus, frame, words
 from .test_neardup import brute
+from .test_vectors import VECS, some_vectors
 from .test_warc_mixing_substring import brute_removed
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -262,6 +263,8 @@ def tables(spark, tmp_path_factory):
     pages = [(1, "u1", big), (2, "u2", big), (5, "u5", big), (None, "un", big), (5, "u5", big), (3, "u3", "small"), (6, "u6", None)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     spark.createDataFrame([(r[0], int(i % 4 > 0), int(i % 5 == 0)) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    vectors = [r for r in some_vectors(60) if r[1] is None or len(r[1]) == 64]  # repeated, null and non-finite ones among them
+    spark.createDataFrame(vectors, VECS).write.parquet(f"{at}/embeddings.parquet")
     return at, rows
 
 
@@ -270,7 +273,7 @@ def test_registered_query_equals_its_sql(spark, tables, name):
     duckdb = pytest.importorskip("duckdb")
     at, _ = tables
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from '{at}/{t}.parquet/*.parquet'")
     df = queries.QUERIES[name](spark, at)
     cur = c.execute(queries.SQL[name])
@@ -282,7 +285,7 @@ def test_registered_query_equals_its_sql(spark, tables, name):
 
 
 def test_registered_queries_without_sql(spark, tables):
-    """op3, op4, op5, op6, op7, op8: the contract's columns against plain Python."""
+    """op3, op4, op5, op6, op7, op8, op12, op13: the contract's columns against plain Python."""
     import zlib
 
     from .test_iblt import brute as brute_fingerprints
@@ -301,6 +304,11 @@ def test_registered_queries_without_sql(spark, tables):
     assert Counter(r["doc_id"] for r in got if r["lang_pred"] == "und") == text
     got = run("op5_toxicity")
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and all(0 <= r["severity"] <= 3 for r in got)
+    got = run("op12_quality_score")
+    assert Counter((r["doc_id"], r["held_out"]) for r in got) == Counter((r[0], zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    got = run("op13_whitening")
+    assert {r["component"] for r in got} == set(range(1, 9)) and len(got) == 8 * got[0]["n"] and all(r["identity_error"] < 1e-4 for r in got)
     got = run("op6_fingerprints")
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == brute_fingerprints(rows)
     sp, tok = sentencepiece.SentencePieceProcessor(model_file=PIECES), tokenizers.Tokenizer.from_file(WORDS)
