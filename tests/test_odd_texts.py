@@ -7,6 +7,7 @@ from recordlake.plans import catalog
 duckdb = pytest.importorskip("duckdb")
 LISTS = ["Licensed under CC BY-NC 4.0.\nÉêrépa échque.", "Licence, version 3.\nBe reed edoues.", "First cause of action: Alpha\nSecond cause of action: Beta\nThird cause of action: Gamma\nFourth cause of action: Delta",
          "COMPLAINT for\n1. Alpha 2. Beta 3. Gamma 4. Delta", "Petıtion\n1. Alpha 2. Beta 3. Gamma 4. Delta", "4. x 5. y", "1. Alpha 2. Beta 3. Gamma 4. Delta", ") 3. Gamma", "", None]
+WORDS = ["The as to ofheerount", "are onwh as to", "As to the", "x filed by y", "a will annexed b", "no will filed at", "petition for as to", "ab", "and", "42", "", None]
 
 
 def same(spark, tmp_path, name: str, rows: list):
@@ -22,3 +23,7 @@ def same(spark, tmp_path, name: str, rows: list):
 
 def test_causes_of_a_caption_end_before_the_text(spark, tmp_path):
     same(spark, tmp_path, "cause_parse", [(i, t, "en", s, 0) for i, (t, s) in enumerate((t, s) for t in LISTS for s in ("src5", "web", None))])
+
+
+def test_words_of_a_petition_may_read_like_its_end(spark, tmp_path):
+    same(spark, tmp_path, "petition_texts", [(i, t, "en", "s1", 0) for i, t in enumerate(WORDS)])
