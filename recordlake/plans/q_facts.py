@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import casefacts, facets
-from .bindings import OFFICER_KEY, OFFICERS, officers, query, table
+from .bindings import OFFICER_KEY, OFFICERS, officers, pleaded, query, table
 
 
 def _records(spark, d):
@@ -218,5 +218,5 @@ def review_reasons(spark, d):
 def pleading_causes(spark, d):
     docs = table(spark, d, "documents").select((F.col("doc_id") % 200).alias("k"), "doc_id", F.sha2("text", 256).alias("sha256"), F.floor(F.col("doc_id") / 200).alias("rank"))
     sha = F.when(F.col("doc_id") % 3 > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("none"), F.col("doc_id").cast("string")))
-    texts = table(spark, d, "documents").select(sha.alias("sha256"), F.concat(F.lit("COMPLAINT FOR\n1. FRAUD\n2. NEGLIGENCE\nJURY TRIAL\n"), "text").alias("text")).dropDuplicates(["sha256"])
+    texts = table(spark, d, "documents").select(sha.alias("sha256"), F.concat(F.lit("COMPLAINT FOR\n1. FRAUD\n2. NEGLIGENCE\nJURY TRIAL\n"), pleaded()).alias("text")).dropDuplicates(["sha256"])
     return casefacts.choose_pleading(docs, "k", texts).select("k", "doc_id", "source", F.size("causes").alias("n"))

@@ -27,3 +27,8 @@ def test_causes_of_a_caption_end_before_the_text(spark, tmp_path):
 
 def test_words_of_a_petition_may_read_like_its_end(spark, tmp_path):
     same(spark, tmp_path, "petition_texts", [(i, t, "en", "s1", 0) for i, t in enumerate(WORDS)])
+
+
+def test_pleadings_of_equal_causes_go_by_rank(spark, tmp_path):
+    texts = [(i, "plain") for i in range(len(LISTS))] + [(200 + i, t) for i, t in enumerate(LISTS)]
+    same(spark, tmp_path, "pleading_causes", [(i + 1, t, "en", "s1", 0) for i, t in texts])
