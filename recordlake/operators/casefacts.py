@@ -62,8 +62,9 @@ ALIASES = {
 
 
 def alias_text(v: Column, names: tuple[str, ...]) -> Column:
-    """First non-blank text of a variant's fields."""
-    return text.first_text(*[F.try_variant_get(v, f"$['{n}']", "string") for n in names])
+    """First non-blank text of a variant's fields, each read once."""
+    read = F.array(*[F.trim(F.try_variant_get(v, f"$['{n}']", "string")) for n in names])
+    return F.coalesce(F.get(F.filter(read, lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def part(records: DataFrame, key: str, record: str, name: str) -> DataFrame:

@@ -26,17 +26,28 @@ def _list(v: Column, name: str) -> Column:
     return F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), none)
 
 
+def _objects(v: Column, name: str) -> Column:
+    """A part's rows as maps of texts, each decoded once; what is no object is null."""
+    kind = "array<map<string,string>>"
+    return F.coalesce(F.try_variant_get(v, f"$.{name}", kind), F.array().cast(kind))
+
+
+def _first_of(e: Column, names: tuple[str, ...]) -> Column:
+    """First non-blank text of a map's fields."""
+    return text.first_text(*[F.try_element_at(e, F.lit(n)) for n in names])
+
+
 def _entries(v: Column, name: str) -> Column:
     """A part's rows as structs of idx and fields; blank ones go."""
-    read = lambda e, i: F.struct(i.alias("idx"), *[alias_text(e, names).alias(n) for n, names in ALIASES[name].items()])
-    return F.filter(F.transform(_list(v, name), read), lambda r: text.any_of([r[n] != "" for n in ALIASES[name]]))
+    read = lambda e, i: F.struct(i.alias("idx"), *[_first_of(e, names).alias(n) for n, names in ALIASES[name].items()])
+    return F.filter(F.transform(_objects(v, name), read), lambda r: text.any_of([r[n] != "" for n in ALIASES[name]]))
 
 
 def _register(v: Column) -> Column:
     """The register of actions as docket rows."""
     names = ALIASES["docket_entries"]
-    read = lambda e, i: F.struct(i.alias("idx"), *[alias_text(e, names[n]).alias(n) if n in ("date_filed", "description") else F.lit("").alias(n) for n in names])
-    return F.transform(_list(v, "roa"), read)
+    read = lambda e, i: F.struct(i.alias("idx"), *[_first_of(e, names[n]).alias(n) if n in ("date_filed", "description") else F.lit("").alias(n) for n in names])
+    return F.transform(_objects(v, "roa"), read)
 
 
 def _caption(v: Column, criminal: Column) -> Column:
@@ -69,8 +80,8 @@ def _by_date(entries: Column, *order: str, undated_last: bool = False) -> Column
     return F.transform(F.array_sort(F.transform(entries, lambda r: F.struct(last(r).alias("last"), *[r[o].alias(f"o{i}") for i, o in enumerate(order)], r.alias("r")))), lambda x: x["r"])
 
 
-def assembled(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> DataFrame:
-    """`key`, the variant `v`, the portal's header (or null) and every part as a list of structs, in order."""
+def _parts(rows: DataFrame, key: str, record: str, p: Portal) -> DataFrame:
+    """`key`, the variant `v`, the portal's header (or null) and every part as a list of structs, as they stand in the record."""
     x = with_header(rows.select(F.col(key).alias("_key"), F.try_parse_json(F.col(record)).alias("v")), p)
     v = F.col("v")
     direct = F.filter(_entries(v, "parties"), lambda r: (r["name"] != "") | (r["party_type"] != ""))
@@ -82,9 +93,15 @@ def assembled(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> D
     x = x.withColumn("_entries", F.when(F.size("_docket") > 0, F.col("_docket")).otherwise(_register(v)))
     x = x.withColumn("_names", clean_attorney_lists(F.transform("parties", lambda r: r["attorneys"])))
     x = x.withColumn("representation_edges", _edges(F.col("parties"), F.col("_names"), F.col("attorneys")))
-    x = x.withColumn("docket_events", _by_date(F.col("_entries"), "date_filed", "idx")).withColumn("documents", _by_date(F.col("_documents"), "filed", "doc_id", "idx", undated_last=True))
-    x = x.withColumn("payments", _by_date(F.col("_payments"), "date", "idx"))
-    return x.select(F.col("_key").alias(key), "v", "portal", *PARTS)
+    parts = {"docket_events": "_entries", "documents": "_documents", "payments": "_payments"}
+    return x.select(F.col("_key").alias(key), "v", "portal", *[F.col(parts.get(n, n)).alias(n) for n in PARTS])
+
+
+def assembled(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> DataFrame:
+    """`key`, the variant `v`, the portal's header (or null) and every part as a list of structs, in order."""
+    x = _parts(rows, key, record, p)
+    docket, documents = _by_date(F.col("docket_events"), "date_filed", "idx"), _by_date(F.col("documents"), "filed", "doc_id", "idx", undated_last=True)
+    return x.withColumns({"docket_events": docket, "documents": documents, "payments": _by_date(F.col("payments"), "date", "idx")})
 
 
 def case_parts(rows: DataFrame, key: str, record: str, p: Portal = Portal()) -> DataFrame:
@@ -108,12 +125,15 @@ def case_parts(rows: DataFrame, key: str, record: str, p: Portal = Portal()) ->
     return x.select(F.col(key), F.explode(F.concat(*[tagged(n) for n in PARTS])).alias("x")).select(key, "x.*")
 
 
-def filing_date(own: Column, docket: Column, documents: Column) -> Column:
-    """The record's own date, else its first complaint or petition, dated docket row, or dated document."""
+def first_dated(own: Column, docket: Column, documents: Column) -> Column:
+    """Text of the record's own date, else of its first complaint or petition, dated docket row, or dated document."""
     complaint = lambda r: r["description"].rlike(r"(?i)\b(?:complaint|petition)\b")
     anchor = F.array_min(F.transform(F.filter(docket, lambda r: r["date_filed"] != ""), lambda r: F.struct(F.when(complaint(r), 0).otherwise(1).alias("k"), r["idx"].alias("i"), r["date_filed"].alias("d"))))
     doc = F.array_min(F.transform(F.filter(documents, lambda r: r["filed"] != ""), lambda r: F.struct(r["idx"].alias("i"), r["filed"].alias("d"))))
-    raw = text.first_text(own, anchor["d"], doc["d"])
+    return text.first_text(own, anchor["d"], doc["d"])
+
+
+def date_of(raw: Column) -> Column:
     return F.coalesce(F.nullif(dates.find_iso(raw), F.lit("")), F.substring(raw, 1, 10))
 
 
@@ -122,10 +142,11 @@ def case_facts(rows: DataFrame, key: str, record: str, p: Portal = Portal()) ->
 
     Portal records are normalised first.  Records that repeat a key have a row each.
     """
-    x = assembled(rows, key, record, p)
+    x = _parts(rows, key, record, p)  # counts and the filing date do not ask for an order
     v, h = F.col("v"), lambda name: F.col(f"portal.{name}")
     head = lambda name, *names: F.coalesce(h(name), alias_text(v, names)).alias(name)
     own = F.coalesce(_present(alias_text(v, DIRECT_DATES)), alias_text(F.try_variant_get(v, "$.case_header", "variant"), DIRECT_DATES))
+    x = x.withColumn("_own", own).withColumn("_filed", first_dated(F.col("_own"), F.col("docket_events"), F.col("documents")))
     notice = F.coalesce(h("unavailable_text"), alias_text(v, ("unavailable_text", "unavailable_red_text", "unavailable_reason", "message")))
     status = F.coalesce(h("status"), field(v, "status"))
     closed = (F.lower(status) == "unavailable") | (notice != "")
@@ -136,7 +157,7 @@ def case_facts(rows: DataFrame, key: str, record: str, p: Portal = Portal()) ->
     title = head("case_title", "case_title", "CASETITLE", "title")
     return x.select(
         key, head("case_number", "case_number", "CASE_NUMBER", "caseNum"), title, head("court", "court", "COURT"),
-        head("cause_of_action", "cause_of_action", "cause", "CAUSE"), filing_date(own, F.col("docket_events"), F.col("documents")).alias("filing_date"),
+        head("cause_of_action", "cause_of_action", "cause", "CAUSE"), date_of(F.col("_filed")).alias("filing_date"),
         alias_text(v, ("captured_at", "capturedAt")).alias("captured_at"), url.alias("source_url"),
         n("docket_events").alias("docket_events"), n("documents").alias("documents"), held.alias("captured_documents"), (n("documents") - held).alias("metadata_only_documents"),
         n("parties").alias("parties"), n("attorneys").alias("attorneys"), n("representation_edges").alias("representation_edges"), n("calendar").alias("calendar_rows"),

@@ -93,7 +93,7 @@ def source_url(v: Column, p: Portal = Portal()) -> Column:
     number = F.upper(F.regexp_replace(alias_text(v, ("case_number", "CASE_NUMBER", "caseNum")), "[^A-Za-z0-9]", ""))
     read = F.struct(
         alias_text(v, ("source_url", "case_url", "court_url", "url")).alias("explicit"), field(v, "source").alias("source"), is_portal(v, p).alias("criminal"),
-        portal_url(v, p).alias("portal"), number.alias("number"),
+        F.when(is_portal(v, p), portal_url(v, p)).alias("portal"), number.alias("number"),
     )
 
     def choose(r: Column) -> Column:
@@ -187,19 +187,21 @@ def with_header(x: DataFrame, p: Portal = Portal()) -> DataFrame:
     v, before = F.col("v"), x.columns
     either = lambda *names: F.coalesce(_present(alias_text(v, names)), _present(alias_text(F.try_variant_get(v, "$.case_header", "variant"), names)), F.lit(""))
     explicit = alias_text(v, ("criminal_case_number", "criminalCaseNumber"))
-    x = x.withColumns({
+    x = x.withColumn("criminal", is_portal(v, p))
+    own = lambda columns: {n: F.when(F.col("criminal"), c) for n, c in columns.items()}  # noqa: E731  read for portal records only
+    x = x.withColumns(own({
         "criminal_case_number": text.criminal_raw_number(explicit, field(v, "case_number")), "case_number": text.criminal_archive_number(explicit, field(v, "case_number")),
         "display_case_number": F.coalesce(_present(field(v, "display_case_number")), field(v, "case_header", "case_number")),
         "defendant": either("defendant"), "filed_date": either("filed_date", "filedDate"),
         "charges": F.coalesce(_present(field(v, "charges")), field(v, "criminal_index", "charges")),
         "identity_unavailable": _flag(v, "identity_unavailable"), "said": unavailable_text(v),
-    })
+    }))
     unnamed = (F.col("defendant") == "") & (alias_text(v, ("portal_case_id", "portalCaseId")) != "") & ~F.col("identity_unavailable")
     entries = F.greatest(_size(v, "docket_entries"), _size(v, "roa"))
     empty = (entries + _size(v, "calendar") + _size(v, "attorneys") + _size(v, "documents") + _size(v, "payments")) == 0
     texts = F.concat_ws(" ", field(v, "unavailable_reason"), field(v, "unavailable_text"), field(v, "message"), F.col("said"))
     little = ((F.col("said") == "") | texts.rlike(MACHINE_REASON)) & empty & text.any_of([F.col(c) != "" for c in ("defendant", "filed_date", "charges")])
-    x = x.withColumn("little", little)
+    x = x.withColumns(own({"little": little}))
     shown = without_reason(F.when(F.col("little"), no_information(F.col("defendant"), F.col("filed_date"), F.col("charges"))).otherwise(F.col("said")))
     given = _present(field(v, "unavailable_reason"))
     reason = F.when(F.col("little"), "criminal_portal_no_public_entries").when(F.col("said") != "", F.coalesce(given, F.lit("criminal_portal_not_publicly_available"))).otherwise(F.coalesce(given, F.lit("")))
@@ -213,7 +215,7 @@ def with_header(x: DataFrame, p: Portal = Portal()) -> DataFrame:
         (F.coalesce(F.try_variant_get(v, "$.document_bytes_captured", "boolean"), F.lit(False)) | (_size(v, "documents") == 0)).alias("document_bytes_captured"),
         F.coalesce(_present(field(v, "document_byte_capture_scope")), F.lit("criminal-portal-no-documents")).alias("document_byte_capture_scope"),
     )
-    return x.select(*before, F.when(is_portal(v, p), header).alias("portal"))
+    return x.select(*before, F.when(F.col("criminal"), header).alias("portal"))
 
 
 def status_parts(reason: Column, shown: Column, defendant: Column, filed: Column, charges: Column) -> Column:
