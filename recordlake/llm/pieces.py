@@ -31,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import carried, quoted, session, shipped, slices, unpacked
+from .shared import carried, held, quoted, session, shipped, slices, unpacked
 from .textkit import Batch, WordPool
 
 MARK = "▁"
 CACHE_WORDS = 1 << 19
 PAIRS = 1 << 18
 UNKNOWN = -1e6  # score of a character that no piece holds
-_ENCODERS: dict = {}  # of this worker process, by the model's digest
 
 
 class Model:
@@ -219,11 +218,8 @@ class PieceEncoder:
 
 
 def encoder(model: bytes) -> PieceEncoder:
-    """The encoder of this process; its words outlive a task."""
-    name = hashlib.sha256(model).digest()
-    if name not in _ENCODERS:
-        _ENCODERS[name] = PieceEncoder(Model.load(model))
-    return _ENCODERS[name]
+    """The encoder of this process; its words outlive a task, but not the stage."""
+    return held(("pieces", hashlib.sha256(model).digest()), lambda: PieceEncoder(Model.load(model)))
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
